@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from skytile.llm.fingerprint import op1_improbable_digest
 from skytile.llm.mixing import OP8_SQL, op8_temperature_mix
 from skytile.llm.packing import op9_lexical_packing
+from skytile.llm.permutation_index import op6_permutation_index
 from skytile.llm.simple8b import op4_simple8b
 from skytile.llm.warc import OP5_SQL, op5_warc_chunks
 
 QUERIES = {
+    "op1_improbable_digest": op1_improbable_digest,
     "op4_simple8b": op4_simple8b,
     "op5_warc_chunks": op5_warc_chunks,
+    "op6_permutation_index": op6_permutation_index,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_lexical_packing": op9_lexical_packing,
 }
