@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skytile.llm.fingerprint import op1_improbable_digest
+from skytile.llm.language import op10_language_id
 from skytile.llm.mixing import OP8_SQL, op8_temperature_mix
 from skytile.llm.packing import op9_lexical_packing
 from skytile.llm.permutation_index import op6_permutation_index
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_permutation_index": op6_permutation_index,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_lexical_packing": op9_lexical_packing,
+    "op10_language_id": op10_language_id,
 }
 SQL = {"op5_warc_chunks": OP5_SQL, "op8_temperature_mix": OP8_SQL}
