@@ -32,17 +32,17 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarra
     """(words, escaped ids) of each row of a zero-padded uint64 matrix; all rows advance together, a word at a time."""
     n, width = blocks.shape
     values = np.concatenate([blocks, np.zeros((n, 60), np.uint64)], axis=1)
-    wide = values > _LOW
-    best = np.full((n, width), 0, np.int8)
-    edge = np.arange(width + 60)
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    wide = bits > 60
+    best = np.zeros((n, width), np.int8)
+    most, span = bits, 1  # the widest of the next `span` ids
     for selector in range(len(PACKINGS), 0, -1):  # from one id a word to sixty
-        count, bits = PACKINGS[selector - 1]
-        bad = np.where(values >= np.uint64(1 << bits), edge, width + 120)
-        first_bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        fits = first_bad[:, :width] - edge[:width] >= count
-        best[fits] = selector
-        if not fits.any():
-            break
+        count, room = PACKINGS[selector - 1]
+        while span < count:
+            step = min(span, count - span)
+            most = np.maximum(most[:, :-step], most[:, step:])
+            span += step
+        best[most[:, :width] <= room] = selector
     rows, at = np.arange(n), np.zeros(n, np.int64)
     used: list[np.ndarray] = []
     starts: list[np.ndarray] = []
@@ -90,7 +90,7 @@ def decode_block(words: np.ndarray, escaped: np.ndarray, size: int) -> np.ndarra
 class Writer:
     """Writes one file; holds at most ``hold`` ids and the footer's rows."""
 
-    def __init__(self, path: str, hold: int = 64 * BLOCK):
+    def __init__(self, path: str, hold: int = 256 * BLOCK):
         self.path, self.out, self.hold = path, _open_out(path), hold
         self.parts: list[np.ndarray] = []
         self.held = self.at = self.total = 0
@@ -224,7 +224,8 @@ def read_documents(manifest: DataFrame, ids: bool = True) -> DataFrame:
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), kinds)], schema=kinds)
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    files = manifest.select("file", "start")
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
 def op4_simple8b(spark, sf_dir: str) -> DataFrame:

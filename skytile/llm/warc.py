@@ -1,6 +1,7 @@
 """WARC archives as a chunked record table.
 
-``write_archives`` writes one WARC record per row, a file (or several of bounded size) per task;
+``write_archives`` writes one WARC record per row, compressed as a gzip member of its own, a file (or several of
+bounded size) per task;
 ``read_chunks`` streams them back as (record id, chunk number) rows of bounded size, each with the digest of
 the payload so far, so no task ever holds a whole payload of an archive in memory.
 
@@ -11,8 +12,10 @@ empty target, a null id sorts before all others. Repeated ids give a record each
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -81,17 +84,20 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
-                    name, size, count = f"{path}/{uuid.uuid4().hex}.warc", 0, 0
+                    name, size, count = f"{path}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open_out(name)
-                body = r["payload"].encode()
-                head = _header(r["record_id"], r["url"], r["record_type"], r["refers_to"], r["digest"], len(body))
-                out.write(head)
-                size += len(head) + 4
+                body, member = r["payload"].encode(), zlib.compressobj(1, zlib.DEFLATED, 31)
+
+                def put(raw):
+                    nonlocal size
+                    size += len(raw)
+                    out.write(raw)
+
+                put(member.compress(_header(r["record_id"], r["url"], r["record_type"], r["refers_to"], r["digest"], len(body))))
                 if r["record_type"] != "revisit":
                     for at in range(0, len(body), CHUNK_BYTES):
-                        out.write(body[at : at + CHUNK_BYTES])
-                    size += len(body)
-                out.write(b"\r\n\r\n")
+                        put(member.compress(body[at : at + CHUNK_BYTES]))
+                put(member.compress(b"\r\n\r\n") + member.flush())
                 count += 1
                 if size >= file_bytes:
                     out.close()
@@ -106,7 +112,7 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
 
 def _read_file(path: str, chunk_bytes: int):
     """Rows of one archive, a chunk each; holds one buffer of ``chunk_bytes`` and a header at a time."""
-    with open_in(path) as raw:
+    with open_in(path) as stored_file, gzip.GzipFile(fileobj=stored_file) as raw:
         buffer = b""
 
         def need(n: int) -> bool:
@@ -163,7 +169,8 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bo
                 if rows:
                     yield batch(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, CHUNK_SCHEMA).select(*names)
+    files = manifest.select("file")
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(read, CHUNK_SCHEMA).select(*names)
 
 
 def records(chunks: DataFrame) -> DataFrame:
