@@ -52,7 +52,10 @@ def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 2 * BATCH_BYTES)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        factors = [np.full(size + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for f in factors:
+            f[0] = 1
+        _POWERS[:] = [np.cumprod(f, dtype=np.uint64) for f in factors]
     return _POWERS
 
 
@@ -63,7 +66,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     up, down = _powers(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
     words = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _C[0])
     n = len(words)
     lead = np.full(n, k, np.uint64)

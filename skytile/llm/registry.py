@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skytile.llm.fingerprint import op1_improbable_digest
+from skytile.llm.jaccard import op7_jaccard_components
 from skytile.llm.language import op10_language_id
 from skytile.llm.mixing import OP8_SQL, op8_temperature_mix
 from skytile.llm.packing import op9_lexical_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simple8b": op4_simple8b,
     "op5_warc_chunks": op5_warc_chunks,
     "op6_permutation_index": op6_permutation_index,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_lexical_packing": op9_lexical_packing,
     "op10_language_id": op10_language_id,
