@@ -9,12 +9,14 @@ from skytile.llm.mixing import OP8_SQL, op8_temperature_mix
 from skytile.llm.packing import op9_lexical_packing
 from skytile.llm.permutation_index import op6_permutation_index
 from skytile.llm.simple8b import op4_simple8b
+from skytile.llm.suffixes import op3_suffix_dedup
 from skytile.llm.surrogates import op2_surrogates
 from skytile.llm.warc import OP5_SQL, op5_warc_chunks
 
 QUERIES = {
     "op1_improbable_digest": op1_improbable_digest,
     "op2_surrogates": op2_surrogates,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simple8b": op4_simple8b,
     "op5_warc_chunks": op5_warc_chunks,
     "op6_permutation_index": op6_permutation_index,
