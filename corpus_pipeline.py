@@ -1,8 +1,75 @@
-"""Corpus pipeline: language ID, near-duplicate removal, surrogates for personal data, mixing, packing."""
+"""Corpus pipeline: language ID, near-duplicate removal, surrogates for personal data, mixing, packing.
 
-STAGES: list = []
+Each stage works on all rows that the one before kept, written as Parquet and read again. All but the
+last return the columns of ``documents``. Rows with a null id take part in every stage but the second, which
+cannot compare them and keeps them. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from skytile.llm import jaccard, language, mixing, packing, surrogates
+from skytile.session import ship, stored
+
+#: Texts whose calibrated score is below this are rejected, as are those without any letter.
+LEAST_SCORE = 0.3
+#: Largest repetition of a source in the mix; every source is used in full at least once.
+MAX_REPEAT = 1.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; the others go."""
+    ship(spark)
+    found = language.predict(docs, language.train(docs))
+    return found.where((F.col("lang_id.lang_pred") != language.UNKNOWN) & (F.col("lang_id.score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group linked by five-word shingles of similarity 0.8 or more.
+
+    Rows alike in id and text count once.
+    """
+    ship(spark)
+    kept = jaccard.join(docs, k=5, percent=80, extra=0.04).where("doc_id = component_id").select("doc_id")
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for the personal data in their texts."""
+    ship(spark)
+    out = surrogates.replace(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources asks, each at least once."""
+    return mixing.mix(docs, max_repeat=MAX_REPEAT).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+
+#: No SQL form of the classifier, the keyed surrogates and the tokenizer; see the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, f"stage{i}")
+    return docs
