@@ -11,8 +11,9 @@ import re
 
 import numpy as np
 
-#: Words kept per worker before the cache starts anew; bounds memory, never changes results.
-CACHE_LIMIT = 900_000
+#: Words in one generation of a worker's cache. When it is full it becomes the old one, from which words in
+#: use return to the new; bounds memory, never changes results.
+CACHE_LIMIT = 800_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 # The vocabulary's word pattern for lower-cased Latin-1 text.
@@ -26,6 +27,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -37,7 +39,10 @@ class Encoder:
     def _learn(self, words: list[bytes]) -> None:
         """Put words into the cache; each ends with the one id that marks its end."""
         if len(self.words) + len(words) > CACHE_LIMIT:
-            self.words.clear()
+            self.old, self.words = self.words, {}
+        words = [w for w in words if not self._back(w)]
+        if not words:
+            return
         ids = self._encode(b" ".join(words).decode("latin-1"))
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(words):
@@ -49,6 +54,13 @@ class Encoder:
             for word in words:
                 self.words[word] = self._encode(word.decode("latin-1")).tobytes()
 
+    def _back(self, word: bytes) -> bool:
+        """Bring a word back from the old generation, if it is there."""
+        if (ids := self.old.get(word)) is None:
+            return False
+        self.words[word] = ids
+        return True
+
     def ids(self, text: str | None) -> np.ndarray:
         """All ids of a text (null: none) as uint32."""
         if not text:
@@ -66,7 +78,7 @@ class Encoder:
             self._learn(list(set(words).difference(self.words)))
         try:
             return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
-        except KeyError:  # the cache has just started anew
+        except KeyError:  # a new generation has just begun
             self._learn(list(set(words)))
             return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
 
