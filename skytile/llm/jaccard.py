@@ -173,7 +173,8 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     left = stored(shared.groupBy("node", "n", "first_doc").agg(F.count("*").alias("m")).where(F.col("m") >= asked).select("node", F.col("first_doc").alias("_first")), "left")
 
     ids = left.select(F.col("_first")).distinct()
-    some = docs.join(ids, docs[id_col].cast("long") == ids["_first"], "left_semi")
+    # By shuffle at every size: what is left grows with the table, so its ids are never broadcast.
+    some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first"], "left_semi")
     sets = stored(full_sets(some, k, text_col).dropDuplicates(["node"]).join(left.select("node"), "node", "left_semi"), "sets")
 
     members = sets.select("node", "n", F.explode("members").alias("h"))
