@@ -1,4 +1,5 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from skytile.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
