@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skytile.functions import geo
-from skytile.operators import evaluate, graph, sampling, sequence, spatial, tiling
+from skytile.operators import evaluate, graph, raster, sampling, sequence, spatial, tiling
 from skytile.plans.fixtures import Tables, oracle
+from skytile.session import ship
 from skytile.sources import annotations
 from skytile.streaming import jobs
 
@@ -739,3 +740,78 @@ def _(t):
 @query("l4_session_rates", "with a as (select job_id, ts, n_dets, case when ts >= lag(ts) over w + interval '10 minutes' then 1 when lag(ts) over w is null then 1 else 0 end n from {tile_results} window w as (partition by job_id order by ts)), s as (select *, sum(n) over (partition by job_id order by ts rows unbounded preceding) g from a) select job_id, min(ts) as start, cast(sum(n_dets) as bigint) n_dets, count(*) n_blocks from s group by job_id, g")
 def _(t):
     return jobs.rates(t.tile_results, "session").drop("end")
+
+
+# ---- pixel jobs on tiles made from the pixel table --------------------------------------------------------
+
+
+def _tiles(t: Tables) -> DataFrame:
+    """One tile per image: the 64 columns of its pixel rows, in order."""
+    rows = t.pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "val"))).alias("r"))
+    text = F.array_join(F.transform("r", lambda p: F.lpad(F.hex(p["val"]), 2, "0")), "")
+    one = rows.groupBy("image_id").agg(F.count("*").cast("int").alias("h"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", text.alias("s")))), lambda p: p["s"]), "").alias("s"))
+    return one.select("image_id", F.lit(0).alias("tile_id"), F.lit(64).alias("w"), "h", F.lit(1).alias("bands"), F.unhex("s").alias("data"))
+
+
+def _bytes(col: str) -> Column:
+    """Values of a binary column, as an array."""
+    return F.transform(F.sequence(F.lit(1), F.octet_length(col)), lambda i: F.conv(F.hex(F.substring(F.col(col), i, F.lit(1))), 16, 10).cast("int"))
+
+
+@query("d11_tile_binary_statistics", "select image_id, min(val) lo, max(val) hi, count(*) filter (where val=0)/count(*) share0, count(*) filter (where val<>0) nonzero from {pixels} group by 1")
+def _(t):
+    ship(t.spark)
+    s = _tiles(t).withColumn("s", raster.tile_stats(F.col("data"), F.col("w"), F.col("h"), F.col("bands")))
+    return s.select("image_id", "s.lo", "s.hi", "s.share0", "s.nonzero")
+
+
+@query("j1_cropped_windows", "select image_id, count(*) n, cast(sum(val) as bigint) total from {pixels} where x between 10 and 49 and y between 2 and 13 group by 1")
+def _(t):
+    ship(t.spark)
+    blocks = _tiles(t).select("image_id", F.lit(0).alias("block_x"), F.lit(0).alias("block_y"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), "w", "h", "bands", "data")
+    win = t.pixels.select("image_id").distinct().select("image_id", F.lit(1).alias("win_id"), F.lit(10).alias("x0"), F.lit(2).alias("y0"), F.lit(40).alias("w"), F.lit(12).alias("h"))
+    got = raster.crop_windows(win, blocks, 4096).withColumn("v", F.explode(_bytes("data")))
+    return got.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("j2_polygon_masks")
+def _(t):
+    ship(t.spark)
+    m = raster.rasterise(t.polys, tiling.grid(t.rasters, 512, 0), 512)
+    return m.select("image_id", "tile_id", "w", "h", F.sha2("data", 256).alias("digest"))
+
+
+@query("j4_blanked_boxes", "select image_id, cast(sum(case when x between 5 and 19 and y between 3 and 9 then 0 else val end) as bigint) total from {pixels} group by 1")
+def _(t):
+    ship(t.spark)
+    boxes = t.pixels.select("image_id").distinct().select("image_id", F.lit(0).alias("tile_id"), F.lit(5).alias("xmin"), F.lit(3).alias("ymin"), F.lit(20).alias("xmax"), F.lit(10).alias("ymax"))
+    return raster.fill_boxes(_tiles(t), boxes, 0).withColumn("v", F.explode(_bytes("data"))).groupBy("image_id").agg(F.sum("v").alias("total"))
+
+
+@query("j9_downscaled", "select image_id, cast(sum(val) as bigint) total from {pixels} join (select image_id, (max(y)+1)//4*4 hh from {pixels} group by 1) using (image_id) where x % 4 = 0 and y % 4 = 0 and y < hh group by 1")
+def _(t):
+    ship(t.spark)
+    return raster.downscale(_tiles(t), 4).withColumn("v", F.explode(_bytes("data"))).groupBy("image_id").agg(F.sum("v").alias("total"))
+
+
+@query("j11_palette")
+def _(t):
+    return raster.palette(t.pixels, 20)
+
+
+@query("j12_paste_plan")
+def _(t):
+    ship(t.spark)
+    bg = t.rasters.select(F.col("image_id").alias("bg_id"), F.col("width").alias("w"), F.col("height").alias("h"))
+    fg = sampling.dense_ids(t.polys.select("poly_id"), ["poly_id"], "fg_id", 0).select("fg_id", (50 + F.col("fg_id") % 60).cast("int").alias("fw"), (40 + F.col("fg_id") % 70).cast("int").alias("fh"))
+    return raster.paste_plan(bg, fg)
+
+
+@query("j15_labelled_colours", "select distinct image_id, val from {mask_pixels} where gt_label > 0")
+def _(t):
+    return raster.labelled_colours(t.pixels, t.mask_pixels)
+
+
+@query("j16_size_check", "select image_id, prefix from {rasters} where not (width = 4977 and height = 3613)")
+def _(t):
+    return t.rasters.where("not (width = 4977 and height = 3613)").select("image_id", "prefix")
