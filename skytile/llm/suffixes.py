@@ -4,6 +4,8 @@ A byte goes when a string of ``width`` bytes covers it that also starts elsewher
 a string starting at s repeats is decided at its anchor, the position of least 16-gram hash among the first ``SPAN``
 from s on: equal strings have equal anchors, so suffixes need sorting at anchors only.
 
+Texts that occur more than once go as a whole and only one copy of each takes part in what follows.
+
 1. Anchors. Each document is cut into runs of starts that share an anchor. An anchor whose core (the bytes that
    all strings of its run have right of it) occurs once cannot repeat; only hashes of cores are shuffled.
 2. Runs. For the others, the run's bytes are looked up. Runs that are equal as a whole repeat as a whole, and
@@ -92,10 +94,6 @@ def _texts(batches):
         yield from zip(*[c.to_pylist() for c in batch.columns])
 
 
-def _doc_key(text_col):
-    return F.xxhash64(F.coalesce(text_col, F.lit("")))
-
-
 class LoserTree:
     """Merges sorted runs of (bytes, common prefix with the one before in its run, payload).
 
@@ -232,8 +230,11 @@ def repeated(items: list[tuple[bytes, bytes, int, int]], shared: list[int], widt
     return hit
 
 
-def removed_spans(docs: DataFrame, width: int = WIDTH, span: int = SPAN, most_in_core: int = MOST_IN_CORE) -> DataFrame:
-    """(doc_id, doc_key, spans): per document with repeats, starts lo..hi whose strings repeat, from ``docs`` (doc_id, doc_key, text)."""
+def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span: int = SPAN, most_in_core: int = MOST_IN_CORE) -> tuple[DataFrame, DataFrame]:
+    """Texts that share a core with another text (doc_id, doc_key, text), and by (doc_id, doc_key) their spans: starts lo..hi whose strings repeat.
+
+    docs: doc_id (not null), doc_key, text; firsts: (doc_id, doc_key) of one document of each text.
+    """
     core = width - span + 1
 
     def anchors(batches):
@@ -242,13 +243,14 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, span: int = SPAN, most_in
             for doc, key, text in part:
                 a, lo, hi, h = runs(np.frombuffer(text.encode(), np.uint8), width, span)
                 if len(a):
-                    for c, v in zip(cols, (np.full(len(a), doc if doc is not None else 0), np.full(len(a), key), a, lo, hi, h.view(np.int64))):
+                    for c, v in zip(cols, (np.full(len(a), doc), np.full(len(a), key), a, lo, hi, h.view(np.int64))):
                         c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t), k) for c, t, k in zip(cols, (np.int64, np.int64, np.int32, np.int16, np.int16, np.int64), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64()))], names=["doc_id", "doc_key", "anchor", "least", "most", "core"])
 
     found = docs.select("doc_id", "doc_key", "text").mapInArrow(anchors, "doc_id long, doc_key long, anchor int, least short, most short, core long")
-    again = found.withColumn("c", F.count("*").over(Window.partitionBy("core"))).where("c > 1")
+    twice = lambda df: df.withColumn("c", F.count("*").over(Window.partitionBy("core"))).where("c > 1").drop("c")
+    again = twice(twice(found).join(firsts, ["doc_id", "doc_key"], "left_semi"))
     wanted = again.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("anchor", "least", "most", "core")).alias("runs"))
 
     def cut(batches):
@@ -270,9 +272,8 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, span: int = SPAN, most_in
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds.types)], schema=kinds)
 
     kinds = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("anchor", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("core", pa.int64()), ("run", pa.binary()), ("piece", pa.binary())])
-    wanted = wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("doc_key", "_k")
-    with_text = docs.join(wanted, (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("_d")) & (docs["doc_key"] == F.col("_k"))).select(F.col("_d").alias("doc_id"), F.col("_k").alias("doc_key"), "text", "runs")
-    places = stored(with_text.mapInArrow(cut, "doc_id long, doc_key long, anchor int, least short, most short, core long, run binary, piece binary"), "places")
+    texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "doc_key"]).select("doc_id", "doc_key", "text", "runs").dropDuplicates(["doc_id", "doc_key"]), "texts")
+    places = stored(texts.mapInArrow(cut, "doc_id long, doc_key long, anchor int, least short, most short, core long, run binary, piece binary"), "places")
     whole = places.groupBy("run").agg(F.first("core").alias("core"), F.first("least").alias("least"), F.first("most").alias("most"), F.count("*").alias("n"), F.max("piece").alias("piece"))
     distinct = stored(whole, "runs")
 
@@ -286,7 +287,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, span: int = SPAN, most_in
     decided = full.unionByName(parts.join(distinct.where("n > 1").select("run"), "run", "left_anti"))
     hits = places.drop("piece", "core", "least", "most").join(decided, "run")
     spans = hits.select("doc_id", "doc_key", F.explode("spans").alias("s"), "anchor")
-    return spans.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct((F.col("anchor") - F.col("s.hi")).alias("lo"), (F.col("anchor") - F.col("s.lo")).alias("hi"))).alias("spans"))
+    return texts.drop("runs"), spans.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct((F.col("anchor") - F.col("s.hi")).alias("lo"), (F.col("anchor") - F.col("s.lo")).alias("hi"))).alias("spans"))
 
 
 def _parts(rows, size=lambda r: len(r[2])):
@@ -391,36 +392,40 @@ def _by_strings(open_runs: DataFrame, width: int) -> DataFrame:
     return hit.groupBy("run").agg(F.collect_list("s").alias("spans"))
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
 def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", span: int | None = None, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     span = span or width // 2
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc_key", _doc_key(F.col("text"))).select("doc_id", "doc_key", "text")
-    spans = removed_spans(rows, width, span, most_in_core)
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k"), "spans")
-    joined = rows.join(spans, (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("doc_key") == F.col("_k")), "left").select("doc_id", "text", "spans")
+    given = docs.select(F.col(id_col).cast("long").alias("given_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = given.withColumn("doc_id", F.coalesce("given_id", F.lit(0))).withColumn("doc_key", F.xxhash64("text"))
+    light = stored(rows.select("given_id", "doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "light")
+    same = stored(light.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "doc_key")).alias("f")), "same")
+    texts, spans = removed_spans(rows.select("doc_id", "doc_key", "text"), same.select("f.*"), width, span, most_in_core)
 
     def remove(batches):
-        for part in _parts(_texts(batches), lambda r: len(r[1])):
+        for part in _parts(_texts(batches)):
             out = []
-            for doc, text, own in part:
+            for doc, key, text, own in part:
                 data = text.encode()
-                if not own:
-                    out.append((doc, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
-                    continue
                 cover = np.zeros(len(data) + 1, np.int64)
                 np.add.at(cover, [s["lo"] for s in own], 1)
                 np.add.at(cover, [s["hi"] + width for s in own], -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((doc, len(data), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.mapInArrow(remove, OUT)
+                out.append((doc, key, int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "doc_key", "removed", "runs", "left_sha"])
+
+    cut = texts.join(spans, ["doc_id", "doc_key"]).select("doc_id", "doc_key", "text", "spans").mapInArrow(remove, "doc_id long, doc_key long, removed long, runs long, left_sha string")
+    # Only digests and counts meet here; a text with copies goes as a whole if it is long enough.
+    many = same.where("copies > 1").select("sha", F.lit(True).alias("copied"))
+    joined = light.join(many, "sha", "left").join(cut, ["doc_id", "doc_key"], "left")
+    whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= width)
+    return joined.select(
+        F.col("given_id").alias("doc_id"), "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
+    )
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
