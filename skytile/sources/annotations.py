@@ -19,6 +19,10 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _label(name: Column, labels: dict[str, int] | None) -> Column:
     first = F.element_at(F.split(name, "_"), 1)
     number = first.try_cast("double").cast("int")
@@ -64,7 +68,7 @@ def read_box_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, pos, score): the n-th line of a score file belongs to the n-th coordinate element."""
-    t = spark.read.text(path, wholetext=True).select(base_name(F.input_file_name()).alias("prefix"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "s"))
+    t = spark.read.text(path, wholetext=True).select(base_name(F.input_file_name()).alias("prefix"), F.posexplode(F.split(_strip(F.col("value")), r"\s+")).alias("pos", "s"))
     return t.select("prefix", "pos", F.col("s").try_cast("double").alias("score"))
 
 
@@ -142,7 +146,7 @@ def map_geometry(boxes: DataFrame) -> DataFrame:
 
 
 def read_scene_list(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("name"))
+    t = spark.read.text(path).select(_strip(F.regexp_replace("value", "^﻿", "")).alias("name"))
     return t.where("name <> ''")
 
 

@@ -40,7 +40,7 @@ def rates(results: DataFrame, how: str = "tumbling", size: str = "1 hour", slide
     """Detections per job and event-time window; late rows within ``delay`` count, repeated (job, block) rows count once."""
     r = results
     if results.isStreaming:
-        r = r.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+        r = r.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     else:
         r = r.dropDuplicates(["event_id"])
     w = {"tumbling": lambda: F.window("ts", size), "sliding": lambda: F.window("ts", size, slide), "session": lambda: F.session_window("ts", gap)}[how]()
