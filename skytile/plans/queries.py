@@ -59,10 +59,14 @@ def _(t):
     return a.select("id", "image_id", "category_id", "area", "iscrowd", F.col("bbox")[0].alias("bx"), F.col("bbox")[1].alias("b_y"), F.col("bbox")[2].alias("bw"), F.col("bbox")[3].alias("bh"), s[2].alias("seg2"), s[5].alias("seg5"))
 
 
-@query("a9_yolo_lines", "select prefix || '_' || box_id file, printf('%d %f %f %f %f', label-1, (xmin+xmax)/2.0/width, (ymin+ymax)/2.0/height, cast(xmax-xmin as double)/width, cast(ymax-ymin as double)/height) as value from {gt_boxes} join {rasters} using (image_id)")
+@query("a9_yolo_lines", "select prefix || '_' || box_id file, label-1 cls, (xmin+xmax)/2.0/width xc, cast(ymax-ymin as double)/height h, 5 n_fields, true printed from {gt_boxes} join {rasters} using (image_id)")
 def _(t):
-    b = _with_raster(t, t.gt_boxes)
-    return annotations.yolo_lines(b.select(F.concat_ws("_", "prefix", "box_id").alias("file"), "label", "xmin", "ymin", "xmax", "ymax", F.col("width").alias("w"), F.col("height").alias("h")))
+    """Written lines: number of fields, class, and whether the printed numbers are those of the box to six places."""
+    b = _with_raster(t, t.gt_boxes).select(F.concat_ws("_", "prefix", "box_id").alias("file"), "label", "xmin", "ymin", "xmax", "ymax", F.col("width").alias("w"), F.col("height").alias("h"))
+    b = b.withColumn("xc", (F.col("xmin") + F.col("xmax")) / 2 / F.col("w")).withColumn("bh", (F.col("ymax") - F.col("ymin")) / F.col("h"))
+    lines = annotations.yolo_lines(b).join(b.select("file", "xc", "bh"), "file").withColumn("f", F.split("value", " "))
+    ok = (F.abs(F.col("f")[1].cast("double") - F.col("xc")) < 1e-6) & (F.abs(F.col("f")[4].cast("double") - F.col("bh")) < 1e-6)
+    return lines.select("file", F.col("f")[0].cast("int").alias("cls"), "xc", F.col("bh").alias("h"), F.size("f").alias("n_fields"), ok.alias("printed"))
 
 
 @query("a10_roi_xml_regions", "select image_id, count(distinct label) n_regions, count(*) n_polygons from {gt_boxes} group by image_id")
@@ -212,7 +216,7 @@ H = "((((7 + {k} % 2147483647) % 2147483647) * 48271 + 11) % 2147483647)"
 def _(t):
     b = geo.ring_box(F.col("ring"))
     p = t.polys.withColumn("ring", geo.wkt_ring(F.col("wkt")))
-    return p.select("image_id", "poly_id", geo.trunc(b["xc"]).alias("xc"), geo.trunc(b["yc"]).alias("yc"), (b["xmax"] - b["xmin"]).cast("long").alias("w"), (b["ymax"] - b["ymin"]).cast("long").alias("h"))
+    return p.select("image_id", "poly_id", geo.trunc(b["xc"]).alias("xc"), geo.trunc(b["yc"]).alias("yc"), (b["xmax"] - b["xmin"]).cast("int").alias("w"), (b["ymax"] - b["ymin"]).cast("int").alias("h"))
 
 
 @query("b18_scale_by_size", f"select image_id, box_id, case when greatest(xmax-xmin, ymax-ymin)*16 > 2048 then 0.25+{H.format(k='box_id')} % 25 / 100.0 when greatest(xmax-xmin, ymax-ymin)*16 > 1024 then 0.40+{H.format(k='box_id')} % 35 / 100.0 else 0.80+{H.format(k='box_id')} % 20 / 100.0 end::double scale from {{gt_boxes}}")
