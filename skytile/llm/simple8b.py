@@ -25,6 +25,7 @@ BLOCK = 4096
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNT = np.array([1, *[n for n, _ in PACKINGS], 1], np.int64)
 _SHIFT = np.uint64(60)
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 _LOW = np.uint64((1 << 60) - 1)
 
 
@@ -32,7 +33,7 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarra
     """(words, escaped ids) of each row of a zero-padded uint64 matrix; all rows advance together, a word at a time."""
     n, width = blocks.shape
     values = np.concatenate([blocks, np.zeros((n, 60), np.uint64)], axis=1)
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    bits = _BITS[values.astype(np.uint16)] if values.max(initial=0) < 1 << 16 else np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     wide = bits > 60
     best = np.zeros((n, width), np.int8)
     most, span = bits, 1  # the widest of the next `span` ids
@@ -42,7 +43,7 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarra
             step = min(span, count - span)
             most = np.maximum(most[:, :-step], most[:, step:])
             span += step
-        best[most[:, :width] <= room] = selector
+        np.copyto(best, selector, where=most[:, :width] <= room)
     rows, at = np.arange(n), np.zeros(n, np.int64)
     used: list[np.ndarray] = []
     starts: list[np.ndarray] = []

@@ -1,8 +1,8 @@
 """Whole-text tokenising with a public vocabulary, fast enough for large corpora.
 
 The vocabulary lower-cases, drops white space and cuts a text into words, single digits and runs of
-marks; each of these has ids of its own. They repeat, so each Python worker keeps a bounded cache
-from word to ids and only unseen words reach the tokenizer, many at a time.
+marks; each of these has ids of its own. They repeat, so each Python worker keeps a bounded table from 64-bit word
+hashes to ids, which a text's words look up all at once; only unseen words reach the tokenizer, many at a time.
 """
 
 from __future__ import annotations
@@ -11,14 +11,29 @@ import re
 
 import numpy as np
 
-#: Words in one generation of a worker's cache. When it is full it becomes the old one, from which words in
-#: use return to the new; bounds memory, never changes results.
-CACHE_LIMIT = 800_000
+#: Slots of a worker's table; when half of them are taken the table starts anew. Bounds memory, never changes results.
+SLOTS = 1 << 22
 
 _ENCODERS: dict[str, "Encoder"] = {}
-# The vocabulary's word pattern for lower-cased Latin-1 text.
+# The vocabulary's word pattern for lower-cased Latin-1 text; only texts with an apostrophe need it as a pattern.
 _WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+_CLASS = np.array([_SPACE if c in (*range(9, 14), 32, 0x85, 0xA0) else _DIGIT if 48 <= c <= 57 or c in (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE) else _LETTER if 97 <= c <= 122 or c in (0xAA, 0xB5, 0xBA) or c >= 0xDF and c != 0xF7 else _MARK for c in range(256)], np.uint8)
+
+_BASE = 0x5851F42D4C957F2D
+_BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        factors = [np.full(max(n, 1 << 17), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for f in factors:
+            f[0] = 1
+        _POWERS[:] = [np.cumprod(f, dtype=np.uint64) for f in factors]
+    return _POWERS
 
 
 class Encoder:
@@ -26,61 +41,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.first, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.flat, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Put words into the cache; each ends with the one id that marks its end."""
-        if len(self.words) + len(words) > CACHE_LIMIT:
-            self.old, self.words = self.words, {}
-        words = [w for w in words if not self._back(w)]
-        if not words:
-            return
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or the free one where it would go."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        off = np.flatnonzero((self.keys[slot] != hashes) & (self.keys[slot] != 0))
+        while len(off):
+            slot[off] = (slot[off] + 1) & (SLOTS - 1)
+            k = self.keys[slot[off]]
+            off = off[(k != hashes[off]) & (k != 0)]
+        return slot
+
+    def _learn(self, words: list[bytes], hashes: list[int]) -> None:
+        """Put words into the table; each ends with the one id that marks its end."""
         ids = self._encode(b" ".join(words).decode("latin-1"))
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(words):
-            raw, last = ids.tobytes(), 0
-            for word, stop in zip(words, (stops * 4).tolist()):
-                self.words[word] = raw[last:stop]
-                last = stop
-        else:
-            for word in words:
-                self.words[word] = self._encode(word.decode("latin-1")).tobytes()
-
-    def _back(self, word: bytes) -> bool:
-        """Bring a word back from the old generation, if it is there."""
-        if (ids := self.old.get(word)) is None:
-            return False
-        self.words[word] = ids
-        return True
+        if len(stops) != len(words):
+            each = [self._encode(w.decode("latin-1")) for w in words]
+            ids, stops = np.concatenate(each), np.cumsum([len(e) for e in each])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        last = 0
+        for h, stop in zip(hashes, stops.tolist()):
+            slot = h & (SLOTS - 1)
+            while self.keys[slot]:
+                slot = (slot + 1) & (SLOTS - 1)
+            self.keys[slot], self.first[slot], self.count[slot] = h, self.used + last, stop - last
+            last = stop
+        self.used += len(ids)
+        self.taken += len(words)
 
     def ids(self, text: str | None) -> np.ndarray:
         """All ids of a text (null: none) as uint32."""
         if not text:
             return np.zeros(0, "<u4")
         try:
-            raw = text.encode("latin-1")
+            raw = text.encode("latin-1").translate(_LOWER)
         except UnicodeEncodeError:
             return self._encode(text)
         if "<|" in text:  # may hold the text of a special token
             return self._encode(text)
-        words = _WORD.findall(raw.translate(_LOWER))
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
-        except KeyError:
-            self._learn(list(set(words).difference(self.words)))
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
-        except KeyError:  # a new generation has just begun
-            self._learn(list(set(words)))
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+        if b"'" in raw:
+            raw = b" ".join(_WORD.findall(raw))
+            data = np.frombuffer(raw, np.uint8)
+            cls = (data != 32).astype(np.uint8)
+        else:
+            data = np.frombuffer(raw, np.uint8)
+            cls = _CLASS[data]
+        if not len(data):
+            return np.zeros(0, "<u4")
+        edge = np.empty(len(data), bool)
+        edge[0] = True
+        np.logical_or(cls[1:] != cls[:-1], cls[1:] == _DIGIT, out=edge[1:])
+        starts = np.flatnonzero(edge)
+        stops = np.append(starts[1:], len(data))
+        real = cls[starts] != _SPACE
+        starts, stops = starts[real], stops[real]
+        if not len(starts):
+            return np.zeros(0, "<u4")
+        up, down = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
+        h = (total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _M1
+        h = (h ^ (h >> np.uint64(30))) * _M2
+        h ^= h >> np.uint64(31)
+        h[h == 0] = 1
+        slot = self._slots(h)
+        new = np.flatnonzero(self.keys[slot] == 0)
+        if len(new):
+            unseen, at = np.unique(h[new], return_index=True)
+            if self.taken + len(unseen) > SLOTS // 2:
+                self._clear()
+                new = np.arange(len(h))
+                unseen, at = np.unique(h, return_index=True)
+            for lo in range(0, len(unseen), SLOTS // 4):
+                some = new[at[lo : lo + SLOTS // 4]]
+                self._learn([raw[a:b] for a, b in zip(starts[some].tolist(), stops[some].tolist())], unseen[lo : lo + SLOTS // 4].tolist())
+            slot = self._slots(h)
+        n = self.count[slot].astype(np.int64)
+        end = np.cumsum(n)
+        return self.flat[np.repeat(self.first[slot] - (end - n), n) + np.arange(end[-1])]
 
 
 def encoder(path: str) -> Encoder:
