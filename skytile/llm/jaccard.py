@@ -164,22 +164,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row, and the component label of every node that has a link to another set."""
     rows = stored(sketches(docs, k, percent, extra, id_col, text_col, False).drop("small"), "rows")
-    few = sketches(docs, k, percent, extra, id_col, text_col, True).where("n > 0")
-    classes = few.groupBy("node", "n").agg(F.min("doc_id").alias("first_doc"), F.first("small").alias("small"))
-    posted = classes.select("node", "n", "first_doc", F.explode("small").alias("h"))
-    shared = posted.withColumn("c", F.count("*").over(_by("h"))).where("c > 1")
     least = F.ceil(percent * F.col("n") / F.lit(100)).cast("long")
+    few = sketches(docs, k, percent, extra, id_col, text_col, True).where("n > 0")
+    # Only a node and a hash move for each of the smallest hashes; sizes and ids are joined to their counts.
+    posted = few.groupBy("node").agg(F.first("small").alias("small")).select("node", F.explode("small").alias("h"))
+    shared = posted.withColumn("c", F.count("*").over(_by("h"))).where("c > 1").groupBy("node").agg(F.count("*").alias("m"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_first"), F.min("n").alias("n"))
     asked = 1 + F.floor(F.lit(extra) * least)
-    left = stored(shared.groupBy("node", "n", "first_doc").agg(F.count("*").alias("m")).where(F.col("m") >= asked).select("node", F.col("first_doc").alias("_first")), "left")
+    left = stored(shared.join(classes, "node").where(F.col("m") >= asked).select("node", "_first"), "left")
 
-    ids = left.select(F.col("_first")).distinct()
+    ids = left.select("_first").distinct()
     # By shuffle at every size: what is left grows with the table, so its ids are never broadcast.
     some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first"], "left_semi")
     sets = stored(full_sets(some, k, text_col).dropDuplicates(["node"]).join(left.select("node"), "node", "left_semi"), "sets")
 
-    members = sets.select("node", "n", F.explode("members").alias("h"))
-    common = members.withColumn("c", F.count("*").over(_by("h"))).where("c > 1")
-    ordered = common.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o"))
+    members = sets.select("node", F.explode("members").alias("h"))
+    common = members.withColumn("c", F.count("*").over(_by("h")).cast("int")).where("c > 1")
+    ordered = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o")).join(sets.select("node", "n"), "node")
     ordered = ordered.withColumn("alone", F.col("n") - F.size("o"))
     prefix = F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - F.col("alone")).cast("int")
     index = ordered.select("node", "n", "alone", F.posexplode(F.slice("o", 1, prefix)).alias("p", "e")).where(prefix > 0)
