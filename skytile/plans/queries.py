@@ -357,10 +357,10 @@ def _lines(t):
     return t.polys.select("image_id", F.col("poly_id").alias("line_id"), F.posexplode(ring).alias("pos", "p")).select("image_id", "line_id", "pos", "p.x", "p.y")
 
 
-@query("c19_segment_tiles")
+@query("c19_segment_tiles", "with l as (select image_id, box_id line_id, [xmin,xmax,xmax,floor((xmin+xmax)/2),xmin,xmin]::double[] x, [ymin,ymin,ymax,ymax+10,ymax,ymin]::double[] y from {gt_boxes} where box_id%20=0), p as (select image_id, line_id, i pos, x[i+1] x, y[i+1] y from l, range(0,6) t(i)), s as (select *, lead(x) over w x2, lead(y) over w y2 from p window w as (partition by image_id, line_id order by pos)), c as (select s.*, c.i col, r.i as row from s, range(0,10) c(i), range(0,10) r(i) where x2 is not null and c.i between floor(least(x,x2)/512) and floor(greatest(x,x2)/512) and r.i between floor(least(y,y2)/512) and floor(greatest(y,y2)/512)), u as (select *, case when x2<>x then (col*512-x)/(x2-x) end ax, case when x2<>x then ((col+1)*512-x)/(x2-x) end bx, case when y2<>y then (row*512-y)/(y2-y) end ay, case when y2<>y then ((row+1)*512-y)/(y2-y) end b_y from c), v as (select *, greatest(0.0, least(ax,bx), least(ay,b_y)) t0, least(1.0, greatest(ax,bx), greatest(ay,b_y)) t1 from u where (x2<>x or (col*512<=x and (col+1)*512>x)) and (y2<>y or (row*512<=y and (row+1)*512>y))) select image_id, line_id, cast(pos as int) pos, cast(col as int) col, cast(row as int) as row, round(t0, 9) t0, round(t1, 9) t1 from v where t0 <= t1")
 def _(t):
     """Tiles of 512 pixels that the segments of polylines cross."""
-    return spatial.segment_tiles(_lines(t), 512)
+    return spatial.segment_tiles(_lines(t), 512).withColumn("t0", _r("t0", 9)).withColumn("t1", _r("t1", 9))
 
 
 # ---- aggregations -------------------------------------------------------------------------------------
@@ -550,13 +550,13 @@ def _(t):
     return sampling.bernoulli(t.gt_boxes, ["box_id"], 0.1, 7).select("image_id", "box_id")
 
 
-@query("f7_random_pairs")
+@query("f7_random_pairs", "with d as (select image_id, row_number() over (order by image_id)-1 k, count(*) over () n from {rasters}), w as (select i draw, ((1 + i) % 2147483647 * 48271 + 11) % 2147483647 % (select count(*) from {rasters}) ka, ((2 + i) % 2147483647 * 48271 + 11) % 2147483647 hb from range(0,5000) t(i)) select draw, a.image_id id_a, b.image_id id_b from w join d a on a.k=w.ka join d b on b.k=(w.ka+1+hb%(a.n-1))%a.n")
 def _(t):
     """5000 draws of two different images."""
     return sampling.random_pairs(t.rasters.select(F.col("image_id").alias("id")), 5000)
 
 
-@query("f8_mixed_points")
+@query("f8_mixed_points", "with h as (select image_id, x, y, row_number() over (partition by image_id order by ((((0 + x::bigint) % 2147483647 * 48271 + 11) % 2147483647 + y) % 2147483647 * 48271 + 11) % 2147483647, x, y) r from {mask_pixels} where gt_label > 0), c as (select p.image_id, poly_id, cast(trunc((xmin*3+xmax*2+floor((xmin+xmax)/2))/6.0) as int) x, cast(trunc((ymin*3+ymax*2+ymax+10)/6.0) as int) y from {polys} p join {gt_boxes} b on b.image_id=p.image_id and b.box_id=p.poly_id where p.label in (2,4)) select image_id, x, y, 'pixel' kind from h where r <= 100 union all select image_id, x, y, 'centre' from c union all select image_id, cast(x + ((1 + poly_id % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 % 65 - 32 as int), cast(y + ((2 + poly_id % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 % 65 - 32 as int), 'jitter' from c")
 def _(t):
     """Labelled pixels per block, centres of some polygons, and jittered centres."""
     px = sampling.random_n(t.mask_pixels.where("gt_label > 0"), ["image_id"], ["x", "y"], 100).select("image_id", "x", "y", F.lit("pixel").alias("kind"))
@@ -687,11 +687,11 @@ def _(t):
     return t.pixels.where("val <> 0").groupBy("x", "y").agg(F.max_by("val", "image_id").alias("val"))
 
 
-@query("j8_histogram_match")
+@query("j8_histogram_match", "with h as (select image_id, val, count(*) n from {pixels} group by 1, 2), c as (select image_id, val, sum(n) over (partition by image_id order by val)/sum(n) over (partition by image_id) q from h), r as (select image_id ref, val v0, q c0, lead(val) over w v1, lead(q) over w c1, row_number() over w k from c window w as (partition by image_id order by val)) select p.image_id src, r.ref, s.val, round(case when s.q < c0 or c1 is null then v0 else v0+(v1-v0)*(s.q-c0)/(c1-c0) end, 6) matched from {rasters} p join c s on s.image_id=p.image_id join r on r.ref=p.image_id+1 where p.image_id < 19 and ((s.q >= c0 and (s.q < c1 or c1 is null)) or (k=1 and s.q < c0))")
 def _(t):
     c = sequence.cdf(sequence.histogram(t.pixels, ["image_id"]), ["image_id"])
     pairs = t.rasters.where("image_id < 19").select(F.col("image_id").alias("src"), (F.col("image_id") + 1).alias("ref"))
-    return sequence.match_table(c, pairs)
+    return sequence.match_table(c, pairs).withColumn("matched", _r("matched"))
 
 
 @query("k1_nms")
