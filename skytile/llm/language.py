@@ -144,7 +144,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     key = F.xxhash64(F.col("doc_id"))
     ranked = rows.select("lang", key.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k")))
     bounds = ranked.where(F.col("r") <= sample).groupBy("lang").agg(F.max("k").alias("last"))
-    chosen = rows.join(bounds, "lang").where(key <= F.col("last")).select("doc_id", "text", "lang")
+    # A row per language, so broadcast: texts stay where they are.
+    chosen = rows.join(F.broadcast(bounds), "lang").where(key <= F.col("last")).select("doc_id", "text", "lang")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "lang", "text"])
