@@ -104,8 +104,8 @@ def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, target_entropy: float |
     plan = w.join(ends, "source_key", "left").join(cuts, "source_key", "left")
     plan = plan.select(F.col("source_key").alias("_mix_source"), F.struct("blocks", "passes", "rest", "weight", "end_key", "end_place").alias("_mix_plan"))
 
-    # The plan has a row per source: Spark broadcasts it if its size allows, else the join may be split.
-    out = docs.withColumn("_mix_source", key).join(plan, "_mix_source")
+    # The plan has a row per source, as the array of sources above, so documents stay where they are.
+    out = docs.withColumn("_mix_source", key).join(F.broadcast(plan), "_mix_source")
     m, doc = F.col("_mix_plan"), docs[id_col]
     doc_key = order(m["passes"], F.col("_mix_source"), block(doc, m["blocks"]))
     inside = (m["rest"] > 0) & (m["end_key"].isNull() | (doc_key < m["end_key"]) | ((doc_key == m["end_key"]) & F.coalesce(place(doc) <= m["end_place"], F.lit(False))))
