@@ -5,7 +5,7 @@ pivots, ranks them for a query by the footrule distance of the two orders (a piv
 counts as last), and reranks the first ``candidates`` of them by exact Euclidean distance in double precision.
 
 Shards hold a bounded number of vectors; queries are dealt to every shard and only the ``k`` best of each shard
-meet again. Pivots are a bounded sample (``PIVOTS`` rows of smallest hashed id); every row is indexed.
+meet again. Pivots are ``PIVOTS`` different vectors of a bounded sample (four times as many rows, of smallest hashed id); every row is indexed.
 Null vectors, zero vectors and those holding null or non-finite components take no part; vectors of
 different lengths are never compared. Rows that share the query's id are not its candidates; ties go to the
 smaller id. Empty tables give no rows.
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from skytile.session import ship
 
 PIVOTS = 256
-PREFIX = 64
+PREFIX = 128
 SHARD_ROWS = 8192
 #: Share of a shard that is reranked, and the least number.
-CANDIDATES = (0.2, 256)
+CANDIDATES = (0.45, 256)
 
 NEAREST = "query_id long, vec_id long, score double"
 
@@ -41,33 +41,36 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def search_shard(ids, vectors, query_ids, queries, pivots, k: int, prefix: int, share: float, least: int):
-    """The k nearest of a shard to each query, by inverted files, footrule distance and exact rerank."""
-    at = np.argsort(ids, kind="stable")
-    ids, vectors = ids[at], vectors[at]
+    """The k nearest of a shard to each query, by inverted files, footrule distance and exact rerank.
+
+    Equal vectors are one entry of the index, whose k + 1 smallest ids can be answers; so copies crowd nobody out.
+    """
+    vectors, entry = np.unique(vectors, axis=0, return_inverse=True)
+    at = np.lexsort((ids, entry.ravel()))
+    ids, first = ids[at], np.searchsorted(entry.ravel()[at], np.arange(len(vectors) + 1))
     own, asked = orders(vectors, pivots, prefix), orders(queries, pivots, prefix)
     width = own.shape[1]
     row, place = np.divmod(np.argsort(own.ravel(), kind="stable"), width)
     bounds = np.searchsorted(np.sort(own.ravel()), np.arange(len(pivots) + 1))
-    take = min(len(ids), max(least, int(share * len(ids)), 4 * k))
+    take = min(len(vectors), max(least, int(share * len(vectors)), 4 * k))
     out = []
     for q, vector, order in zip(query_ids.tolist(), queries, asked):
         spans = [slice(bounds[p], bounds[p + 1]) for p in order]
         rows = np.concatenate([row[s] for s in spans])
         # Footrule distance = a constant less this credit, summed over the pivots that both orders hold.
         credit = np.concatenate([np.minimum(width - place[s], width - i) for i, s in enumerate(spans)])
-        score = np.bincount(rows, credit, len(ids))
-        score[ids == q] = -1
-        if take < len(ids):
-            edge = np.partition(score, len(ids) - take)[len(ids) - take]
-            sure = np.flatnonzero(score > edge)
-            found = np.concatenate([sure, np.flatnonzero(score == edge)[: take - len(sure)]])
-        else:
-            found = np.arange(len(ids))
-        found = found[score[found] >= 0]
+        score = np.bincount(rows, credit, len(vectors))
+        found = np.argpartition(-score, take - 1)[:take]
         gap = vectors[found] - vector
         exact = np.sqrt((gap * gap).sum(1))
-        best = np.lexsort((ids[found], exact))[:k]
-        out += [(q, i, s) for i, s in zip(ids[found[best]].tolist(), exact[best].tolist())]
+        near = np.argsort(exact, kind="stable")
+        near = near[exact[near] <= exact[near[min(k, take - 1)]]]  # k + 1 entries and their ties hold the answers
+        spots = [np.arange(first[e], min(first[e] + k + 1, first[e + 1])) for e in found[near]]
+        some, far = ids[np.concatenate(spots)], np.repeat(exact[near], [len(x) for x in spots])
+        other = some != q
+        some, far = some[other], far[other]
+        best = np.lexsort((some, far))[:k]
+        out += [(q, i, s) for i, s in zip(some[best].tolist(), far[best].tolist())]
     return out
 
 
@@ -79,11 +82,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
-    chosen = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots).orderBy("dim", "r").collect()  # at most `pivots` a length
+    chosen = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 4 * pivots).orderBy("dim", "r").collect()  # a bounded sample
     by_dim = {}
     for r in chosen:
         by_dim.setdefault(r["dim"], {}).setdefault(tuple(r["v"]))
-    by_dim = {d: np.array(list(vs)) for d, vs in by_dim.items()}
+    by_dim = {d: np.array(list(vs)[:pivots]) for d, vs in by_dim.items()}  # the first different ones
 
     shards = F.lit(1)
     for d, n in sizes.items():
