@@ -72,7 +72,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     n = len(words)
     lead = np.full(n, k, np.uint64)
     for i in range(k):
-        lead[: n - i] = _mix(lead[: n - i] * _C[0] + words[i:])
+        lead[: max(0, n - i)] = _mix(lead[: max(0, n - i)] * _C[0] + words[i:])
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) + 1
     bounds = np.searchsorted(starts, at)
     out = []

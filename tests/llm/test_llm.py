@@ -283,6 +283,15 @@ def test_jaccard_edges(spark):
     assert jaccard.join(docs_of(spark, []), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize("k", [3, 5])
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_jaccard_of_one_short_text(spark, k, n):
+    # A batch with fewer words in all than a shingle has.
+    rows = [(1, " ".join("one two three four".split()[:n]), None, None)]
+    got = [tuple(r) for r in jaccard.join(docs_of(spark, rows).coalesce(1), k, 80).collect()]
+    assert got == [(1, max(1, n - k + 1), 1)]
+
+
 # ---- neighbours, languages, surrogates --------------------------------------------------------------------
 
 
