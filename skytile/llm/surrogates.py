@@ -1,11 +1,12 @@
 """Surrogates for personal data: keyed, type-consistent replacements, the same for the same entity everywhere.
 
 E-mail addresses, phone, card and account numbers, IP addresses, social-security numbers, access tokens and
-titled person names are found in whole texts. Formatted values are mapped by a keyed permutation of all values of
+person names with a title are found in whole texts, and so is every other capitalised mention of a found name's
+parts in the same text. Formatted values are mapped by a keyed permutation of all values of
 their format (separators, letter classes and case, country code and check digit stay), so distinct values
 of a format stay distinct. Name parts become names of the same script, gender and part, composed from a
 word list and, if taken, a longer one. A name's parts are entities of their own, so "Mr. Ray Cole" and
-"Mr. Cole" agree.
+"Mr. Cole" agree. Initials follow the given name of their text that they stand for.
 
 Distinctness is then checked over the whole corpus: an entity whose surrogate is another's surrogate, or is
 itself a real value, gets a further attempt under another key until none is left. The check works on
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pandas as pd
@@ -50,19 +52,40 @@ STEM = {
 END = {"latin": ["berg", "dale", "feld", "gard", "low", "man", "mont", "ner", "sen", "stad", "ton", "vale", "ville", "well", "wick", "wood"], "cyrillic": ["енко", "ский", "ов", "ин"], "greek": ["άκης", "ίδης", "όπουλος", "ίου"]}
 LINK = {"latin": ["a", "e", "i", "o", "ar", "en", "il", "or"], "cyrillic": ["а", "о", "ар", "ен"], "greek": ["α", "ο", "αν", "ερ"]}
 
-_TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "г-н": "m", "κ": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Mme": "f", "г-жа": "f", "κα": "f"}
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
+_TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "г-н": "m", "κ": "m", "Dr": "n", "Prof": "n", "Professor": "n", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Mme": "f", "г-жа": "f", "κα": "f"}
+_ANY_TITLE = "(?:" + "|".join(sorted(_TITLES, key=len, reverse=True)) + ")"
+_CAPITAL = r"[^\W\d_" + "".join(chr(c) for c in range(0x530) if chr(c).islower()) + "]"
+_WORD = _CAPITAL + "(?:['’]" + _CAPITAL + r")?[^\W\d_]+"
+_PART = _WORD + "(?:-" + _WORD + ")*"
+_NAME = rf"(?!{_ANY_TITLE}\b)(?:{_CAPITAL}\. ?|{_CAPITAL} )*{_PART}(?: (?:{_CAPITAL}\.? )*{_PART})*"
+_PIECE = re.compile(f"{_WORD}|{_CAPITAL}")
+_MENTION = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+_V4 = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}"
+
+
+def _v6() -> str:
+    """All ways to write an IPv6 address, but for the one of zeros alone."""
+    h = "[0-9A-Fa-f]{1,4}"
+    ways = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{6}}{_V4}"]
+    for left in range(8):
+        right = [f"(?:{h}:){{0,{5 - left}}}{_V4}"] * (left < 6) + [f"{h}(?::{h}){{0,{6 - left}}}"] * (left < 7)
+        ways.append((f"{h}(?::{h}){{{left - 1}}}" if left else "") + "::" + (f"(?:{'|'.join(right)})" + "?" * (left > 0) if right else ""))
+    return "|".join(ways)
+
+
 _ENTITY = re.compile(
     r"(?<![A-Za-z0-9À-ÿ._%+-])(?P<email>[A-Za-z0-9À-ÿ._%+-]{0,200}[A-Za-z0-9À-ÿ]@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63})"
-    r"|(?<![\w.])(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\w]|\.\d)"
+    r"|(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)(?P<ipv6>" + _v6() + r")(?![\w:]|\.\d)"
+    r"|(?<![\w.])(?P<ip>" + _V4 + r")(?![\w]|\.\d)"
     r"|(?<!\w)(?P<token>(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9]{16,})(?!\w)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?![\w])"
-    r"|(?<!\w)(?P<title>" + "|".join(sorted(_TITLES, key=len, reverse=True)) + r")\.? (?P<name>" + _NAME + "(?: " + _NAME + ")?)"
+    rf"|(?<!\w)(?P<title>{_ANY_TITLE}\.? (?:{_ANY_TITLE}\.? )*)(?P<name>{_NAME})"
 )
-_MAYBE = re.compile(r"[0-9@]|(?<!\w)(?:" + "|".join(_TITLES) + r")\.? ")
+#: Found in every text that holds an entity.
+_MAYBE = re.compile(rf"[\d@]|::|AKIA[A-Z]{{16}}|(?:sk|ghp|xox[bp])[-_][A-Za-z]{{16}}|(?<!\w){_ANY_TITLE}\.? ")
 _KNOWN = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
 
 
@@ -149,6 +172,8 @@ def surrogate(kind: str, value: str, attempt: int) -> str:
             n = n * 256 + int(octet)
         n = permuted(n, 1 << 32, kind, attempt)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(permuted(int(ipaddress.IPv6Address(value)), 1 << 128, kind, attempt)))
     if kind == "card":
         if luhn(value[:-1]) == int(value[-1]):
             body = "".join(_radix(list(value[:-1]), [_DIGITS] * (len(value) - 1), "card-checked", attempt))
@@ -171,7 +196,20 @@ def surrogate(kind: str, value: str, attempt: int) -> str:
     return _classed(value, kind, attempt)
 
 
+_LETTERS = {"latin": _UPPER, "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
+
+
+def _initial(letter: str) -> str:
+    """Another letter of the same script."""
+    letters = _LETTERS[script(letter)].replace(letter, "")
+    return letters[_prf("initial", 0, letter) % len(letters)]
+
+
 def _normal(kind: str, raw: str) -> str:
+    if not raw.isascii() and kind != "email":  # digits of all scripts
+        raw = "".join(str(int(c)) if c.isdecimal() else c for c in raw)
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(raw))
     if kind == "email":
         return raw.lower()
     if kind == "phone":
@@ -190,6 +228,8 @@ def _formatted(kind: str, raw: str, new: str) -> str:
         return "".join(next(it) if c.isalnum() else c for c in raw)
     if kind == "email" or kind == "token" and re.fullmatch("[0-9a-fA-F]+", raw):
         return new.upper() if raw.isupper() else "".join(n.upper() if c.isupper() else n for c, n in zip(raw, new))
+    if kind == "ipv6":
+        return new.upper() if re.search("[A-F]", raw) else new
     if ":" in kind:
         return new.upper() if raw.isupper() else "-".join(p.capitalize() for p in new.split("-"))
     return new
@@ -199,26 +239,40 @@ def entities(text: str | None):
     """(start, end, kind, raw, normal value) of each entity of a text, in order, without overlaps."""
     if not text or not _MAYBE.search(text):
         return
+    found, parts = [], {}
     for m in _ENTITY.finditer(text):
-        if m.lastgroup != "name" and m.lastgroup != "title":
+        if m.lastgroup != "name":
             kind = m.lastgroup
-            yield m.start(), m.end(), kind, m.group(), _normal(kind, m.group())
+            found.append((m.start(), m.end(), kind, m.group(), _normal(kind, m.group())))
             continue
-        gender, at = _TITLES[m.group("title")], m.start("name")
-        parts = m.group("name").split(" ")
-        for i, part in enumerate(parts):
-            how = script(part)
-            kind = f"given:{how}:{_KNOWN.get(part.lower(), gender)}" if len(parts) == 2 and i == 0 else f"surname:{how}"
-            yield at, at + len(part), kind, part, part.lower()
-            at += len(part) + 1
+        genders = [_TITLES[t] for t in re.findall(_ANY_TITLE, m.group("title"))]
+        gender, at, name = next((g for g in genders if g != "n"), "n"), m.start("name"), m.group("name")
+        for piece in _PIECE.finditer(name):
+            part, how = piece.group(), script(piece.group())
+            if len(part) == 1:
+                kind = "initial"
+            else:
+                kind = f"surname:{how}" if piece.start() > name.rfind(" ") else f"given:{how}:{_KNOWN.get(part.lower(), gender)}"
+                parts.setdefault(part.lower(), kind)
+            found.append((at + piece.start(), at + piece.end(), kind, part, part.lower()))
+    if parts:
+        taken, i = list(found), 0
+        for m in _MENTION.finditer(text):
+            while i < len(taken) and taken[i][1] <= m.start():
+                i += 1
+            value = m.group().lower()
+            if value in parts and (i == len(taken) or m.end() <= taken[i][0]):
+                found.append((m.start(), m.end(), parts[value], m.group(), value))
+        found.sort(key=lambda e: e[0])
+    yield from found
 
 
 def rewrite(text: str | None, changed: dict[tuple[str, str], str] | None = None, memo: dict | None = None) -> tuple[str | None, int]:
     """The text with surrogates, and how many entities it held."""
-    out, last, n = [], 0, 0
+    found, given = [], {}
     for start, end, kind, raw, value in entities(text):
         new = changed.get((kind, value)) if changed else None
-        if new is None:
+        if new is None and kind != "initial":
             new = memo.get((kind, value)) if memo is not None else None
             if new is None:
                 new = surrogate(kind, value, 0)
@@ -226,9 +280,14 @@ def rewrite(text: str | None, changed: dict[tuple[str, str], str] | None = None,
                     if len(memo) > 100_000:
                         memo.clear()
                     memo[kind, value] = new
-        out += [text[last:start], _formatted(kind, raw, new)]
-        last, n = end, n + 1
-    return ("".join(out) + text[last:], n) if n else (text, 0)
+        if kind.startswith("given:"):
+            given.setdefault(raw[0], new[0].upper())
+        found.append((start, end, kind, raw, new))
+    out, last = [], 0
+    for start, end, kind, raw, new in found:
+        out += [text[last:start], _formatted(kind, raw, new) if kind != "initial" else given.get(raw) or _initial(raw)]
+        last = end
+    return ("".join(out) + text[last:], len(found)) if found else (text, 0)
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:
@@ -241,6 +300,8 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str | None = None) ->
             rows = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 for _, _, kind, _, value in entities(row[-1]):
+                    if kind == "initial":  # a letter stands for many names
+                        continue
                     item = (*row[:-1], kind, value)
                     if id_col or item not in seen:
                         rows.append(item)

@@ -355,6 +355,37 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert surrogates.rewrite(clean) == (clean, 0)
 
 
+@pytest.mark.parametrize("text,gone", [
+    ("Mr. Ray Cole met us. Cole said Ray would call COLE's son.", "Ray Cole COLE"),
+    ("Cole wrote. We asked Mrs. Cole", "Cole"),
+    ("Mr. John Paul Smith left", "John Paul Smith"),
+    ("Mrs. Anna Smith-Jones and Jones", "Anna Smith Jones"),
+    ("Mr. J. Smith, Mr J.R. Smith and Mr. John Q. Smith", "John Smith"),
+    ("Mr. O'Brien and Dr. Cole", "O'Brien Cole"),
+    ("Herr Prof. Dr. Weber, Professor Stone", "Weber Stone"),
+    ("at fe80::1ff:fe23:4567:890a, ::FFFF:10.1.2.3 or 2001:db8:0:0:0:0:0:1", "fe80 10.1.2.3 2001"),
+    ("key sk-abcdefghijklmnopqrst", "abcdefghijklmnopqrst"),
+    ("key AKIA" + "ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOP"),
+    ("card ٤١١١١١١١١١١١١١١١", "٤١١١١١١١١١١١١١١١"),
+])
+def test_surrogates_of_planted_spans(text, gone):
+    new, n = surrogates.rewrite(text)
+    assert n and not [x for x in gone.split() if re.search(rf"(?<!\w){re.escape(x)}(?!\w)", new)]
+    for title in ("Mr. ", "Mrs. ", "Herr Prof. Dr. ", "Dr. "):
+        assert new.count(title) == text.count(title)
+
+
+def test_surrogates_of_later_mentions():
+    new, n = surrogates.rewrite("Mr. Ray Cole met us. Cole said Ray would call. R. stays; Monsieur Dupont était là, coleslaw too.")
+    given, surname = re.match(r"Mr\. (\w+) (\w+) met us", new).groups()
+    assert n == 5 and f"us. {surname} said {given} would call. R. stays; Monsieur " in new and new.endswith(" était là, coleslaw too.")
+    new, _ = surrogates.rewrite("Mr. John Smith, also Mr. J. Smith")
+    given, surname, initial, again = re.fullmatch(r"Mr\. (\w+) (\w+), also Mr\. (\w)\. (\w+)", new).groups()
+    assert surname == again and initial == given[0]
+    for clean in ("At 12:30:45 std::vector, aa:bb:cc:dd:ee:ff and a :: b", "Miss it, Dr. who"):
+        assert surrogates.rewrite(clean) == (clean, 0)
+
+
 def test_surrogates_are_distinct_over_the_corpus(spark):
     # More surnames than a short list has room for, so that clashes occur and are resolved.
     rng = random.Random(8)
