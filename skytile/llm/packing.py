@@ -23,7 +23,6 @@ from skytile.session import ship
 
 WINDOW = 4096
 SHARD_TOKENS = 1_500_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,16 +42,15 @@ class Index:
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        # The best query terms of each document: those of most weight that another document has, too.
-        shared = np.repeat(df, df) > 1
-        rows = np.flatnonzero(shared)
-        rows = rows[np.lexsort((term[rows], -self.weight[rows], self.doc[rows]))]
+        # The query terms of each document: all that another document has, too.
+        rows = np.flatnonzero(np.repeat(df, df) > 1)
+        rows = rows[np.argsort(self.doc[rows], kind="stable")]
         bounds = np.searchsorted(self.doc[rows], np.arange(self.n + 1))
         place = np.repeat(np.arange(len(self.terms)), df)
-        self.query = [place[rows[a : min(b, a + QUERY_TERMS)]] for a, b in zip(bounds[:-1], bounds[1:])]
+        self.query = [place[rows[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def neighbours(self, doc: int) -> np.ndarray:
-        """Documents that share query terms with ``doc``, by falling score, then in order."""
+        """Documents that share a term with ``doc``, by falling score, then in order."""
         terms = self.query[doc]
         if not len(terms):
             return terms

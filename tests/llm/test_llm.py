@@ -116,6 +116,12 @@ def test_packing_follows_the_index():
     assert packing.Index(docs).neighbours(0)[:2].tolist() == [0, 2] and packing.Index(docs).neighbours(1)[:2].tolist() == [1, 3]
 
 
+def test_packing_finds_whoever_shares_a_term():
+    many = list(range(1, 31))
+    docs = [np.array(x, np.uint32) for x in ([*many, 99], many, [99, 50], [99, 51], [52])]
+    assert packing.Index(docs).neighbours(0).tolist() == [0, 1, 2, 3]
+
+
 # ---- WARC, mixing ---------------------------------------------------------------------------------------
 
 
