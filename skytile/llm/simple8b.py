@@ -21,6 +21,8 @@ from skytile.llm.warc import _open_out, open_in
 from skytile.session import scratch, ship, stored
 
 BLOCK = 4096
+#: Ids after which a task begins another file, so that a footer's rows are bounded.
+FILE_IDS = 1 << 26
 #: (ids in a word, bits of each) for selectors 1 to 14; selector 0 is the escape.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNT = np.array([1, *[n for n, _ in PACKINGS], 1], np.int64)
@@ -141,26 +143,34 @@ class Writer:
 MANIFEST = "file string, first_doc long, docs long, ids long, bytes long"
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise whole texts and write their ids in ascending document order, a file per range of ids.
+def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Tokenise whole texts and write their ids in ascending document order, a file or several per range of ids.
 
     Returns the manifest with ``start``, the ids in all files before. Files of failed tasks are not in it.
     A null text is empty, so has the end id alone; a null document id comes first; rows that share a document id
-    are kept, in any order among themselves; an empty table gives an empty manifest.
+    are kept, in the order of a hash of their texts; very long texts are one document; other columns are left out,
+    whatever their names; an empty table gives an empty manifest.
     """
     vocabulary = vocabulary or default_vocabulary()
 
+    kinds = pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
+
     def write(batches):
-        tokens, out = encoder(vocabulary), None
+        tokens, out, name, number = encoder(vocabulary), None, uuid.uuid4().hex, 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = out or Writer(f"{path}/{uuid.uuid4().hex}.s8b")
+                if out is None:
+                    out, number = Writer(f"{path}/{name}-{number:06d}.s8b"), number + 1
                 out.add(doc, np.append(tokens.ids(text), np.uint32(end_id)))
+                if out.total >= file_ids:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(out.close(), kinds)], schema=kinds)
+                    out = None
         if out:
-            yield pa.RecordBatch.from_pydict(dict(zip(["file", "first_doc", "docs", "ids", "bytes"], [[x] for x in out.close()])), pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(out.close(), kinds)], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash lets a range end inside the rows of one document id.
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = stored(ordered.mapInArrow(write, MANIFEST), "manifest")
     # A row per file, so one task can add them up. A file of null ids alone comes first, as null ids do.
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)

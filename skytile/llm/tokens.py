@@ -1,8 +1,10 @@
 """Whole-text tokenising with a public vocabulary, fast enough for large corpora.
 
 The vocabulary lower-cases, drops white space and cuts a text into words, single digits and runs of
-marks; each of these has ids of its own. They repeat, so each Python worker keeps a bounded table from 64-bit word
-hashes to ids, which a text's words look up all at once; only unseen words reach the tokenizer, many at a time.
+marks; each of these has ids of its own. They repeat, so each Python worker keeps a bounded table from words
+to ids, which a text's words look up all at once; only unseen words reach the tokenizer, many at a time. A word is
+found by a 64-bit hash and then compared byte for byte; a text that holds a word whose hash belongs to another one,
+or a word of more than ``words.LONG`` bytes, goes to the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -11,8 +13,12 @@ import re
 
 import numpy as np
 
+from skytile.llm import words
+
 #: Slots of a worker's table; when half of them are taken the table starts anew. Bounds memory, never changes results.
 SLOTS = 1 << 22
+#: Most eight-byte pieces of long words that a table holds.
+PIECES = 1 << 22
 
 _ENCODERS: dict[str, "Encoder"] = {}
 # The vocabulary's word pattern for lower-cased Latin-1 text; only texts with an apostrophe need it as a pattern.
@@ -21,35 +27,25 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c
 _SPACE, _LETTER, _DIGIT, _MARK = range(4)
 _CLASS = np.array([_SPACE if c in (*range(9, 14), 32, 0x85, 0xA0) else _DIGIT if 48 <= c <= 57 or c in (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE) else _LETTER if 97 <= c <= 122 or c in (0xAA, 0xB5, 0xBA) or c >= 0xDF and c != 0xF7 else _MARK for c in range(256)], np.uint8)
 
-_BASE = 0x5851F42D4C957F2D
-_BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        factors = [np.full(max(n, 1 << 17), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        for f in factors:
-            f[0] = 1
-        _POWERS[:] = [np.cumprod(f, dtype=np.uint64) for f in factors]
-    return _POWERS
-
-
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.first, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.flat, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
+        self.keys, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        # By entry: where its ids start and how many there are, its length, first eight bytes and further pieces.
+        self.first, self.count, self.length, self.head, self.more = [np.zeros(1 << 12, t) for t in (np.int32, np.int32, np.int32, np.uint64, np.int32)]
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.pieces, self.filled = np.zeros(1 << 12, np.uint64), 0
+        self.taken = 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -64,25 +60,33 @@ class Encoder:
             off = off[(k != hashes[off]) & (k != 0)]
         return slot
 
-    def _learn(self, words: list[bytes], hashes: list[int]) -> None:
+    def _learn(self, texts: list[bytes], hashes: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> None:
         """Put words into the table; each ends with the one id that marks its end."""
-        ids = self._encode(b" ".join(words).decode("latin-1"))
+        ids = self._encode(b" ".join(texts).decode("latin-1"))
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
-            each = [self._encode(w.decode("latin-1")) for w in words]
+        if len(stops) != len(texts):
+            each = [self._encode(w.decode("latin-1")) for w in texts]
             ids, stops = np.concatenate(each), np.cumsum([len(e) for e in each])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        n = len(texts)
+        self.flat = _room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
-        last = 0
-        for h, stop in zip(hashes, stops.tolist()):
-            slot = h & (SLOTS - 1)
-            while self.keys[slot]:
-                slot = (slot + 1) & (SLOTS - 1)
-            self.keys[slot], self.first[slot], self.count[slot] = h, self.used + last, stop - last
-            last = stop
+        own = slice(self.taken, self.taken + n)
+        for name in ("first", "count", "length", "head", "more"):
+            setattr(self, name, _room(getattr(self, name), self.taken + n))
+        self.first[own] = self.used + np.concatenate([[0], stops[:-1]])
+        self.count[own] = np.diff(stops, prepend=0)
+        self.length[own], self.head[own] = sizes, heads
+        further = np.maximum(sizes - 1, 0) // 8
+        self.pieces = _room(self.pieces, self.filled + int(further.sum()))
+        self.more[own] = self.filled + np.cumsum(further) - further
+        left = np.arange(n)
+        while len(left):
+            slot, at = np.unique(self._slots(hashes[left]), return_index=True)
+            self.keys[slot], self.entry[slot] = hashes[left[at]], self.taken + left[at]
+            left = np.delete(left, at)
         self.used += len(ids)
-        self.taken += len(words)
+        self.filled += int(further.sum())
+        self.taken += n
 
     def ids(self, text: str | None) -> np.ndarray:
         """All ids of a text (null: none) as uint32."""
@@ -112,28 +116,44 @@ class Encoder:
         starts, stops = starts[real], stops[real]
         if not len(starts):
             return np.zeros(0, "<u4")
-        up, down = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-        h = (total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _M1
-        h = (h ^ (h >> np.uint64(30))) * _M2
-        h ^= h >> np.uint64(31)
+        sizes = stops - starts
+        if sizes.max() > words.LONG:
+            return self._encode(text)
+        h, head, more = words.hashes(words.padded(raw), starts, sizes)
         h[h == 0] = 1
         slot = self._slots(h)
         new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
-            unseen, at = np.unique(h[new], return_index=True)
-            if self.taken + len(unseen) > SLOTS // 2:
+            _, at = np.unique(h[new], return_index=True)
+            room = int(((sizes[new[at]] - 1) // 8).sum())
+            if self.taken + len(at) > SLOTS // 2 or self.filled + room > PIECES:
                 self._clear()
                 new = np.arange(len(h))
-                unseen, at = np.unique(h, return_index=True)
-            for lo in range(0, len(unseen), SLOTS // 4):
+                _, at = np.unique(h, return_index=True)
+            for lo in range(0, len(at), SLOTS // 4):
                 some = new[at[lo : lo + SLOTS // 4]]
-                self._learn([raw[a:b] for a, b in zip(starts[some].tolist(), stops[some].tolist())], unseen[lo : lo + SLOTS // 4].tolist())
+                before = self.taken
+                self._learn([raw[a:b] for a, b in zip(starts[some].tolist(), stops[some].tolist())], h[some], sizes[some], head[some])
+                rank = np.full(len(h), -1)
+                rank[some] = np.arange(before, self.taken)
+                for i, (live, piece) in enumerate(more):
+                    r = rank[live]
+                    self.pieces[self.more[r[r >= 0]] + i] = piece[r >= 0]
             slot = self._slots(h)
-        n = self.count[slot].astype(np.int64)
+        e = self.entry[slot]
+        same = (self.length[e] == sizes).all() and (self.head[e] == head).all()
+        if not (same and all((self.pieces[self.more[e[live]] + i] == piece).all() for i, (live, piece) in enumerate(more))):
+            return self._encode(text)
+        n = self.count[e].astype(np.int64)
         end = np.cumsum(n)
-        return self.flat[np.repeat(self.first[slot] - (end - n), n) + np.arange(end[-1])]
+        return self.flat[np.repeat(self.first[e] - (end - n), n) + np.arange(end[-1])]
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, grown to n entries at least."""
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
 
 
 def encoder(path: str) -> Encoder:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skytile.llm import words as words_of
 from skytile.llm import fingerprint, jaccard, language, mixing, packing, permutation_index, simple8b, suffixes, surrogates, warc
 from skytile.llm.tokens import default_vocabulary, encoder
 from skytile.session import scratch
@@ -55,6 +56,26 @@ def test_encoder_is_the_tokenizer():
         assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def thue_morse(n, letters="ab"):
+    """A word and its complement, which agree under any polynomial hash modulo a power of two."""
+    return ["".join(x[bin(i).count("1") & 1] for i in range(n)) for x in (letters, letters[::-1])]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_encoder_tells_words_of_equal_hash_apart(n, monkeypatch):
+    e = encoder(default_vocabulary())
+    a, b = thue_morse(n)
+    for t in [a, b, f"{a} {b}", f"{b} x {a}", "a\0b a\0 a", "-" * 70 + " " + "-" * 71]:
+        assert e.ids(t).tolist() == e._encode(t).tolist()
+    # Even if all words had one of four hashes.
+    hashes = words_of.hashes
+    monkeypatch.setattr(words_of, "hashes", lambda *x: ((r := hashes(*x))[0] & np.uint64(3), *r[1:]))
+    e._clear()
+    for t in ["one two three four five six", "seven one", a[:200] + " " + b[:200], "two two"]:
+        assert e.ids(t).tolist() == e._encode(t).tolist()
+    e._clear()
+
+
 @pytest.mark.parametrize("bits", [1, 12, 16, 33, 64])
 @pytest.mark.parametrize("n", [1, 60, 4096, 9000])
 def test_simple8b_round_trip(bits, n):
@@ -81,6 +102,8 @@ def test_token_files(spark, corpus):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         start += r.n_tokens
     assert len(got) == len(rows) and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted([d for d, *_ in rows], key=lambda d: (d is not None, d or 0))
+    several = simple8b.read_documents(simple8b.write_ids(docs_of(spark, rows), f"{scratch(spark)}/several", file_ids=100)).collect()
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in several) == sorted((r.start, r.n_tokens, r.ids_crc32) for r in got)
     empty = docs_of(spark, [])
     assert simple8b.read_documents(simple8b.write_ids(empty, f"{scratch(spark)}/none")).count() == 0
 
