@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skytile.operators.spatial import BOX, overlap_pairs
-from skytile.session import stored
+from skytile.session import discard, stored
 
 
 def components(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -13,13 +13,16 @@ def components(edges: DataFrame, by: list[str]) -> DataFrame:
     both = stored(edges.select(*by, F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(*by, "b", "a")).distinct(), "links")
     labels = stored(both.groupBy(*by, "node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "to"), [*by, "to"]).groupBy(*by, "node").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, [*by, "node"]).select(*by, "node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        heard = both.join(labels.select(*by, F.col("node").alias("to"), "label"), [*by, "to"]).groupBy(*by, "node").agg(F.min("label").alias("heard"))
+        near = labels.select(*by, "node", F.col("label").alias("old")).join(heard, [*by, "node"]).select(*by, "node", "old", F.least("old", "heard").alias("label"))
         jump = labels.select(*by, F.col("node").alias("label"), F.col("label").alias("further"))
         after = stored(near.join(jump, [*by, "label"], "left").select(*by, "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = after.select(*by, "node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels
+        changed = not after.where("label <> old").isEmpty()
+        discard(labels)
+        labels = after
+        if not changed:
+            discard(both)
+            return labels.select(*by, "node", "label")
 
 
 def nms(boxes: DataFrame, threshold: float = 0.5, by: list[str] = ["image_id", "label"], id_col: str = "det_id", score_col: str = "score") -> DataFrame:

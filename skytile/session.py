@@ -32,9 +32,11 @@ def ship(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``, the storage shared by driver and executors.
 
-    Where that setting is absent (local tests) a local folder is chosen once and set.
+    Where that setting is absent a local folder is chosen once, for a local master only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = getattr(spark.sparkContext, "_skytile_scratch", None)
         if not base:
@@ -48,7 +50,17 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skytile_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these tables, which nothing reads any more."""
+    for df in tables:
+        jvm, context = df.sparkSession._jvm, df.sparkSession._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df._skytile_path)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
