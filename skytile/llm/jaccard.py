@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard join of whole documents, as components of the links.
 
-A document's set holds its distinct k-word shingles as 64-bit hashes; equal sets form one class, which is
-joined once however many copies it has. Then:
+A document's set holds its distinct k-word shingles as 64-bit hashes; texts of the same words in the same order
+(told by a 128-bit digest) form one class, which is joined once however many copies it has. Then:
 
 1. Pruning. Linked sets share at least ``r`` of their few smallest hashes; sets that do not share that many with
-   anybody are done. Only these few hashes move, not the sets.
+   anybody are done. Only these few hashes move, not the sets, and a hash that several sets of a task have moves once.
 2. Index. The sets that are left order their shingles from the rarest up and post a prefix. The lists are cut
    into blocks of set sizes and of positions, and a set visits only the blocks whose sizes and positions leave
    enough overlap possible; all others are skipped.
@@ -12,67 +12,52 @@ joined once however many copies it has. Then:
    found similar to the same pivot derive their component from its answer: no pair inside a component is
    looked at again, only pairs of different components are joined, verified exactly and added.
 
-No list is gathered anywhere: lists are join keys, which Spark may split, and what is emitted are pairs
-that pass the size and position bounds and lie in different components. Components come from label passing on
-stored tables. Ties do not matter. Null or empty texts and texts without words have empty sets, linked with
-nothing; rows with a null id get a null component; repeated ids give a row each. Empty tables give no rows.
+No list is gathered anywhere: lists are join keys, which Spark may split, counts are pre-aggregated in each task, and
+what is emitted are pairs that pass the size and position bounds and lie in different components. Components come
+from label passing on stored tables. Ties do not matter. Null or empty texts and texts without words have empty
+sets, linked with nothing; rows with a null id link nothing and get a null component; repeated ids give a row
+each, and their component is that of their own text. Very long texts are one set. Other columns are left out. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skytile.session import ship, stored
+from skytile.llm import words as words_of
+from skytile.operators.graph import components
+from skytile.session import discard, ship, stored
 
 SIZE_BLOCK = 1.1  # each block of set sizes reaches this much further than the one before
 POSITION_BLOCK = 8
 #: Share of a set whose smallest hashes are compared beyond those that similar sets may lack.
 EXTRA = 0.08
 BATCH_BYTES = 1 << 20
+#: Hashes of a task that are counted together before they move.
+BATCH_HASHES = 1 << 20
 
-_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_M = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x5851F42D4C957F2D
-_POWERS: list[np.ndarray] = []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _C[1]
-    x = (x ^ (x >> np.uint64(27))) * _C[2]
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * BATCH_BYTES)
-        factors = [np.full(size + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        for f in factors:
-            f[0] = 1
-        _POWERS[:] = [np.cumprod(f, dtype=np.uint64) for f in factors]
-    return _POWERS
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The set of each text as ascending uint64 hashes."""
-    data = _LOWER[np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)]
-    space = _SPACE[data]
+    raw = _LOWER[np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)]
+    space = _SPACE[raw]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-    words = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _C[0])
+    words = words_of.hashes(words_of.padded(raw.tobytes()), starts, ends - starts)[0]
     n = len(words)
     lead = np.full(n, k, np.uint64)
     for i in range(k):
-        lead[: max(0, n - i)] = _mix(lead[: max(0, n - i)] * _C[0] + words[i:])
+        lead[: max(0, n - i)] = words_of.mix(lead[: max(0, n - i)] * _M + words[i:])
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) + 1
     bounds = np.searchsorted(starts, at)
     out = []
@@ -82,13 +67,18 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         elif b > a:
             h = np.full(1, b - a, np.uint64)
             for w in words[a:b]:
-                h = _mix(h * _C[0] + w)
+                h = words_of.mix(h * _M + w)
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
+def digest(text: bytes) -> bytes:
+    """Of the lower-cased words in their order."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+
+
 def _batches(batches):
     held, size = [], 0
     for batch in batches:
@@ -102,34 +92,69 @@ def _batches(batches):
         yield held
 
 
-def _node(s: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(_mix(s * _C[0])).view(np.int64)) if len(s) else 0
-
-
 def _lost(n, percent: int):
     """How many members a set of n may have that a similar set lacks."""
     return n * (100 - percent) // 100
 
 
-def sketches(docs: DataFrame, k: int, percent: int, extra: float, id_col: str, text_col: str, hashes: bool) -> DataFrame:
-    """doc_id, n, node (a hash of the whole set) and the set's smallest hashes."""
+def sets_of(docs: DataFrame, k: int, id_col: str, text_col: str, members=None) -> DataFrame:
+    """doc_id, digest of the words, set size n and either a hash of the raw text or ``members`` of the set."""
+    last = "text_md5 binary" if members is None else "members array<long>"
+    kinds = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), (last.split()[0], pa.binary() if members is None else pa.list_(pa.int64()))])
 
     def run(batches):
         for part in _batches(batches):
-            sets = shingle_sets([(t or "").encode() for _, t in part], k)
-            small = [s[: _lost(len(s), percent) + 1 + int(extra * len(s))].view(np.int64) if hashes else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(small, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "small"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n long, node long, small array<long>")
-
-
-def full_sets(docs: DataFrame, k: int, text_col: str) -> DataFrame:
-    def run(batches):
-        for part in _batches(batches):
-            sets = shingle_sets([(r[0] or "").encode() for r in part], k)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "n", "members"])
-
-    return docs.select(text_col).mapInArrow(run, "node long, n long, members array<long>").where("n > 0")
+            texts = [(t or "").encode() for _, t in part]
+            sets = shingle_sets(texts, k)
+            own = [hashlib.md5(t).digest() for t in texts] if members is None else [members(s).view(np.int64) for s in sets]
+            cols = [[d for d, _ in part], [digest(t) for t in texts], [len(s) for s in sets], own]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id long, digest binary, n long, {last}")
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """node and m, how many of its members other nodes have, too; sets: node, members.
+
+    A hash that several sets of a task's batch hold is settled there: each of them is credited, and one row stands
+    for all of them outside. So the rows of a hot hash are at most one a batch.
+    """
+    kinds = pa.schema([("node", pa.int64()), ("h", pa.int64()), ("m", pa.int64())])
+
+    def combine(batches):
+        def flush(nodes, members):
+            sizes = np.array([len(x) for x in members])
+            owner, h = np.repeat(np.array(nodes, np.int64), sizes), np.concatenate(members)
+            order = np.argsort(h, kind="stable")
+            owner, h = owner[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(first, len(h)))
+            one = first[size == 1]
+            credited, m = np.unique(owner[np.repeat(size, size) > 1], return_counts=True)
+            several, c = h[first[size > 1]], size[size > 1]
+            node = pa.array(np.concatenate([owner[one], credited, np.zeros(len(several), np.int64)]), mask=np.repeat([False, True], [len(one) + len(credited), len(several)]))
+            hs = pa.array(np.concatenate([h[one], np.zeros(len(credited), np.int64), several]), mask=np.repeat([False, True, False], [len(one), len(credited), len(several)]))
+            return pa.RecordBatch.from_arrays([node, hs, pa.array(np.concatenate([np.ones(len(one), np.int64), m, c]))], schema=kinds)
+
+        nodes, members, held = [], [], 0
+        for batch in batches:
+            column = batch.column(1)
+            flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                nodes.append(node)
+                members.append(flat[ends[i] : ends[i + 1]])
+                held += len(members[-1])
+                if held >= BATCH_HASHES:
+                    yield flush(nodes, members)
+                    nodes, members, held = [], [], 0
+        if held:
+            yield flush(nodes, members)
+
+    rows = sets.select("node", "members").mapInArrow(combine, "node long, h long, m long")
+    # Rows of credits have no hash; they are dealt by their node.
+    rows = rows.withColumn("key", F.coalesce("h", "node"))
+    counted = rows.withColumn("c", F.sum("m").over(Window.partitionBy("key", F.col("h").isNull())))
+    return counted.where("node is not null and (h is null or c > 1)").groupBy("node").agg(F.sum("m").alias("m"))
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -137,21 +162,6 @@ def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node with a link, by passing the smallest label on and taking labels' labels."""
-    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(near.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
@@ -161,26 +171,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, and the component label of every node that has a link to another set."""
-    rows = stored(sketches(docs, k, percent, extra, id_col, text_col, False).drop("small"), "rows")
+def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row (doc_id, digest, n, text_md5), the classes (digest, node, first_doc, n), and the label of every node with a link to another."""
+    rows = stored(sets_of(docs, k, id_col, text_col), "rows")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     least = F.ceil(percent * F.col("n") / F.lit(100)).cast("long")
-    few = sketches(docs, k, percent, extra, id_col, text_col, True).where("n > 0")
-    # Only a node and a hash move for each of the smallest hashes; sizes and ids are joined to their counts.
-    posted = few.groupBy("node").agg(F.first("small").alias("small")).select("node", F.explode("small").alias("h"))
-    shared = posted.withColumn("c", F.count("*").over(_by("h"))).where("c > 1").groupBy("node").agg(F.count("*").alias("m"))
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_first"), F.min("n").alias("n"))
+    few = sets_of(docs, k, id_col, text_col, lambda s: s[: _lost(len(s), percent) + 1 + int(extra * len(s))]).where("n > 0")
+    # By shuffle at every size: classes grow with the table, so they are never broadcast.
+    few = few.groupBy("digest").agg(F.first("members").alias("members")).join(classes.select("digest", "node").hint("merge"), "digest")
     asked = 1 + F.floor(F.lit(extra) * least)
-    left = stored(shared.join(classes, "node").where(F.col("m") >= asked).select("node", "_first"), "left")
+    left = stored(shared_counts(few).join(classes, "node").where(F.col("m") >= asked).select("node", "digest", "first_doc"), "left")
 
-    ids = left.select("_first").distinct()
-    # By shuffle at every size: what is left grows with the table, so its ids are never broadcast.
-    some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first"], "left_semi")
-    sets = stored(full_sets(some, k, text_col).dropDuplicates(["node"]).join(left.select("node"), "node", "left_semi"), "sets")
+    ids = left.select(F.col("first_doc").alias("_first_doc")).distinct()
+    some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first_doc"], "left_semi")
+    sets = sets_of(some, k, id_col, text_col, lambda s: s).dropDuplicates(["digest"]).join(left.select("digest", "node"), "digest")
+    sets = stored(sets.select("node", "n", "members"), "sets")
+    discard(left)
 
     members = sets.select("node", F.explode("members").alias("h"))
-    common = members.withColumn("c", F.count("*").over(_by("h")).cast("int")).where("c > 1")
-    ordered = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o")).join(sets.select("node", "n"), "node")
+    counts = members.groupBy("h").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    ordered = members.join(counts, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o")).join(sets.select("node", "n"), "node")
     ordered = ordered.withColumn("alone", F.col("n") - F.size("o"))
     prefix = F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - F.col("alone")).cast("int")
     index = ordered.select("node", "n", "alone", F.posexplode(F.slice("o", 1, prefix)).alias("p", "e")).where(prefix > 0)
@@ -190,10 +201,12 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     heads = index.groupBy("h").agg(F.min(F.struct("p", "n", "node")).alias("r")).select("h", F.col("r.node").alias("b"), F.col("r.n").alias("m"), F.col("r.p").alias("q"))
     star = index.join(heads, "h").where("node <> b").where(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(F.col("n"), F.col("m"), percent))
     found = stored(_verified(star.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "star")
-    labels = components(found)
+    labels = components(found, [])
+    discard(found)
 
     # Pairs of different components: a set visits the size and position blocks that can hold a partner.
     known = stored(index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "index")
+    discard(index)
     mixed = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     open_lists = known.join(mixed, "h", "left_semi")
     size_block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_BLOCK))).cast("int")
@@ -206,24 +219,45 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     pairs = pairs.where(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(F.col("n"), F.col("m"), percent))
     more = _verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, percent)
     every = stored(more.union(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))), "edges")
-    return rows, components(every)
+    discard(known, sets)
+    return rows, classes, components(every, [])
 
 
-def _by(*cols):
-    from pyspark.sql import Window
+def labelled(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest document id that links lead to), text_md5 and group of every row.
 
-    return Window.partitionBy(*cols)
+    Components of texts that share a document id may have one component_id, but not one group.
+    """
+    rows, classes, labels = links(docs, k, percent, extra, id_col, text_col)
+    nodes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = nodes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    named = nodes.join(firsts, "label").select("digest", "component_id", "label")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_md5", F.col("label").alias("group"))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest document id that links lead to) of every row."""
-    rows, labels = links(docs, k, percent, extra, id_col, text_col)
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    firsts = nodes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    named = nodes.join(firsts, "label").select("node", "component_id")
-    joined = rows.join(named, "node", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return labelled(docs, k, percent, extra, id_col, text_col).drop("text_md5", "group")
+
+
+def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id's and, among its texts, that of the smallest digest.
+
+    Rows without any word are components of their own, as are rows with a null id; equal rows count once.
+    """
+    found = stored(labelled(docs, k, percent, extra, id_col, text_col), "labelled")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    reps = found.where(~alone).groupBy("group").agg(F.min(F.struct("doc_id", "text_md5")).alias("r")).select("r.*")
+    reps = reps.unionByName(found.where(alone).select("doc_id", "text_md5"))
+    times = found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"))
+    reps = stored(reps.distinct().join(times.where("times > 1"), (reps["doc_id"].eqNullSafe(times["doc_id"])) & (reps["text_md5"] == times["text_md5"]), "left").select(reps["doc_id"].alias("_rep_id"), reps["text_md5"].alias("_rep_md5"), F.coalesce("times", F.lit(1)).alias("_rep_times")), "reps")
+    discard(found)
+    key = docs[id_col].cast("long").eqNullSafe(F.col("_rep_id")) & (F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))) == F.col("_rep_md5"))
+    kept = lambda r: docs.join(r, key, "left_semi")
+    many = reps.where("_rep_times > 1")
+    once = kept(reps.where("_rep_times = 1"))
+    return once if many.isEmpty() else once.unionByName(kept(many).dropDuplicates([id_col, text_col]))
 
 
 def op7_jaccard_components(spark, sf_dir: str) -> DataFrame:

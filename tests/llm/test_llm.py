@@ -312,6 +312,31 @@ def test_jaccard_edges(spark):
     assert jaccard.join(docs_of(spark, []), 3, 90).count() == 0
 
 
+def test_jaccard_tells_words_of_equal_hash_apart(spark):
+    rows = [(10 * i + j, w, None, None) for i, n in enumerate([1024, 2048, 4096, 8192]) for j, w in enumerate([*thue_morse(n), f"x {thue_morse(n)[0]} y z"])]
+    for k in (3, 5):
+        assert {tuple(r) for r in jaccard.join(docs_of(spark, rows), k, 90).collect()} == brute_components([(d, t) for d, t, *_ in rows], k, 90)
+
+
+def test_jaccard_of_sets_with_equal_members(spark):
+    # The same shingles in other orders, white space and cases, and a hot shingle that all texts share.
+    rng = random.Random(4)
+    rows = [(1, "a b c a b c a b c", None, None), (2, "A b\tc a  b c a b c a b c", None, None), (3, "b c a b c a b", None, None)]
+    rows += [(10 + i, "hot hot hot " + words(rng, 3 + i % 5, 40), None, None) for i in range(200)]
+    rows += [(300 + i, rows[3 + i][1], None, None) for i in range(5)]
+    for percent in (60, 90):
+        got = {tuple(r) for r in jaccard.join(docs_of(spark, rows).repartition(7), 3, percent).collect()}
+        assert got == brute_components([(d, t) for d, t, *_ in rows], 3, percent)
+
+
+def test_first_of_each_component(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(5, long, None, None), (3, long + " eleven", None, None), (3, "another text of the same id here", None, None), (4, long, None, None), (4, long, None, None), (7, "only once but twice the row now", None, None), (7, "only once but twice the row now", None, None), (8, None, None, None), (8, None, None, None), (9, "", None, None), (None, long, None, None)]
+    got = sorted(((r.doc_id, r.text) for r in jaccard.first_of_each(docs_of(spark, rows), 3, 80).collect()), key=str)
+    assert got == sorted([(3, long + " eleven"), (3, rows[2][1]), (7, rows[5][1]), (8, None), (9, ""), (None, long)], key=str)
+    assert jaccard.first_of_each(docs_of(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("k", [3, 5])
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_jaccard_of_one_short_text(spark, k, n):
