@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the one before kept, written as Parquet and read again. All but the
 last return the columns of ``documents``. Rows with a null id take part in every stage but the second, which
-cannot compare them and keeps them. Empty tables give empty results.
+links them with nothing and keeps them. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,12 +28,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group linked by five-word shingles of similarity 0.8 or more.
 
-    Rows alike in id and text count once.
+    Equal rows count once; rows without a word or an id are groups of their own.
     """
     ship(spark)
-    kept = jaccard.join(docs, k=5, percent=80, extra=0.04).where("doc_id = component_id").select("doc_id")
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return jaccard.first_of_each(docs, k=5, percent=80, extra=0.04).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
