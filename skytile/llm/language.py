@@ -1,18 +1,19 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies of hashed 1- to 3-grams are counted over all learnable documents. The weights are fitted by
-follow-the-regularised-leader with elastic-net penalties on a bounded sample (``SAMPLE`` documents of
-each language, those of smallest hashed id), and a temperature is then fitted on every seventh document of the sample,
-which the weights have not seen. Predictions read the text alone.
-
-Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be learned. Rows
-with a null language or text teach nothing. Repeated rows are predicted each; ties go to the first language in order.
+follow-the-regularised-leader with elastic-net penalties on a bounded sample (at most ``SAMPLE`` documents of
+each language, those of smallest hash of id and text), and a temperature is then fitted on every seventh document
+of the sample, which the weights have not seen. Predictions read the text alone.
+
+Null texts and texts without a letter (``str.isalpha`` of some character) are ``und`` with score 0; so is everything
+if nothing can be learned. Rows with a null language or text teach nothing; null ids are ids like others. Repeated
+rows teach once and are predicted each; rows of one id and different texts are told apart. Ties go to the first
+language in order. Long texts are read whole. The list of languages is taken to be bounded. Other columns pass
+through; one named like the result column is replaced by it. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,9 +26,10 @@ FEATURES = 1 << 16
 SAMPLE = 1500
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 EPOCHS = 3
+#: Expected share by which more rows than ``SAMPLE`` are drawn of a language before they are ranked.
+MARGIN = 1.25
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -59,7 +61,7 @@ def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 class Model:
@@ -119,6 +121,21 @@ def fit(texts: list[str], labels: list[str], idf: np.ndarray, epochs: int = EPOC
     return model
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """k, text and lang of at most ``sample`` different rows (doc_id, text, lang) of each language.
+
+    Hashes below a share of their range that the language's size gives are few, however large the language
+    or often a row is, and only they are ranked. Equal rows have equal hashes and count once.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    place = key / F.lit(float(1 << 64)) + 0.5
+    sizes = rows.groupBy("lang").agg((F.lit(MARGIN * sample) / F.count("*")).alias("share"))
+    drawn = rows.select("lang", key.alias("k"), place.alias("place")).join(F.broadcast(sizes), "lang").where("place < share").select("lang", "k").distinct()
+    bounds = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("r") <= sample).groupBy("lang").agg(F.max("k").alias("last"))
+    # A row per language, so broadcast: texts stay where they are.
+    return rows.withColumn("k", key).join(F.broadcast(bounds), "lang").where("k <= last").dropDuplicates(["lang", "k"]).select("k", "text", "lang")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on ``docs``: frequencies from all of its rows with text and language, weights from the bounded sample."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -140,12 +157,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         df[known.feature.to_numpy()] = known.n.to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    # The sample's ids first, so that only texts within each language's bound move.
-    key = F.xxhash64(F.col("doc_id"))
-    ranked = rows.select("lang", key.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k")))
-    bounds = ranked.where(F.col("r") <= sample).groupBy("lang").agg(F.max("k").alias("last"))
-    # A row per language, so broadcast: texts stay where they are.
-    chosen = rows.join(F.broadcast(bounds), "lang").where(key <= F.col("last")).select("doc_id", "text", "lang")
+    chosen = sampled(rows, sample)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "lang", "text"])
@@ -153,15 +165,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pd.DataFrame({"langs": [m.langs], "weights": [m.weights.astype("<f4").tobytes()], "temperature": [m.temperature]})
 
     # One task, as the sample is bounded; the model is one row.
-    fitted = chosen.select(F.xxhash64("doc_id").alias("k"), "text", "lang", F.lit(1).alias("one")).groupBy("one").applyInPandas(learn, "langs array<string>, weights binary, temperature double").collect()
+    fitted = chosen.select("k", "text", "lang", F.lit(1).alias("one")).groupBy("one").applyInPandas(learn, "langs array<string>, weights binary, temperature double").collect()
     if not fitted:
         return Model([], idf, np.zeros((0, FEATURES)))
     m = fitted[0]
     return Model(list(m["langs"]), idf, np.frombuffer(bytes(m["weights"]), "<f4").reshape(-1, FEATURES).astype(float), m["temperature"])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score in one struct column ``lang_id``."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "lang_id") -> DataFrame:
+    """``docs`` with lang_pred and score in one struct column ``out_col``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.idf, model.weights, model.temperature))  # FEATURES x languages
 
     @F.pandas_udf("lang_pred string, score double")
@@ -169,7 +181,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = Model(*shared.value)
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("lang_id", identify(F.col(text_col)))
+    return docs.withColumn(out_col, identify(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -382,6 +382,26 @@ def test_language_id(spark):
     assert language.predict(d, nothing).first().lang_id.lang_pred == language.UNKNOWN
 
 
+@pytest.mark.parametrize("text", ["²", "½ Ⅷ ①", "٣ _", "१२", " \n", "!?", "́"])
+def test_language_of_texts_without_letters(text):
+    model = language.Model(["xx"], np.ones(language.FEATURES), np.zeros((1, language.FEATURES)))
+    assert model.predict(text) == ("und", 0.0) and model.predict(text + "ª")[0] == "xx"
+
+
+def test_language_sample_is_bounded(spark):
+    rng = random.Random(3)
+    # All ids null or equal, and one row repeated very often.
+    many = [(d, words(rng, 5), l, None) for d in (None, 7) for l in ("xx", "yy") for _ in range(400)] + [(1, "same text", "xx", None)] * 500
+    rows = docs_of(spark, many).withColumn("lang_id", F.lit("mine")).withColumn("k", F.lit(1))
+    drawn = language.sampled(rows.select("doc_id", "text", "lang"), 50).collect()
+    assert all(n <= 50 for n in Counter(r.lang for r in drawn).values()) and len(drawn) > 60 and len({r.k for r in drawn}) == len(drawn)
+    got = language.train(rows, sample=50)
+    assert got.langs == ["xx", "yy"]
+    out = language.predict(rows, got, out_col="found")
+    assert set(rows.columns) < set(out.columns) and out.count() == len(many)
+    assert language.train(docs_of(spark, [(1, "a", None, None)])).langs == []
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(docs.where(~language.held_out()))
