@@ -12,17 +12,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skytile.llm import jaccard, language, mixing, packing, surrogates
 from skytile.session import ship, stored
 
-#: Texts whose calibrated score is below this are rejected, as are those without any letter.
-LEAST_SCORE = 0.3
+#: Texts whose calibrated score is below this are rejected, as are those without any letter: no language is likelier
+#: than all others together.
+LEAST_SCORE = 0.5
 #: Largest repetition of a source in the mix; every source is used in full at least once.
 MAX_REPEAT = 1.5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; the others go."""
+    """Documents in a language that the labelled ones teach; the others go. All stay if no language is taught."""
     ship(spark)
-    found = language.predict(docs, language.train(docs))
-    return found.where((F.col("lang_id.lang_pred") != language.UNKNOWN) & (F.col("lang_id.score") >= LEAST_SCORE)).select(*docs.columns)
+    model = language.train(docs)
+    if not model.langs:
+        return docs
+    found = language.predict(docs, model, out_col="_lang_id")
+    return found.where((F.col("_lang_id.lang_pred") != language.UNKNOWN) & (F.col("_lang_id.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
