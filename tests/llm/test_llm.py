@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,24 +350,55 @@ def test_jaccard_of_one_short_text(spark, k, n):
 # ---- neighbours, languages, surrogates --------------------------------------------------------------------
 
 
+def brute_nearest(rows, queries, k):
+    """(query id, rank, id, score) over row numbers, so that equal ids and vectors are told apart."""
+    for q in queries:
+        far = sorted((float(np.sqrt(((x - rows[q][1]) ** 2).sum())), i if i is not None else 1 << 63) for n, (i, x) in enumerate(rows) if n != q)[:k]
+        yield [(rows[q][0], r, i if i < 1 << 63 else None, s) for r, (s, i) in enumerate(far, 1)]
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(1500, 16))
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0, None] + [0.0] * 14), (2004, [float("inf")] + [0.0] * 15), (1, v[1].tolist()), (2005, v[7].tolist())]
     df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, shard int")
-    got = permutation_index.nearest(df, df.where("vec_id % 100 = 0"), pivots=64, prefix=32, shard_rows=600).collect()
+    got = permutation_index.nearest(df, df.where("vec_id % 100 = 0"), pivots=64, prefix=32, shard_rows=600, query_rows=4).collect()
     good = [(i, np.array(x)) for i, x in rows if i < 2000 or i == 2005]
     hit = total = 0
-    for q in range(0, 1500, 100):
-        want = sorted((float(np.sqrt(((x - v[q]) ** 2).sum())), i) for i, x in good if i != q)[:10]
+    for q, want in zip(range(0, 1500, 100), brute_nearest(good, range(0, 1500, 100), 10)):
         mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
         assert [m[0] for m in mine] == list(range(1, 11)) and all(a[2] <= b[2] for a, b in zip(mine, mine[1:]))
-        hit += len({i for _, i in want} & {m[1] for m in mine})
+        hit += len({w[2] for w in want} & {m[1] for m in mine})
         total += 10
     assert hit / total >= 0.9
     assert permutation_index.nearest(df.where("false"), df).count() == 0
 
 
+def test_permutation_index_of_ties_and_repeats(spark):
+    # Everything is reranked here, so the result is exact: copies, equal ids, null ids and equal distances.
+    corners = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]]
+    rows = [(i, corners[i % 4]) for i in range(40)] + [(0, corners[0])] * 3 + [(0, [2.0, 0.0]), (None, corners[0]), (None, [5.0, 5.0]), (100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 3.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query", F.lit(1)).withColumn("dim", F.lit("x"))
+    got = permutation_index.nearest(df, df.where("vec_id is null or vec_id % 20 = 0"), k=5, shard_rows=7, query_rows=2).collect()
+    flat = [(i, np.array(x)) for i, x in rows if len(x) == 2]
+    want = [w for ws in brute_nearest(flat, [n for n, (i, _) in enumerate(flat) if i is None or i % 20 == 0], 5) for w in ws] + [(100, 1, 101, 0.5)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_recall_at_shipped_parameters(spark):
+    # Vectors without any structure, the hardest case, in more rows than a shard holds.
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(12_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": [x.tolist() for x in v]}))
+    got = permutation_index.nearest(df, df.where("vec_id % 100 = 0")).toPandas()
+    q = np.arange(0, len(v), 100)
+    far = 2 - 2 * v[q] @ v.T
+    far[np.arange(len(q)), q] = 9
+    want = {(int(a), int(b)) for a, bs in zip(q, np.argsort(far, 1)[:, :10]) for b in bs}
+    assert len(got) == len(want) and len(want & set(zip(got.query_id, got.vec_id))) / len(want) >= 0.95
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     make = {"xx": "abcde", "yy": "vwxyz"}
