@@ -128,22 +128,91 @@ def check_pieces(pieces, rows, window):
             assert p.ids_crc32 == zlib.crc32(np.array(single[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) and p.doc_tokens == len(single[p.doc_id])
 
 
-@pytest.mark.parametrize("shard", [500, 1_000_000])
-def test_packing(spark, corpus, shard):
+@pytest.mark.parametrize("shard,most", [(500, 1000), (1_000_000, 7), (1_000_000, 10_000)])
+def test_packing(spark, corpus, shard, most):
     rows = corpus + [(None, "no id", None, None), (7, "twice", None, None)]
-    check_pieces(packing.pack(docs_of(spark, rows), window=256, shard_tokens=shard).collect(), rows, 256)
+    d = docs_of(spark, rows).withColumn("ids", F.lit(1)).withColumn("key", F.lit(2))
+    check_pieces(packing.pack(d, window=256, shard_tokens=shard, shard_docs=most).collect(), rows, 256)
     assert packing.pack(docs_of(spark, [])).count() == 0
 
 
-def test_packing_follows_the_index():
-    docs = [np.array(x, np.uint32) for x in ([1, 2, 3, 9], [7, 8, 7, 8], [1, 2, 4, 9], [8, 7, 5, 5])]
-    assert packing.Index(docs).neighbours(0)[:2].tolist() == [0, 2] and packing.Index(docs).neighbours(1)[:2].tolist() == [1, 3]
+def brute_scores(docs, corpus, query):
+    """BM25 of every document for the distinct terms of one of them, term by term."""
+    n, mean = len(corpus), sum(map(len, corpus)) / len(corpus)
+    df = Counter(t for d in corpus for t in set(d))
+    out = []
+    for d in docs:
+        tf = Counter(d)
+        out.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[query]) if tf[t]))
+    return out
+
+
+def test_packing_index_scores_like_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.6, rng.integers(0, 40)).clip(0, 60).astype(np.uint32) for _ in range(80)]
+    shard = docs[:50]  # its index has the whole corpus's frequencies
+    corpus = packing.Corpus.of(docs)
+    index = packing.Index(shard, corpus)
+    plain, everything = [d.tolist() for d in shard], [d.tolist() for d in docs]
+    for q in range(50):
+        score = brute_scores(plain, everything, q)
+        shared = [i for i in range(50) if any(t in plain[i] and sum(t in p for p in plain) > 1 for t in set(plain[q]))]
+        got = index.neighbours(q).tolist()
+        assert sorted(got) == shared
+        # Terms that no other document of the shard has add to the query's own score alone.
+        others = [i for i in got if i != q]
+        assert all(score[a] >= score[b] - 1e-9 for a, b in zip(others, others[1:]))
+
+
+def test_packing_takes_the_best_unused_neighbour():
+    """The greedy choice, against one that scores all documents of the shard anew for each seed."""
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(3, 30, rng.integers(1, 20)).astype(np.uint32) for _ in range(60)]
+    corpus, window = packing.Corpus.of(docs), 32
+    packer = packing.Packer(0, window)
+    packing.pack_shard(packer, list(range(60)), docs, 2, corpus)
+    packer.end()
+    mine = [doc for i, (doc, start, *_) in enumerate(packer.rows) if start == 0]
+    index, want, unused, seed, filled = packing.Index(docs, corpus), [], list(range(60)), None, 0
+    while unused:
+        ranked = [i for i in index.neighbours(seed).tolist() if i in unused] if seed is not None else []
+        if not ranked:
+            seed = unused[0]
+        pick = ranked[0] if ranked else seed
+        unused.remove(pick)
+        want.append(pick)
+        filled += len(docs[pick]) + 1
+        if filled >= window:
+            filled, seed = filled % window, pick
+    assert mine == want
+
+
+def test_packing_brings_neighbours_of_other_files_together(spark):
+    # Two hundred topics; the documents of a topic lie far apart in the table.
+    rng = random.Random(2)
+    topics = [[f"{''.join(rng.choice('bcdfghjklm') for _ in range(8))}" for _ in range(6)] for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(topics[i % 200]) for _ in range(60)), None, None) for i in range(1600)]
+    pieces = packing.pack(docs_of(spark, rows).repartition(8), window=1024, shard_docs=100).collect()
+    check_pieces(pieces, rows, 1024)
+    together = defaultdict(Counter)
+    for p in pieces:
+        together[p.sequence_id][p.doc_id % 200] += 1
+    assert sum(max(c.values()) for c in together.values()) / sum(sum(c.values()) for c in together.values()) > 0.4
+
+
+def test_packing_of_one_word_documents_is_not_quadratic():
+    import time
+
+    docs = [np.array([5], np.uint32)] * packing.SHARD_DOCS
+    began = time.time()
+    packing.pack_shard(packing.Packer(0, 4096), list(range(len(docs))), docs, 2, packing.Corpus.of(docs))
+    assert time.time() - began < 5
 
 
 def test_packing_finds_whoever_shares_a_term():
     many = list(range(1, 31))
     docs = [np.array(x, np.uint32) for x in ([*many, 99], many, [99, 50], [99, 51], [52])]
-    assert packing.Index(docs).neighbours(0).tolist() == [0, 1, 2, 3]
+    assert packing.Index(docs, packing.Corpus.of(docs)).neighbours(0).tolist() == [0, 1, 2, 3]
 
 
 # ---- WARC, mixing ---------------------------------------------------------------------------------------
