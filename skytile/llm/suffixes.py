@@ -4,39 +4,45 @@ A byte goes when a string of ``width`` bytes covers it that also starts elsewher
 a string starting at s repeats is decided at its anchor, the position of least 16-gram hash among the first ``SPAN``
 from s on: equal strings have equal anchors, so suffixes need sorting at anchors only.
 
-Texts that occur more than once go as a whole and only one copy of each takes part in what follows.
-
 1. Anchors. Each document is cut into runs of starts that share an anchor. An anchor whose core (the bytes that
-   all strings of its run have right of it) occurs once cannot repeat; only hashes of cores are shuffled.
-2. Runs. For the others, the run's bytes are looked up. Runs that are equal as a whole repeat as a whole, and
-   only one copy of each distinct run goes on, deduplicated in each task first.
+   all strings of its run have right of it) occurs once cannot repeat; only hashes of cores are shuffled and counted.
+2. Runs. For the others, the run's bytes are looked up in one copy of each text. Each distinct run is sorted once,
+   with a weight: in how many places of how many copies it occurs.
 3. Merge sort. Each task sorts its suffixes at anchors and front-codes them: a suffix is the length it
    shares with the one before it and the rest. Suffixes go to ranges of the order of their cores, run by run, and each
    range merges its runs by a loser tree that keeps every suffix's common prefix with the last winner, so
    that known prefixes are never compared again. The merge yields the common prefixes of neighbours.
-4. Strings. In the sorted order the suffixes with a common core lie together, and a start is
-   repeated when another of them shares enough bytes to the left and to the right. Cores with more than
-   ``MOST_IN_CORE`` distinct runs take another exact way: one row per string, counted by hash in Spark.
+4. Strings. In the sorted order the suffixes with a common core lie together, and a start is repeated when another
+   of them shares enough bytes to the left and to the right, or its run weighs more than one. Cores with more than
+   ``MOST_IN_CORE`` distinct runs are sorted further: by the same merge, one suffix for each string, whose
+   neighbours share ``width`` bytes if it repeats. Strings that a task has several times are settled there first.
 
 Null texts are empty; texts below ``width`` bytes lose nothing; very long texts are one row, read whole. Equal
-document ids are told apart by a hash of the text, and equal rows repeat each other. Empty tables give no rows.
+document ids are told apart by a hash of the text, and equal rows repeat each other. Other columns are left out,
+whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from skytile.session import ship, stored
+from skytile.session import discard, ship, stored
 
 WIDTH = 400
 SPAN = 200
 GRAM = 16
-#: Distinct runs of one core that one task compares; cores with more go by string hashes, in Spark.
+#: Distinct runs of one core that one task compares; cores with more are sorted string by string.
 MOST_IN_CORE = 20_000
+#: Suffixes that a task merges at a time, ranges that splitters tell apart (cores of larger tables are dealt by
+#: hash inside each), and keys drawn for each of them.
+RANGE_ROWS = 20_000
+MOST_RANGES = 4096
+SAMPLED = 16
 BATCH_BYTES = 1 << 20
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -231,9 +237,9 @@ def repeated(items: list[tuple[bytes, bytes, int, int]], shared: list[int], widt
 
 
 def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span: int = SPAN, most_in_core: int = MOST_IN_CORE) -> tuple[DataFrame, DataFrame]:
-    """Texts that share a core with another text (doc_id, doc_key, text), and by (doc_id, doc_key) their spans: starts lo..hi whose strings repeat.
+    """Texts that may hold repeats (sha, text), one copy of each, and by sha their spans: starts lo..hi whose strings repeat.
 
-    docs: doc_id (not null), doc_key, text; firsts: (doc_id, doc_key) of one document of each text.
+    docs: doc_id (not null), doc_key, text; firsts: doc_id, doc_key and sha of one document of each text, and its copies.
     """
     core = width - span + 1
 
@@ -248,17 +254,18 @@ def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t), k) for c, t, k in zip(cols, (np.int64, np.int64, np.int32, np.int16, np.int16, np.int64), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64()))], names=["doc_id", "doc_key", "anchor", "least", "most", "core"])
 
-    found = docs.select("doc_id", "doc_key", "text").mapInArrow(anchors, "doc_id long, doc_key long, anchor int, least short, most short, core long")
-    twice = lambda df: df.withColumn("c", F.count("*").over(Window.partitionBy("core"))).where("c > 1").drop("c")
-    again = twice(twice(found).join(firsts, ["doc_id", "doc_key"], "left_semi"))
-    wanted = again.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("anchor", "least", "most", "core")).alias("runs"))
+    found = stored(docs.select("doc_id", "doc_key", "text").mapInArrow(anchors, "doc_id long, doc_key long, anchor int, least short, most short, core long"), "anchors")
+    # Counts are pre-aggregated in each task, and a hot core's rows may be split in the join.
+    counts = found.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    again = found.join(counts, "core", "left_semi").join(firsts, ["doc_id", "doc_key"])
+    wanted = again.groupBy("doc_id", "doc_key").agg(F.first("sha").alias("sha"), F.first("copies").alias("copies"), F.collect_list(F.struct("anchor", "least", "most", "core")).alias("runs"))
 
     def cut(batches):
-        """Whole runs by hash; the bytes of a run once per task."""
+        """The runs' bytes, once a task."""
         seen: set = set()
-        for part in _parts(_texts(batches), lambda r: len(r[2])):
+        for part in _parts(_texts(batches), lambda r: len(r[1])):
             out = []
-            for doc, key, text, own in part:
+            for sha, text, copies, own in part:
                 data = text.encode()
                 for r in own:
                     a, least, most = r["anchor"], r["least"], r["most"]
@@ -267,27 +274,24 @@ def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span:
                     known = h in seen
                     if not known and len(seen) < 1_000_000:
                         seen.add(h)
-                    out.append((doc, key, a, least, most, r["core"], h, None if known else piece))
+                    out.append((sha, copies, a, least, most, r["core"], h, None if known else piece))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds.types)], schema=kinds)
 
-    kinds = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("anchor", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("core", pa.int64()), ("run", pa.binary()), ("piece", pa.binary())])
-    texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "doc_key"]).select("doc_id", "doc_key", "text", "runs").dropDuplicates(["doc_id", "doc_key"]), "texts")
-    places = stored(texts.mapInArrow(cut, "doc_id long, doc_key long, anchor int, least short, most short, core long, run binary, piece binary"), "places")
-    whole = places.groupBy("run").agg(F.first("core").alias("core"), F.first("least").alias("least"), F.first("most").alias("most"), F.count("*").alias("n"), F.max("piece").alias("piece"))
-    distinct = stored(whole, "runs")
-
-    # Runs of which there is one copy, in cores with several distinct runs, need the sort.
-    sizes = distinct.groupBy("core").agg(F.count("*").alias("g"), F.max(F.col("n") == 1).alias("open")).where("g > 1 and open")
-    open_runs = distinct.join(sizes.select("core", "g"), "core")
-    merged = _merged(open_runs.where(F.col("g") <= most_in_core), width, core)
-    hashed = _by_strings(open_runs.where(F.col("g") > most_in_core), width)
-    parts = merged.unionByName(hashed)
-    full = distinct.where("n > 1").select("run", F.array(F.struct(F.col("least").cast("int").alias("lo"), F.col("most").cast("int").alias("hi"))).alias("spans"))
-    decided = full.unionByName(parts.join(distinct.where("n > 1").select("run"), "run", "left_anti"))
-    hits = places.drop("piece", "core", "least", "most").join(decided, "run")
-    spans = hits.select("doc_id", "doc_key", F.explode("spans").alias("s"), "anchor")
-    return texts.drop("runs"), spans.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct((F.col("anchor") - F.col("s.hi")).alias("lo"), (F.col("anchor") - F.col("s.lo")).alias("hi"))).alias("spans"))
+    kinds = pa.schema([("sha", pa.binary()), ("copies", pa.int64()), ("anchor", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("core", pa.int64()), ("run", pa.binary()), ("piece", pa.binary())])
+    # Rows of one id and text are copies of each other, so any of them will do.
+    texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "doc_key"]).dropDuplicates(["doc_id", "doc_key"]).select("sha", "text", "copies", "runs"), "texts")
+    discard(found)
+    places = stored(texts.mapInArrow(cut, "sha binary, copies long, anchor int, least short, most short, core long, run binary, piece binary"), "places")
+    distinct = stored(places.groupBy("run").agg(F.first("core").alias("core"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum("copies").alias("weight"), F.max("piece").alias("piece")), "runs")
+    large = distinct.groupBy("core").agg(F.count("*").alias("g")).where(F.col("g") > most_in_core).select("core")
+    merged = _merged(distinct.join(large, "core", "left_anti"), width, core)
+    strings = _merged(distinct.join(large, "core", "left_semi"), width, width, True)
+    decided = stored(merged.unionByName(strings.select("run", F.explode("spans").alias("s")).groupBy("run").agg(F.collect_list("s").alias("spans"))), "decided")
+    hits = places.select("sha", "anchor", "run").join(decided, "run")
+    spans = hits.select("sha", F.explode("spans").alias("s"), "anchor")
+    discard(distinct)
+    return texts.select("sha", "text"), spans.groupBy("sha").agg(F.collect_list(F.struct((F.col("anchor") - F.col("s.hi")).alias("lo"), (F.col("anchor") - F.col("s.lo")).alias("hi"))).alias("spans"))
 
 
 def _parts(rows, size=lambda r: len(r[2])):
@@ -305,106 +309,138 @@ def _parts(rows, size=lambda r: len(r[2])):
 SPANS = "run binary, spans array<struct<lo:int,hi:int>>"
 
 
-def _merged(open_runs: DataFrame, width: int, core: int) -> DataFrame:
-    """Spans of the runs by merge sort: front-coded sorted runs by range, then a loser tree per range."""
-    keys = open_runs.select(F.substring("piece", F.col("most").cast("int") + 1, F.lit(core)).alias("k"))
-    total = keys.count()
-    ranges = max(1, -(-total // 20_000))
+def _merged(open_runs: DataFrame, width: int, core: int, strings: bool = False) -> DataFrame:
+    """Spans of the runs (run, core, least, most, weight, piece) by merge sort: front-coded sorted runs by range, then a loser tree per range.
+
+    A run's suffix starts at its anchor; with ``strings`` it has one for each of its strings, of ``width`` bytes.
+    """
+    total = open_runs.agg(F.count("*"), F.sum(F.col("most") - F.col("least") + 1)).first()[int(strings)] or 0
+    ranges = min(MOST_RANGES, max(1, -(-total // RANGE_ROWS)))
+    parts = max(1, -(-total // (ranges * RANGE_ROWS)))
     # Splitters cut the order at whole cores, so that suffixes with a common core meet in one range.
-    share = min(1.0, 64 * ranges / max(total, 1))
-    sample = sorted(bytes(r["k"]) for r in keys.sample(False, share, 11).collect()) if ranges > 1 else []  # about 64 keys a range
+    keys = open_runs.select(F.substring("piece", F.lit(1) if strings else F.col("most").cast("int") + 1, F.lit(core)).alias("k"))
+    drawn = min(1.0, SAMPLED * ranges / max(open_runs.count() if strings else total, 1))
+    sample = sorted(bytes(r["k"]) for r in keys.sample(False, drawn, 11).collect()) if ranges > 1 else []
     splitters = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     def encode(batches):
         import bisect
         import uuid
 
-        held: list = []
-        size = 0
-
-        def flush():
+        def flush(held):
             name = uuid.uuid4().hex
-            by_range: dict[int, list] = {}
-            for text, payload in held:
-                by_range.setdefault(bisect.bisect_right(splitters, text[:core]), []).append((text, payload))
-            for r, items in by_range.items():
-                coded = front_coded(items)
+            by_range: dict[tuple, list] = {}
+            held.sort()
+            for i, (text, payload) in enumerate(held):
+                key = text[:core]
+                r = (bisect.bisect_right(splitters, key), zlib.crc32(key) % parts)
+                if strings and i and held[i - 1][0] == text:
+                    # Settled here: both repeat, and the one that goes on knows.
+                    first = by_range[r][-1]
+                    by_range[r][-1] = (text, (*first[1][:3], 2, b""))
+                    by_range[r].append((None, payload))
+                    by_range[r][-1], by_range[r][-2] = by_range[r][-2], by_range[r][-1]
+                    continue
+                by_range.setdefault(r, []).append((text, payload))
+            for (r, part), items in by_range.items():
+                settled = [(0, None, p) for t, p in items if t is None]
+                coded = settled + front_coded([x for x in items if x[0] is not None])
                 for lo in range(0, len(coded), 500):
                     some = coded[lo : lo + 500]
-                    yield pa.RecordBatch.from_pydict({"range": pa.array([r] * len(some), pa.int32()), "source": [name] * len(some), "seq": pa.array(range(lo, lo + len(some)), pa.int32()), "shared": pa.array([c[0] for c in some], pa.int32()), "rest": pa.array([c[1] for c in some], pa.binary()), "run": pa.array([c[2][0] for c in some], pa.binary()), "least": pa.array([c[2][1] for c in some], pa.int32()), "most": pa.array([c[2][2] for c in some], pa.int32()), "lefts": pa.array([c[2][3] for c in some], pa.binary())})
+                    cols = [[r] * len(some), [part] * len(some), [name] * len(some), range(lo, lo + len(some)), [c[0] for c in some], [c[1] for c in some], *[[c[2][i] for c in some] for i in range(5)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
 
-        for run, least, most, piece in _texts(batches):
+        held: list = []
+        size = 0
+        for run, least, most, weight, piece in _texts(batches):
             # A suffix is sorted by its right side; its left side, reversed, travels along.
-            held.append((piece[most:], (run, least, most, piece[:most][::-1])))
-            size += len(piece)
+            if strings:
+                held += [(piece[most - d : most - d + width], (run, d, d, weight, b"")) for d in range(least, most + 1)]
+                size += width * (most - least + 1)
+            else:
+                held.append((piece[most:], (run, least, most, weight, piece[:most][::-1])))
+                size += len(piece)
             if size >= 16 * BATCH_BYTES:
-                yield from flush()
+                yield from flush(held)
                 held, size = [], 0
-        yield from flush()
+        if held:
+            yield from flush(held)
 
-    coded = open_runs.select("run", "least", "most", "piece").mapInArrow(encode, "range int, source string, seq int, shared int, rest binary, run binary, least int, most int, lefts binary")
-    dealt = coded.repartition(ranges, "range").sortWithinPartitions("range", "source", "seq")
+    kinds = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("source", pa.string()), ("seq", pa.int32()), ("shared", pa.int32()), ("rest", pa.binary()), ("run", pa.binary()), ("least", pa.int32()), ("most", pa.int32()), ("weight", pa.int64()), ("lefts", pa.binary())])
+    coded = open_runs.select("run", "least", "most", "weight", "piece").mapInArrow(encode, "range int, part long, source string, seq int, shared int, rest binary, run binary, least int, most int, weight long, lefts binary")
+    dealt = coded.repartition(ranges * parts, "range", "part").sortWithinPartitions("range", "part", "source", "seq")
 
     def merge(batches):
+        out: list[tuple] = []
+
+        def ready(at_least=2000):
+            while len(out) >= at_least and out:
+                some = out[:2000]
+                del out[:2000]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.binary()), pa.array([[{"lo": lo, "hi": hi} for lo, hi in s] for _, s in some], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["run", "spans"])
+
         def ranges_of():
             now, sources = None, {}
-            for r, source, _, shared, rest, run, least, most, lefts in _texts(batches):
-                if r != now:
+            for r, part, source, _, shared, rest, run, least, most, weight, lefts in _texts(batches):
+                if (r, part) != now:
                     if sources:
                         yield sources
-                    now, sources = r, {}
-                sources.setdefault(source, []).append((shared, rest, (run, least, most, lefts)))
+                    now, sources = (r, part), {}
+                if rest is None:
+                    out.append((run, [(least, most)]))
+                else:
+                    sources.setdefault(source, []).append((shared, rest, (run, least, most, weight, lefts)))
             if sources:
                 yield sources
 
-        def spans_of(group, shared):
-            return [(x[2][0], [{"lo": lo, "hi": hi} for lo, hi in spans]) for x, spans in zip(group, repeated([(x[0], x[2][3], x[2][1], x[2][2]) for x in group], shared, width)) if spans]
+        def decide(group, shared):
+            """Spans of suffixes with a common core; whole runs that occur more than once repeat as a whole."""
+            found = repeated([(text, lefts, least, most) for text, _, (_, least, most, _, lefts) in group], shared, width) if len(group) > 1 else [[]]
+            for (_, _, (run, least, most, weight, _)), spans in zip(group, found):
+                if weight > 1 or spans:
+                    out.append((run, [(least, most)] if weight > 1 else spans))
 
         for sources in ranges_of():
-            out, group, shared = [], [], []
+            group, shared = [], []
             for item in LoserTree([decoded(rows) for rows in sources.values()]):
-                if group and item[1] < core:
-                    if len(group) > 1:
-                        out += spans_of(group, shared)
-                    group, shared = [], []
-                group.append((item[0], 0, item[2]))
-                shared.append(item[1] if len(group) > 1 else 0)
-            if len(group) > 1:
-                out += spans_of(group, shared)
-            for lo in range(0, len(out), 2000):
-                some = out[lo : lo + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.binary()), pa.array([s for _, s in some], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["run", "spans"])
+                text, common, payload = item
+                if strings:
+                    # A string repeats if it weighs more than one or its neighbour shares all of it.
+                    same = group and common >= width
+                    if payload[3] > 1 or same:
+                        out.append((payload[0], [payload[1:3]]))
+                    if same and shared == [False]:
+                        out.append((group[0][2][0], [group[0][2][1:3]]))
+                    group, shared = [(text, 0, payload)], [bool(payload[3] > 1 or same)]
+                else:
+                    if group and common < core:
+                        decide(group, shared)
+                        group, shared = [], []
+                    group.append((text, 0, payload))
+                    shared.append(common if len(group) > 1 else 0)
+                yield from ready()
+            if group and not strings:
+                decide(group, shared)
+            yield from ready()
+        yield from ready(0)
 
     return dealt.mapInArrow(merge, SPANS)
 
 
-def _by_strings(open_runs: DataFrame, width: int) -> DataFrame:
-    """The other exact way for cores with very many distinct runs: one row per string, counted by hash."""
-
-    def strings(batches):
-        for run, least, most, piece in _texts(batches):
-            ds = range(least, most + 1)
-            yield pa.RecordBatch.from_pydict({"run": pa.array([run] * len(ds), pa.binary()), "d": pa.array(list(ds), pa.int32()), "h": pa.array([hashlib.blake2b(piece[most - d : most - d + width], digest_size=16).digest() for d in ds], pa.binary())})
-
-    rows = open_runs.select("run", "least", "most", "piece").mapInArrow(strings, "run binary, d int, h binary")
-    twice = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    hit = rows.join(twice, "h").select("run", F.struct(F.col("d").alias("lo"), F.col("d").alias("hi")).alias("s"))
-    return hit.groupBy("run").agg(F.collect_list("s").alias("spans"))
-
-
 def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", span: int | None = None, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     span = span or width // 2
     given = docs.select(F.col(id_col).cast("long").alias("given_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = given.withColumn("doc_id", F.coalesce("given_id", F.lit(0))).withColumn("doc_key", F.xxhash64("text"))
-    light = stored(rows.select("given_id", "doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "light")
+    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    light = stored(rows.select("given_id", "doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "light")
     same = stored(light.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "doc_key")).alias("f")), "same")
-    texts, spans = removed_spans(rows.select("doc_id", "doc_key", "text"), same.select("f.*"), width, span, most_in_core)
+    texts, spans = removed_spans(rows.select("doc_id", "doc_key", "text"), same.select("f.*", "sha", "copies"), width, span, most_in_core)
 
     def remove(batches):
-        for part in _parts(_texts(batches)):
+        for part in _parts(_texts(batches), lambda r: len(r[1])):
             out = []
-            for doc, key, text, own in part:
+            for sha, text, own in part:
                 data = text.encode()
                 cover = np.zeros(len(data) + 1, np.int64)
                 np.add.at(cover, [s["lo"] for s in own], 1)
@@ -412,19 +448,15 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
                 gone = np.cumsum(cover[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((doc, key, int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "doc_key", "removed", "runs", "left_sha"])
-
-    cut = texts.join(spans, ["doc_id", "doc_key"]).select("doc_id", "doc_key", "text", "spans").mapInArrow(remove, "doc_id long, doc_key long, removed long, runs long, left_sha string")
-    # Only digests and counts meet here; a text with copies goes as a whole if it is long enough.
-    many = same.where("copies > 1").select("sha", F.lit(True).alias("copied"))
-    joined = light.join(many, "sha", "left").join(cut, ["doc_id", "doc_key"], "left")
-    whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= width)
-    return joined.select(
+                out.append((sha, int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.string()))], names=["sha", "removed", "runs", "left_sha"])
+
+    # Only digests and counts meet here: what a text loses, its copies lose.
+    cut = texts.join(spans, "sha").select("sha", "text", "spans").mapInArrow(remove, "sha binary, removed long, runs long, left_sha string")
+    return light.join(cut, "sha", "left").select(
         F.col("given_id").alias("doc_id"), "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("left_sha", F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
 
 

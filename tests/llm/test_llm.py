@@ -571,3 +571,16 @@ def test_surrogates_are_distinct_over_the_corpus(spark):
     assert all(a == b for a, b in got) and len({a for a, _ in got}) == len(names) and not {a for a, _ in got} & set(names)
     assert out[None].text == f"Mr. {got[0][0]}" and out[5000].text is None and out[5001].text == ""
     assert surrogates.replace(docs_of(spark, [])).count() == 0
+
+
+def test_suffix_ranges_and_parts(spark, monkeypatch):
+    # Many small ranges, each dealt further by hash, and equal strings in a task and over tasks.
+    monkeypatch.setattr(suffixes, "RANGE_ROWS", 6)
+    monkeypatch.setattr(suffixes, "MOST_RANGES", 5)
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcd") for _ in range(300))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(9))) + base[(at := rng.randrange(200)) : at + 90]) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    for most in (3, 1000):
+        got = suffixes.dedup(docs_of(spark, [(d, t, None, None) for d, t in rows]).repartition(3), 40, span=20, most_in_core=most).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(brute_removal(rows, 40), key=str)
