@@ -16,6 +16,7 @@ from skytile.llm import fingerprint, jaccard, language, mixing, packing, permuta
 from skytile.llm.tokens import default_vocabulary, encoder
 from skytile.session import scratch
 
+KEYED = surrogates.Keyed(b"a key for tests")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, anchor int, chunk string"
 
 
@@ -511,12 +512,12 @@ def test_held_out_accuracy(spark):
 
 
 def test_permutation_of_small_domain():
-    assert sorted(surrogates.permuted(i, 1000, "k", 0) for i in range(1000)) == list(range(1000))
+    assert sorted(KEYED.permuted(i, 1000, "k", 0) for i in range(1000)) == list(range(1000))
 
 
 def test_surrogates_keep_type_format_and_coreference(spark):
     text = 'Mail Bob.Smith@Mail5.example.com, +1 (523) 555-1055 or +1 523 555 1055; 4111 1111 1111 1111 at 70.23.22.57, token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2". Mr. Ray Cole met Mr. Cole and г-жа Анна Белова.'
-    new, n = surrogates.rewrite(text)
+    new, n = KEYED.rewrite(text)
     before, after = list(surrogates.entities(text)), list(surrogates.entities(new))
     assert n == len(before) and [e[2] for e in before] == [e[2] for e in after]
     assert all(a[4] != b[4] for a, b in zip(before, after))
@@ -527,7 +528,7 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     names = [e[4] for e in after if e[2].startswith("surname:latin")]
     assert names[0] == names[1] and surrogates.script([e for e in after if "cyrillic" in e[2]][0][3]) == "cyrillic"
     clean = "No data here. In 2024, 3.14 is fine; call me."
-    assert surrogates.rewrite(clean) == (clean, 0)
+    assert KEYED.rewrite(clean) == (clean, 0)
 
 
 @pytest.mark.parametrize("text,gone", [
@@ -538,27 +539,27 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     ("Mr. J. Smith, Mr J.R. Smith and Mr. John Q. Smith", "John Smith"),
     ("Mr. O'Brien and Dr. Cole", "O'Brien Cole"),
     ("Herr Prof. Dr. Weber, Professor Stone", "Weber Stone"),
-    ("at fe80::1ff:fe23:4567:890a, ::FFFF:10.1.2.3 or 2001:db8:0:0:0:0:0:1", "fe80 10.1.2.3 2001"),
+    ("at fe80::1ff:fe23:4567:890a, ::FFFF:10.1.2.3 or 2001:db8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a 10.1.2.3 2001:db8:0:0:0:0:0:1"),
     ("key sk-abcdefghijklmnopqrst", "abcdefghijklmnopqrst"),
     ("key AKIA" + "ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOP"),
     ("card ٤١١١١١١١١١١١١١١١", "٤١١١١١١١١١١١١١١١"),
 ])
 def test_surrogates_of_planted_spans(text, gone):
-    new, n = surrogates.rewrite(text)
+    new, n = KEYED.rewrite(text)
     assert n and not [x for x in gone.split() if re.search(rf"(?<!\w){re.escape(x)}(?!\w)", new)]
     for title in ("Mr. ", "Mrs. ", "Herr Prof. Dr. ", "Dr. "):
         assert new.count(title) == text.count(title)
 
 
 def test_surrogates_of_later_mentions():
-    new, n = surrogates.rewrite("Mr. Ray Cole met us. Cole said Ray would call. R. stays; Monsieur Dupont était là, coleslaw too.")
+    new, n = KEYED.rewrite("Mr. Ray Cole met us. Cole said Ray would call. R. stays; Monsieur Dupont était là, coleslaw too.")
     given, surname = re.match(r"Mr\. (\w+) (\w+) met us", new).groups()
     assert n == 5 and f"us. {surname} said {given} would call. R. stays; Monsieur " in new and new.endswith(" était là, coleslaw too.")
-    new, _ = surrogates.rewrite("Mr. John Smith, also Mr. J. Smith")
+    new, _ = KEYED.rewrite("Mr. John Smith, also Mr. J. Smith")
     given, surname, initial, again = re.fullmatch(r"Mr\. (\w+) (\w+), also Mr\. (\w)\. (\w+)", new).groups()
     assert surname == again and initial == given[0]
     for clean in ("At 12:30:45 std::vector, aa:bb:cc:dd:ee:ff and a :: b", "Miss it, Dr. who"):
-        assert surrogates.rewrite(clean) == (clean, 0)
+        assert KEYED.rewrite(clean) == (clean, 0)
 
 
 def test_surrogates_are_distinct_over_the_corpus(spark):
@@ -566,11 +567,11 @@ def test_surrogates_are_distinct_over_the_corpus(spark):
     rng = random.Random(8)
     names = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(7)).capitalize() for _ in range(900)})
     rows = [(i, f"Mr. {n} called Mrs. {n}.", None, None) for i, n in enumerate(names)] + [(5000, None, None, None), (5001, "", None, None), (None, f"Mr. {names[0]}", None, None)]
-    out = {r.doc_id: r for r in surrogates.replace(docs_of(spark, rows)).collect()}
+    out = {r.doc_id: r for r in surrogates.replace(docs_of(spark, rows), b"key").collect()}
     got = [re.findall(r"Mr\. (\w+) called Mrs\. (\w+)\.", out[i].text)[0] for i in range(len(names))]
     assert all(a == b for a, b in got) and len({a for a, _ in got}) == len(names) and not {a for a, _ in got} & set(names)
     assert out[None].text == f"Mr. {got[0][0]}" and out[5000].text is None and out[5001].text == ""
-    assert surrogates.replace(docs_of(spark, [])).count() == 0
+    assert surrogates.replace(docs_of(spark, []), b"key").count() == 0
 
 
 def test_suffix_ranges_and_parts(spark, monkeypatch):
@@ -584,3 +585,75 @@ def test_suffix_ranges_and_parts(spark, monkeypatch):
     for most in (3, 1000):
         got = suffixes.dedup(docs_of(spark, [(d, t, None, None) for d, t in rows]).repartition(3), 40, span=20, most_in_core=most).collect()
         assert sorted(map(tuple, got), key=str) == sorted(brute_removal(rows, 40), key=str)
+
+
+@pytest.mark.parametrize("value,head", [("+49 151 23456789", "+49"), ("+381 64 1234567", "+381"), ("+1 523 555 1055", "+1"), ("+7 912 345 67 89", "+7"), ("+44 20 7946 0958", "+44"), ("+353 86 123 4567", "+353")])
+def test_surrogate_phones_keep_the_whole_country_code(value, head):
+    new = KEYED.rewrite(f"call {value} now")[0][5:-4]
+    assert new != value and new.startswith(head + " ") and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+
+
+def test_surrogate_ibans_keep_their_validity():
+    for good, country in (("GB82 WEST 1234 5698 7654 32", "GB"), ("DE89 3704 0044 0532 0130 00", "DE")):
+        new = KEYED.rewrite(f"pay {good} today")[0][4:-6]
+        plain = new.replace(" ", "")
+        assert new != good and plain.startswith(country) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    bad = "GB83WEST12345698765432"
+    new = KEYED.surrogate("iban", bad)
+    assert new != bad and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 != 1
+
+
+def test_surrogate_addresses_keep_their_network():
+    import ipaddress
+
+    rng = random.Random(3)
+    for text in ("10.1.2.3", "192.168.0.7", "172.20.1.1", "127.0.0.1", "8.8.8.8", "93.184.216.34", "fe80::1", "2001:db8::5", "2a00:1450::1", "fd12::9"):
+        a, b = ipaddress.ip_address(text), ipaddress.ip_address(KEYED.surrogate("ipv6" if ":" in text else "ip", text))
+        assert a != b and (a.is_private, a.is_loopback, a.is_link_local, a.is_multicast) == (b.is_private, b.is_loopback, b.is_link_local, b.is_multicast)
+    some = {f"10.0.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(500)}
+    assert len({KEYED.surrogate("ip", x) for x in some}) == len(some)
+    assert KEYED.rewrite("listen on ::1 please") == ("listen on ::1 please", 0)
+
+
+def test_surrogates_depend_on_the_key():
+    text = "Mr. Ray Cole, bob@mail.com, 8.8.8.8, my name is Anna Bell."
+    assert KEYED.rewrite(text) != surrogates.Keyed(b"other").rewrite(text) and KEYED.rewrite(text) == surrogates.Keyed(b"a key for tests").rewrite(text)
+    with pytest.raises(ValueError):
+        surrogates.Keyed(b"")
+
+
+def test_surrogates_of_labelled_names():
+    new, n = KEYED.rewrite("my name is Anna Bell. Full name: Carl Stone\nAnna wrote; my name is unknown, Name: x")
+    assert n == 5 and not re.search("Anna|Bell|Carl|Stone", new) and new.endswith("wrote; my name is unknown, Name: x")
+
+
+def brute_surrogates(rows, out):
+    """Whole-corpus coreference and distinctness: each titled or joint mention maps to one value, and no two alike."""
+    maps = defaultdict(lambda: defaultdict(set))
+    for d, t in rows:
+        a, b = re.findall(r"[^\W\d_]+|\S", t), re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*|\S", out[d])
+        assert len(a) == len(b), (t, out[d])
+        for x, y in zip(a, b):
+            maps[x][y].add(d)
+    return maps
+
+
+def test_surrogates_follow_names_through_the_corpus(spark):
+    rows = [(1, "Dr. Anna Bell met Anna Bell"), (2, "Anna Bell is here, and so is Bell"), (3, "Mrs. Anna Bell left"), (4, "A Bell rang for Anna"), (5, "Mr. Ray Cole saw Carl Ray"), (6, "Ray Cole and Anna Cole"), (7, "Mr. Ray Cole Stone"), (8, "Cole Stone"), (9, "ANNA BELL")]
+    out = {r.doc_id: r.text for r in surrogates.replace(docs_of(spark, [(d, t, None, None) for d, t in rows]).withColumn("n_entities", F.lit("x")).repartition(3), b"key").collect()}
+    assert out[4] == rows[3][1]
+    found = brute_surrogates([r for r in rows if r[0] in (1, 2, 3, 9)], out)
+    assert all(len(v) == 1 for w, v in ((w, {x.lower() for x in v}) for w, v in found.items()) if w in ("Anna", "Bell")), found
+    assert not any(re.search(r"\b(Anna|Bell)\b", out[d], re.I) for d in (1, 2, 3, 9))
+    assert out[6].split()[0] == out[5].split()[1] and out[6].split()[1] == out[5].split()[2] and "Ray" not in out[6]
+    assert out[8] != rows[7][1]
+
+
+def test_surrogates_of_a_full_domain(spark, monkeypatch):
+    # Every value of the network is taken, so no surrogate can be free of real ones: distinct they stay.
+    monkeypatch.setattr(surrogates, "MAX_ATTEMPTS", 2)
+    monkeypatch.setitem(surrogates._NETS, 4, [__import__("ipaddress").ip_network("10.0.0.0/29")])
+    rows = [(i, f"host 10.0.0.{i}", None, None) for i in range(8)]
+    keyed = surrogates.Keyed(b"key")
+    now = surrogates.decided_entities(docs_of(spark, rows), keyed)
+    assert now is not None
