@@ -38,6 +38,13 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each occurs."""
+    order = np.sort(ids, kind="stable")  # by radix, for ids of 16 bits
+    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 class Corpus:
     """Documents, mean length and, by term, document frequencies and inverse ones of a corpus."""
 
@@ -55,11 +62,15 @@ class Corpus:
 
     def key(self, ids: np.ndarray) -> bytes:
         """The terms of greatest weight that another document has, too, as bytes that sort like them."""
-        term, tf = np.unique(ids, return_counts=True)
-        some = self.df[term] > 1
-        term, tf = term[some], tf[some]
-        best = np.argsort(-self.weights(term, tf, len(ids)), kind="stable")[:KEY_TERMS]
-        return term[best].astype(">u4").tobytes()
+        term, tf = _terms(ids)
+        weight = self.weights(term, tf, len(ids)) * (self.df[term] > 1)
+        if len(term) > 4 * KEY_TERMS:
+            # The greatest, with all ties of the last.
+            least = np.partition(weight, -KEY_TERMS)[-KEY_TERMS]
+            some = np.flatnonzero(weight >= least)
+            term, weight = term[some], weight[some]
+        best = np.argsort(-weight, kind="stable")[:KEY_TERMS]
+        return term[best[weight[best] > 0]].astype(">u4").tobytes()
 
 
 class Index:
@@ -165,9 +176,9 @@ def token_rows(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) ->
         tokens = encoder(vocabulary)
         kind = "<u2" if tokens.size <= 1 << 16 else "<u4"
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array([tokens.ids(t).astype(kind).tobytes() for t in texts[lo : lo + 500]], pa.binary())], names=["doc_id", "ids"])
+            for lo in range(0, len(batch), 500):
+                some = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([ids.astype(kind).tobytes() for ids in tokens.batches(some.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -180,12 +191,7 @@ def corpus_of(tokens: DataFrame, size: int, kind: str) -> Corpus:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, kind)
-                seen = np.zeros(size, bool) if len(ids) > size else None
-                if seen is None:
-                    df[np.unique(ids)] += 1
-                else:
-                    seen[ids] = True
-                    df += seen
+                df[_terms(ids)[0]] += 1
                 n, total = n + 1, total + len(ids)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": pa.array([-2, -1, *hit.tolist()], pa.int64()), "n": pa.array([total, n, *df[hit].tolist()], pa.int64())})

@@ -158,10 +158,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     def write(batches):
         tokens, out, name, number = encoder(vocabulary), None, uuid.uuid4().hex, 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.batches(batch.column(1).to_pylist())):
                 if out is None:
                     out, number = Writer(f"{path}/{name}-{number:06d}.s8b"), number + 1
-                out.add(doc, np.append(tokens.ids(text), np.uint32(end_id)))
+                out.add(doc, np.append(ids, np.uint32(end_id)))
                 if out.total >= file_ids:
                     yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(out.close(), kinds)], schema=kinds)
                     out = None

@@ -19,6 +19,8 @@ from skytile.llm import words
 SLOTS = 1 << 22
 #: Most eight-byte pieces of long words that a table holds.
 PIECES = 1 << 22
+#: Bytes of text whose words are looked up at once.
+BATCH_BYTES = 1 << 17
 
 _ENCODERS: dict[str, "Encoder"] = {}
 # The vocabulary's word pattern for lower-cased Latin-1 text; only texts with an apostrophe need it as a pattern.
@@ -48,7 +50,7 @@ class Encoder:
         self.taken = 0
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's slot, or the free one where it would go."""
@@ -90,50 +92,77 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         """All ids of a text (null: none) as uint32."""
-        if not text:
-            return np.zeros(0, "<u4")
-        try:
-            raw = text.encode("latin-1").translate(_LOWER)
-        except UnicodeEncodeError:
-            return self._encode(text)
-        if "<|" in text:  # may hold the text of a special token
-            return self._encode(text)
-        if b"'" in raw:
-            raw = b" ".join(_WORD.findall(raw))
-            data = np.frombuffer(raw, np.uint8)
-            cls = (data != 32).astype(np.uint8)
-        else:
-            data = np.frombuffer(raw, np.uint8)
-            cls = _CLASS[data]
-        if not len(data):
-            return np.zeros(0, "<u4")
-        edge = np.empty(len(data), bool)
-        edge[0] = True
-        np.logical_or(cls[1:] != cls[:-1], cls[1:] == _DIGIT, out=edge[1:])
-        starts = np.flatnonzero(edge)
-        stops = np.append(starts[1:], len(data))
-        real = cls[starts] != _SPACE
-        starts, stops = starts[real], stops[real]
+        return self.many([text])[0]
+
+    def batches(self, texts):
+        """The ids of each of the texts, in order; a bounded number of bytes is looked up at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= BATCH_BYTES:
+                yield from self.many(held)
+                held, size = [], 0
+        yield from self.many(held)
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list = [np.zeros(0, "<u4")] * len(texts)
+        raws, places = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            raw = None
+            if "<|" not in text:  # else it may hold the text of a special token
+                try:
+                    raw = text.encode("latin-1").translate(_LOWER)
+                except UnicodeEncodeError:
+                    pass
+            if raw is None:
+                out[i] = self._encode(text)
+                continue
+            if b"'" in raw:
+                # Words, told apart by a byte that this pattern never leaves inside of one.
+                raw = b"\x85".join(_WORD.findall(raw))
+            raws.append(raw)
+            places.append(i)
+        if not raws:
+            return out
+        whole = b"\x85".join(raws)
+        data = np.frombuffer(whole, np.uint8)
+        cls = _CLASS[data]
+        edge = np.empty(len(data) + 1, bool)
+        edge[0] = edge[-1] = True
+        np.logical_or(cls[1:] != cls[:-1], cls[1:] == _DIGIT, out=edge[1:-1])
+        for raw, at in zip(raws, np.cumsum([0] + [len(r) + 1 for r in raws]).tolist()):
+            if b"'" in raw:  # here a word ends where the pattern ended it
+                inner = data[at : at + len(raw)] == 0x85
+                own = edge[at : at + len(raw) + 1]
+                own[:] = False
+                own[0] = own[-1] = True
+                own[:-1] |= inner
+                own[1:] |= inner
+        cuts = np.flatnonzero(edge)
+        real = cls[cuts[:-1]] != _SPACE
+        starts, stops = cuts[:-1][real], cuts[1:][real]
         if not len(starts):
-            return np.zeros(0, "<u4")
+            return out
         sizes = stops - starts
-        if sizes.max() > words.LONG:
-            return self._encode(text)
-        h, head, more = words.hashes(words.padded(raw), starts, sizes)
+        h, head, more = words.hashes(words.padded(whole), starts, sizes)
         h[h == 0] = 1
+        short = sizes <= words.LONG
         slot = self._slots(h)
-        new = np.flatnonzero(self.keys[slot] == 0)
+        new = np.flatnonzero((self.keys[slot] == 0) & short)
         if len(new):
             _, at = np.unique(h[new], return_index=True)
             room = int(((sizes[new[at]] - 1) // 8).sum())
             if self.taken + len(at) > SLOTS // 2 or self.filled + room > PIECES:
                 self._clear()
-                new = np.arange(len(h))
-                _, at = np.unique(h, return_index=True)
+                new = np.flatnonzero(short)
+                _, at = np.unique(h[new], return_index=True)
             for lo in range(0, len(at), SLOTS // 4):
                 some = new[at[lo : lo + SLOTS // 4]]
                 before = self.taken
-                self._learn([raw[a:b] for a, b in zip(starts[some].tolist(), stops[some].tolist())], h[some], sizes[some], head[some])
+                self._learn([whole[a:b] for a, b in zip(starts[some].tolist(), stops[some].tolist())], h[some], sizes[some], head[some])
                 rank = np.full(len(h), -1)
                 rank[some] = np.arange(before, self.taken)
                 for i, (live, piece) in enumerate(more):
@@ -141,12 +170,20 @@ class Encoder:
                     self.pieces[self.more[r[r >= 0]] + i] = piece[r >= 0]
             slot = self._slots(h)
         e = self.entry[slot]
-        same = (self.length[e] == sizes).all() and (self.head[e] == head).all()
-        if not (same and all((self.pieces[self.more[e[live]] + i] == piece).all() for i, (live, piece) in enumerate(more))):
-            return self._encode(text)
-        n = self.count[e].astype(np.int64)
+        same = short & (self.keys[slot] != 0) & (self.length[e] == sizes) & (self.head[e] == head)
+        for i, (live, piece) in enumerate(more):
+            same[live] &= self.pieces[np.minimum(self.more[e[live]] + i, len(self.pieces) - 1)] == piece
+        n = np.where(same, self.count[e], 0).astype(np.int64)
         end = np.cumsum(n)
-        return self.flat[np.repeat(self.first[e] - (end - n), n) + np.arange(end[-1])]
+        flat = self.flat[np.repeat(self.first[e] - (end - n), n) + np.arange(end[-1])]
+        bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
+        ends = np.concatenate([[0], end])[bounds].tolist()
+        for j, i in enumerate(places):
+            out[i] = flat[ends[j] : ends[j + 1]]
+        if not same.all():  # texts that hold a word which the table cannot tell
+            for j in np.unique(np.searchsorted(bounds, np.flatnonzero(~same), "right") - 1).tolist():
+                out[places[j]] = self._encode(texts[places[j]])
+        return out
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
