@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for the personal data in their texts."""
     ship(spark)
-    out = surrogates.replace(docs)
+    out = surrogates.replace(docs, surrogates.session_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
