@@ -29,7 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skytile.session import discard, ship, stored
 
@@ -44,6 +44,8 @@ RANGE_ROWS = 20_000
 MOST_RANGES = 4096
 SAMPLED = 16
 BATCH_BYTES = 1 << 20
+#: Anchors of a task that are counted together before they move.
+BATCH_ANCHORS = 1 << 19
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -243,21 +245,40 @@ def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span:
     """
     core = width - span + 1
 
+    fields = [("doc_id", np.int64, pa.int64()), ("doc_key", np.int64, pa.int64()), ("anchor", np.int32, pa.int32()), ("least", np.int16, pa.int16()), ("most", np.int16, pa.int16()), ("core", np.int64, pa.int64()), ("m", np.int32, pa.int32())]
+
     def anchors(batches):
+        """Anchors with ``m``, how many of a batch one row stands for outside: 0 where another row of its core does."""
+
+        def flush(cols):
+            cols = [np.concatenate(c) for c in cols]
+            order = np.argsort(cols[-1], kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], cols[-1][order][1:] != cols[-1][order][:-1]]))
+            m = np.zeros(len(order), np.int32)
+            m[order[first]] = np.diff(np.append(first, len(order)))
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(t), k) for c, (_, t, k) in zip((*cols, m), fields)], names=[f[0] for f in fields])
+
+        held, size = [[] for _ in range(6)], 0
         for part in _parts(_texts(batches)):
-            cols = [[], [], [], [], [], []]
             for doc, key, text in part:
                 a, lo, hi, h = runs(np.frombuffer(text.encode(), np.uint8), width, span)
                 if len(a):
-                    for c, v in zip(cols, (np.full(len(a), doc), np.full(len(a), key), a, lo, hi, h.view(np.int64))):
+                    for c, v in zip(held, (np.full(len(a), doc), np.full(len(a), key), a, lo, hi, h.view(np.int64))):
                         c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t), k) for c, t, k in zip(cols, (np.int64, np.int64, np.int32, np.int16, np.int16, np.int64), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64()))], names=["doc_id", "doc_key", "anchor", "least", "most", "core"])
-
-    found = stored(docs.select("doc_id", "doc_key", "text").mapInArrow(anchors, "doc_id long, doc_key long, anchor int, least short, most short, core long"), "anchors")
-    # Counts are pre-aggregated in each task, and a hot core's rows may be split in the join.
-    counts = found.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    again = found.join(counts, "core", "left_semi").join(firsts, ["doc_id", "doc_key"])
+                    size += len(a)
+            if size >= BATCH_ANCHORS:
+                yield flush(held)
+                held, size = [[] for _ in range(6)], 0
+        if size:
+            yield flush(held)
+
+    found = docs.select("doc_id", "doc_key", "text").mapInArrow(anchors, "doc_id long, doc_key long, anchor int, least short, most short, core long, m int")
+    # A core has one row a batch, however often it occurs; the rows it stands for are dealt by their own place.
+    settled = F.col("m") == 0
+    found = found.withColumn("key", F.when(settled, F.xxhash64("doc_id", "anchor")).otherwise(F.col("core")))
+    counted = found.withColumn("c", F.sum("m").over(Window.partitionBy("key", settled)))
+    # What a row stands for has its core twice at least, so of a core all rows stay or none.
+    again = counted.where("m = 0 or c > 1").drop("key", "c", "m").join(firsts, ["doc_id", "doc_key"])
     wanted = again.groupBy("doc_id", "doc_key").agg(F.first("sha").alias("sha"), F.first("copies").alias("copies"), F.collect_list(F.struct("anchor", "least", "most", "core")).alias("runs"))
 
     def cut(batches):
@@ -281,7 +302,6 @@ def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span:
     kinds = pa.schema([("sha", pa.binary()), ("copies", pa.int64()), ("anchor", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("core", pa.int64()), ("run", pa.binary()), ("piece", pa.binary())])
     # Rows of one id and text are copies of each other, so any of them will do.
     texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "doc_key"]).dropDuplicates(["doc_id", "doc_key"]).select("sha", "text", "copies", "runs"), "texts")
-    discard(found)
     places = stored(texts.mapInArrow(cut, "sha binary, copies long, anchor int, least short, most short, core long, run binary, piece binary"), "places")
     distinct = stored(places.groupBy("run").agg(F.first("core").alias("core"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum("copies").alias("weight"), F.max("piece").alias("piece")), "runs")
     large = distinct.groupBy("core").agg(F.count("*").alias("g")).where(F.col("g") > most_in_core).select("core")
