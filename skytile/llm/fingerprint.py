@@ -7,8 +7,10 @@ vote, and windows with ``VOTES`` votes or more are features. Their hashes go, fi
 expected by chance, over the most they could share; best partner of each filter of the shorter chain,
 averaged by features.
 
-A text of fewer than 64 bytes has itself as its one feature; null is the empty text, which has no
-feature and equals only texts without any. Ties of document ids are ordered by text. Whole texts count.
+A text without any feature, such as one of fewer than 64 bytes or a rule of dashes, has itself as its one feature; null
+is the empty text, which has none and equals only itself. Whole texts count; very long ones are worked off in segments
+that overlap. Rows that share a document id are ordered by text, null ids come last; repeated rows are each other's
+next document. Other columns are left out, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,11 @@ FILTER_FEATURES = 160
 SCORES = 1001
 #: Windows of less entropy (in thousandths of the most) say nothing and are never features.
 LEAST_SCORE = 100
-BUCKET_BYTES = 12 << 20
+#: Bytes of a range of document ids, and most ranges: larger tables have larger ones, which tasks stream.
+BUCKET_BYTES = 4 << 20
+MOST_RANGES = 8192
+#: Windows of a long text that are looked at together.
+SEGMENT = 1 << 20
 BATCH_BYTES = 1 << 19
 
 _ONE = 1 << 20
@@ -74,9 +80,16 @@ def _inside(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def window_counts(texts: list[bytes]) -> np.ndarray:
     """How many windows have each entropy score."""
-    data, starts, lengths = _joined(texts)
+    total = np.zeros(SCORES, np.int64)
+    for text in texts:
+        if len(text) > SEGMENT:
+            for at in range(0, len(text) - WIDTH + 1, SEGMENT):
+                total += np.bincount(entropy_scores(np.frombuffer(text[at : at + SEGMENT + WIDTH - 1], np.uint8)), minlength=SCORES)
+    data, starts, lengths = _joined([t for t in texts if len(t) <= SEGMENT])
+    if len(data) < WIDTH:
+        return total
     scores = entropy_scores(data)
-    return np.bincount(scores[_inside(len(scores), starts, lengths)], minlength=SCORES)
+    return total + np.bincount(scores[_inside(len(scores), starts, lengths)], minlength=SCORES)
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -128,11 +141,11 @@ def likeness(a: Digest, b: Digest) -> float:
     return float(np.average(score, weights=a.features))
 
 
-def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
-    data, starts, lengths = _joined(texts)
-    n = len(data) - WIDTH + 1
-    r = np.where(_inside(n, starts, lengths), rank[entropy_scores(data)], SCORES)
-    # Best window of each run of 64, votes, features. Runs that reach beyond a text see only its own windows.
+def _voted(r: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Windows lo..hi-1 with enough votes: in each run of 64 windows the leftmost of best rank has one.
+
+    ``r`` has the ranks of windows; runs that reach beyond it see only its own.
+    """
     pad = np.concatenate([np.full(WIDTH - 1, SCORES, np.int64), r, np.full(WIDTH - 1, SCORES, np.int64)])
     best = (pad << 32) | np.arange(len(pad))
     width = 1
@@ -143,14 +156,37 @@ def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
     edges = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]])) if len(best) else np.zeros(0, np.int64)
     votes = np.diff(np.append(edges, len(best)))
     chosen = best[edges[votes >= VOTES]] - (WIDTH - 1)
-    hashes = _hashes(np.lib.stride_tricks.sliding_window_view(data, WIDTH)[chosen]) if len(chosen) else np.zeros(0, np.uint64)
+    return chosen[(chosen >= lo) & (chosen < hi)]
+
+
+def _features(data: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    return _hashes(np.lib.stride_tricks.sliding_window_view(data, WIDTH)[chosen]) if len(chosen) else np.zeros(0, np.uint64)
+
+
+def _long(text: bytes, rank: np.ndarray) -> np.ndarray:
+    """Features of a long text, a segment of its windows at a time; the runs about a segment lie in it, too."""
+    out, n = [], len(text) - WIDTH + 1
+    for at in range(0, n, SEGMENT):
+        lo, hi = max(0, at - 2 * WIDTH), min(n, at + SEGMENT + 2 * WIDTH)
+        data = np.frombuffer(text[lo : hi + WIDTH - 1], np.uint8)
+        out.append(_features(data, _voted(rank[entropy_scores(data)], at - lo, min(n, at + SEGMENT) - lo)))
+    return np.concatenate(out)
+
+
+def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
+    short = [t if len(t) <= SEGMENT else b"" for t in texts]
+    data, starts, lengths = _joined(short)
+    n = max(0, len(data) - WIDTH + 1)
+    r = np.where(_inside(n, starts, lengths), rank[entropy_scores(data)], SCORES) if n else np.zeros(0, np.int64)
+    chosen = _voted(r, 0, n)
+    hashes = _features(data, chosen)
     cuts = np.searchsorted(chosen, np.append(starts, len(data)))
     out = []
     for i, text in enumerate(texts):
-        if 0 < len(text) < WIDTH:
-            out.append(Digest(np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), "<u8")))
-        else:
-            out.append(Digest(hashes[cuts[i] : cuts[i + 1]]))
+        own = _long(text, rank) if len(text) > SEGMENT else hashes[cuts[i] : cuts[i + 1]]
+        if text and not len(own):
+            own = np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), "<u8")
+        out.append(Digest(own))
     return out
 
 
@@ -192,7 +228,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rank, size = corpus_ranks(rows)
-    n = max(1, -(-size // BUCKET_BYTES))
+    n = min(MOST_RANGES, max(1, -(-size // BUCKET_BYTES)))
     cuts = np.array(sorted({int(c) for c in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else [], np.int64)
 
     @F.pandas_udf("int")
@@ -202,7 +238,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pd.Series(np.where(given, found, len(cuts) + 1).astype(np.int32))
 
     dealt = rows.withColumn("bucket", bucket("doc_id"))
-    firsts = sorted((r["bucket"], r["head"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # a row a range
+    firsts = sorted((r["bucket"], r["head"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # MOST_RANGES rows at most
     after = [(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)]
     spark = docs.sparkSession
     heads = spark.createDataFrame(after or [(0, None)], "b int, head long")

@@ -229,6 +229,8 @@ def test_warc_chunks(spark):
     for i, _, html in rows:
         body = (html or "").encode()
         assert got[i].payload_bytes == len(body) and got[i].payload_digest == hashlib.sha256(body).hexdigest()
+    # A record without an id is a response that none refers to.
+    assert got[None].record_type == "response" and got[None].refers_to is None
     assert got[3].record_type == "revisit" and got[3].refers_to == 1 and got[1].record_type == "response" and got[4].record_type == "response"
     parts = chunks.where("record_id = 1").orderBy("chunk_no").collect()
     assert b"".join(bytes(p.chunk) for p in parts).decode() == big and len(parts) == 8
@@ -255,6 +257,15 @@ def test_mixture(spark, corpus):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
+def test_mixture_replaces_its_columns_and_bounds_its_sources(spark, monkeypatch):
+    d = docs_of(spark, [(i, "a b c", None, "xy"[i % 2]) for i in range(10)]).withColumn("mix_weight", F.lit("w")).withColumn("mix_epoch", F.lit("e"))
+    out = mixing.mix(d)
+    assert sorted(out.columns) == sorted(d.columns) and {r.mix_epoch for r in out.collect()} == {0}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    with pytest.raises(Exception, match="more than 1 sources"):
+        mixing.mix(d).collect()
+
+
 def test_mixture_entropy(spark):
     rows = [(i, "w " * 10, None, "abcd"[min(3, i % 16)]) for i in range(320)]
     weights = {r.source: r.mix_weight for r in mixing.mix(docs_of(spark, rows), max_repeat=100.0, target_entropy=1.2, block_docs=8).collect()}
@@ -287,6 +298,66 @@ def test_fingerprints(spark, corpus):
     assert len(odd) == 3
 
 
+def brute_digest(text: bytes, rank):
+    """Features by counting each window's votes one by one."""
+    n = len(text) - 63
+    score = []
+    for i in range(max(0, n)):
+        c = Counter(text[i : i + 64])
+        e = fingerprint._TOP - sum(int(fingerprint._F[k]) for k in c.values())
+        score.append(int(rank[1000 * e // fingerprint._TOP]))
+    votes = Counter()
+    for start in range(-63, n):
+        run = [i for i in range(max(0, start), min(n, start + 64)) if score[i] < fingerprint.SCORES]
+        if run:
+            votes[min(run, key=lambda i: (score[i], i))] += 1
+    return [text[i : i + 64] for i in sorted(votes) if votes[i] >= fingerprint.VOTES]
+
+
+def test_digests_against_brute_force(monkeypatch):
+    rng = random.Random(6)
+    texts = [words(rng, n).encode() for n in (3, 20, 80, 150)] + [b"-" * 500, b" " * 500, b"", b"ab" * 200, bytes(rng.randrange(256) for _ in range(900))]
+    rank = fingerprint.ranks(fingerprint.window_counts(texts))
+    for segment in (1 << 20, 100, 257):  # whole texts, and texts in overlapping segments
+        monkeypatch.setattr(fingerprint, "SEGMENT", segment)
+        assert (fingerprint.ranks(fingerprint.window_counts(texts)) == rank).all()
+        got = fingerprint.digests(texts, rank)
+        for text, d in zip(texts, got):
+            want = brute_digest(text, rank)
+            h = fingerprint._hashes(np.array([np.frombuffer(w, np.uint8) for w in want])) if want else np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), "<u8") if text else np.zeros(0, np.uint64)
+            assert d.text == fingerprint.Digest(h).text
+        assert len({d.text for d in got}) == len(texts)
+
+
+def brute_likeness(a, b):
+    """Filter by filter, with plain sets of bits."""
+    x, y = [[set(np.flatnonzero(f)) for f in d.bits] for d in (a, b)]
+    fa, fb = list(a.features), list(b.features)
+    if a.text == b.text:
+        return 1.0
+    if not x or not y:
+        return 0.0
+    if (len(y), sum(fb), b.text) < (len(x), sum(fa), a.text):
+        x, y, fa = y, x, fb
+    total = 0
+    for f, n in zip(x, fa):
+        best = 0
+        for g in y:
+            chance, most = len(f) * len(g) / 2048, min(len(f), len(g))
+            best = max(best, min(1, max(0, (len(f & g) - chance) / max(most - chance, 1e-9))))
+        total += n * best
+    return total / sum(fa)
+
+
+def test_likeness_against_brute_force():
+    rng = np.random.default_rng(2)
+    some = [fingerprint.Digest(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 30, 160, 400)]
+    some.append(fingerprint.Digest(np.arange(50, dtype=np.uint64)))
+    for a in some:
+        for b in some:
+            assert fingerprint.likeness(a, b) == pytest.approx(brute_likeness(a, b), abs=1e-6)
+
+
 def test_half_edited_text_is_half_like():
     rng = random.Random(2)
     a, b = words(rng, 600).encode(), words(rng, 600).encode()
