@@ -6,8 +6,10 @@ bounded size) per task;
 the payload so far, so no task ever holds a whole payload of an archive in memory.
 
 Equal payloads of at least ``min_revisit`` bytes are written once: the smallest id is the response and
-the others are revisit records naming it. Nulls: a null payload is empty, a null url is written as an
-empty target, a null id sorts before all others. Repeated ids give a record each. Empty tables give no files.
+the others are revisit records naming it; records that share the smallest id are all responses. Nulls: a null payload
+is empty, a null url is written as an empty target; a record with a null id is always a response, and none refers to it.
+Repeated ids give a record each. Very long payloads are written and read a chunk at a time. Other columns are left out,
+whatever their names. Empty tables give no files.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     joined = rows.join(firsts, "digest", "left")
     revisit = F.col("first_id").isNotNull() & (F.col("record_id") != F.col("first_id"))
     return joined.select(
-        "record_id", "url", "payload", "digest",
+        "record_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), "digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
     )
@@ -86,17 +88,17 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
                 if out is None:
                     name, size, count = f"{path}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open_out(name)
-                body, member = r["payload"].encode(), zlib.compressobj(1, zlib.DEFLATED, 31)
+                text, member = r["payload"], zlib.compressobj(1, zlib.DEFLATED, 31)
 
                 def put(raw):
                     nonlocal size
                     size += len(raw)
                     out.write(raw)
 
-                put(member.compress(_header(r["record_id"], r["url"], r["record_type"], r["refers_to"], r["digest"], len(body))))
+                put(member.compress(_header(r["record_id"], r["url"], r["record_type"], r["refers_to"], r["digest"], r["payload_bytes"])))
                 if r["record_type"] != "revisit":
-                    for at in range(0, len(body), CHUNK_BYTES):
-                        put(member.compress(body[at : at + CHUNK_BYTES]))
+                    for at in range(0, len(text), CHUNK_BYTES):
+                        put(member.compress(text[at : at + CHUNK_BYTES].encode()))
                 put(member.compress(b"\r\n\r\n") + member.flush())
                 count += 1
                 if size >= file_bytes:
@@ -113,39 +115,44 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
 def _read_file(path: str, chunk_bytes: int):
     """Rows of one archive, a chunk each; holds one buffer of ``chunk_bytes`` and a header at a time."""
     with open_in(path) as stored_file, gzip.GzipFile(fileobj=stored_file) as raw:
-        buffer = b""
+        buffer, at = b"", 0
 
         def need(n: int) -> bool:
-            nonlocal buffer
-            while len(buffer) < n and (more := raw.read(chunk_bytes)):
-                buffer += more
-            return len(buffer) >= n
+            """Have n bytes from ``at`` on in the buffer, if there are as many."""
+            nonlocal buffer, at
+            if len(buffer) - at < n:
+                parts, have = [buffer[at:]], len(buffer) - at
+                while have < n and (more := raw.read(chunk_bytes)):
+                    parts.append(more)
+                    have += len(more)
+                buffer, at = b"".join(parts), 0
+            return len(buffer) - at >= n
 
         while need(1):
-            while (end := buffer.find(b"\r\n\r\n")) < 0:
-                if not need(len(buffer) + 1):
+            while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+                if not need(len(buffer) - at + 1):
                     raise ValueError(f"{path}: a header has no end")
-            head = dict(x.split(": ", 1) for x in buffer[:end].decode().split("\r\n")[1:])
-            buffer = buffer[end + 4 :]
+            head = dict(x.split(": ", 1) for x in buffer[at:end].decode().split("\r\n")[1:])
+            at = end + 4
             left, digest, done, number = int(head["Content-Length"]), hashlib.sha256(), 0, 0
             rid, refers = head["WARC-Record-ID"][13:-1], head.get("WARC-Refers-To")
             same = (int(rid) if rid else None, head["WARC-Type"], int(refers[13:-1]) if refers else None, head["WARC-Target-URI"])
             while True:
-                need(min(left, chunk_bytes))
-                chunk, buffer = buffer[: min(left, chunk_bytes)], buffer[min(left, chunk_bytes) :]
-                if len(chunk) < min(left, chunk_bytes):
+                size = min(left, chunk_bytes)
+                if not need(size):
                     raise ValueError(f"{path}: a record is cut short")
-                left -= len(chunk)
-                done += len(chunk)
+                chunk = buffer[at : at + size]
+                at += size
+                left -= size
+                done += size
                 digest.update(chunk)
                 yield (same[0], number, left == 0, same[1], same[2], same[3], done, digest.hexdigest(), head["WARC-Payload-Digest"][7:], int(head["X-Payload-Length"]), chunk)
                 number += 1
                 if not left:
                     break
-            need(4)
-            if buffer[:4] != b"\r\n\r\n":
+            if not need(4) or buffer[at : at + 4] != b"\r\n\r\n":
                 raise ValueError(f"{path}: no end of record")
-            buffer = buffer[4:]
+            at += 4
 
 
 def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bool = True) -> DataFrame:
