@@ -9,7 +9,8 @@ and inside the block where it ends documents are taken in hashed order.
 
 Null sources form a source of their own; null or empty texts have no tokens and are used as often as
 their place in the permutation says; a source without any token is used once. Repeated rows share one place
-in the order and are taken together. Empty tables give no rows. Other columns are kept as they are.
+in the order and are taken together. Empty tables give no rows. Other columns are kept as they are, but for those
+named ``mix_epoch`` and ``mix_weight``, which are replaced. Sources are a list of at most ``MOST_SOURCES``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Documents in a block on average.
 BLOCK_DOCS = 2048
+#: Sources whose plan, a row each, goes to all tasks; more raise an error.
+MOST_SOURCES = 100_000
 STEPS = 50
 MAX_REPEAT = 2.0
 SEED = 17
@@ -55,6 +58,8 @@ def weights(sources: DataFrame, max_repeat: float = MAX_REPEAT, target_entropy:
     The sources are gathered into one array, as long as the list of sources, and dealt out again.
     """
     one = sources.agg(F.array_sort(F.collect_list(F.struct("source_key", "tokens", "blocks"))).alias("sources"))
+    many = F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))
+    one = one.withColumn("sources", F.when(F.size("sources") <= MOST_SOURCES, F.col("sources")).otherwise(many))
     one = one.withColumn("full", F.filter("sources", lambda s: s["tokens"] > 0)).withColumn("sum", F.aggregate("full", F.lit(0).cast("long"), lambda a, s: a + s["tokens"]))
     one = one.withColumn("p", F.transform("full", lambda s: s["tokens"].cast("double") / F.col("sum"))).withColumn("top", F.array_max(F.transform("full", lambda s: s["tokens"])))
     one = one.withColumn("alpha", exponent(F.col("p"), max_repeat, target_entropy))
@@ -89,13 +94,19 @@ def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, target_entropy: float |
     placed = light.join(w.select("source_key", "blocks", "passes", "rest"), "source_key").where("rest > 0").withColumn("block", block(F.col("_id"), F.col("blocks")))
     per_block = placed.groupBy("source_key", "block").agg(F.sum("tokens").alias("tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     per_block = per_block.withColumn("block_key", order(F.col("passes"), F.col("source_key"), F.col("block")))
-    run = Window.partitionBy("source_key").orderBy("block_key")
-    ends = (
-        per_block.withColumn("upto", F.sum("tokens").over(run)).where("upto > rest")
-        .groupBy("source_key").agg(F.min(F.struct("upto", "block_key", "block", "tokens", "rest")).alias("e"))
-        .select("source_key", F.col("e.block_key").alias("end_key"), F.col("e.block").alias("block"), (F.col("e.rest") - F.col("e.upto") + F.col("e.tokens")).alias("left"))
-    )
-    last = placed.join(ends, ["source_key", "block"]).select("source_key", "tokens", "left", place(F.col("_id")).alias("place"))
+    # Where a source's budget ends: first the group of blocks, by the start of their keys, then the block in it.
+    per_block = per_block.withColumn("part", F.substring("block_key", 1, 3))
+
+    def first_beyond(rows: DataFrame, order: str, *more: str) -> DataFrame:
+        """Per source the first row whose running sum of tokens, after ``before``, passes the rest, with the sum before it."""
+        upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("source_key").orderBy(order))
+        beyond = rows.withColumn("upto", upto).where("upto > rest")
+        return beyond.groupBy("source_key").agg(F.min(F.struct("upto", order, "tokens", "rest", *more)).alias("e")).select("source_key", f"e.{order}", (F.col("e.upto") - F.col("e.tokens")).alias("before"), "e.rest", *[f"e.{c}" for c in more])
+
+    parts = per_block.groupBy("source_key", "part").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.lit(0).cast("long").alias("before"))
+    inside = per_block.join(first_beyond(parts, "part").select("source_key", "part", "before"), ["source_key", "part"])
+    ends = first_beyond(inside, "block_key", "block").select("source_key", F.col("block_key").alias("end_key"), "block", (F.col("rest") - F.col("before")).alias("left"))
+    last = placed.join(ends, ["source_key", "block"]).groupBy("source_key", place(F.col("_id")).alias("place")).agg(F.sum("tokens").alias("tokens"), F.first("left").alias("left"))
     cuts = (
         last.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source_key").orderBy("place"))).where("upto <= left")
         .groupBy("source_key").agg(F.max("place").alias("end_place"))
@@ -110,7 +121,7 @@ def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, target_entropy: float |
     doc_key = order(m["passes"], F.col("_mix_source"), block(doc, m["blocks"]))
     inside = (m["rest"] > 0) & (m["end_key"].isNull() | (doc_key < m["end_key"]) | ((doc_key == m["end_key"]) & F.coalesce(place(doc) <= m["end_place"], F.lit(False))))
     times = m["passes"] + F.when(inside, 1).otherwise(0)
-    return out.select(*[docs[c] for c in docs.columns], m["weight"].alias("mix_weight"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("mix_epoch"))
+    return out.select(*[docs[c] for c in docs.columns if c not in ("mix_weight", "mix_epoch")], m["weight"].alias("mix_weight"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("mix_epoch"))
 
 
 def op8_temperature_mix(spark, sf_dir: str) -> DataFrame:
