@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skytile.operators.spatial import BOX, overlap_pairs
+from skytile.session import stored
 
 PRESENT = 1e-16
 
@@ -48,16 +49,17 @@ def column_shares(cells: DataFrame) -> DataFrame:
     return cells.join(total, "col_cls").select("row_cls", "col_cls", F.when(share >= 0.005, share).alias("share"))
 
 
-def running_counts(rows: DataFrame, key: str, score: str, ties: list[str], flag: str, slices: int = 64) -> DataFrame:
-    """``rows`` with cum_tp and cum_n by falling score within a key, in two levels: score slices first, then rows
-    inside a slice, so that one class with most rows is still shared by many tasks. Scores lie in 0 to 1."""
-    r = rows.withColumn("slice", F.floor((1 - F.col(score)) * slices).cast("int"))
-    sums = r.groupBy(key, "slice").agg(F.sum(flag).alias("tp"), F.count("*").alias("n"))
-    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(key, "slice", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy(key, "slice").orderBy(F.col(score).desc(), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.join(sums, [key, "slice"])
-    return r.withColumn("cum_tp", F.col("tp0") + F.sum(flag).over(inside)).withColumn("cum_n", F.col("n0") + F.count("*").over(inside)).drop("tp0", "n0", "slice")
+def running_counts(rows: DataFrame, key: str, score: str, ties: list[str], flag: str) -> DataFrame:
+    """``rows`` with cum_tp and cum_n by falling score within a key, in two levels: a range-partitioned sort, whose
+    partitions share a large class, with the sums of all partitions before, then rows inside a partition."""
+    order = [F.col(key), F.col(score).desc(), *ties]
+    r = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "ranked").withColumn("_p", F.shiftright("_m", 33))
+    sums = r.groupBy(key, "_p").agg(F.sum(flag).alias("tp"), F.count("*").alias("n"))  # a row per class and partition
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "_p", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy(key, "_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(sums, [key, "_p"])
+    return r.withColumn("cum_tp", F.col("tp0") + F.sum(flag).over(inside)).withColumn("cum_n", F.col("n0") + F.count("*").over(inside)).drop("tp0", "n0", "_p", "_m")
 
 
 def flagged(dets: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
@@ -84,18 +86,24 @@ def interpolated_ap(recall: np.ndarray, precision: np.ndarray) -> float:
 def average_precision(curve: DataFrame, truth: DataFrame) -> DataFrame:
     """(label, ap) of every class with truth; 0 where there are no predictions.
 
-    Only the first and last row of each recall level can matter, and of the levels no more than ``1000`` with the
-    best precision from there on are distinguished by the 101 points; the curve is cut to these before it meets in a task.
+    Between two of the 101 points of the interpolation only the first and the last recall matter, and the best
+    precision: a class comes down to 102 rows at most, pre-aggregated in each task.
     """
-    level = F.floor(F.col("recall") * 10000)
-    ends = curve.groupBy("label", level.alias("level"), "recall").agg(F.max("precision").alias("first"), F.min("precision").alias("last"))
+    j = F.ceil(F.col("recall") * 100)
+    # The first point at or beyond the recall, by comparing with the points themselves.
+    step = F.when(F.col("recall") <= (j - 1) / 100.0, j - 1).when(F.col("recall") > j / 100.0, j + 1).otherwise(j)
+    last = F.max(F.struct("recall", (-F.col("precision")).alias("np")))
+    bins = curve.groupBy("label", step.alias("step")).agg(F.min("recall").alias("lo"), F.max("precision").alias("best"), last.alias("m")).select("label", "step", "lo", "best", F.col("m.recall").alias("hi"), (-F.col("m.np")).alias("last"))
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("recall")
-        r = np.repeat(pdf["recall"].to_numpy(), 2)
-        p = np.column_stack([pdf["first"], pdf["last"]]).ravel()
+        pdf = pdf.sort_values("step")
+        best = pdf["best"].to_numpy()
+        after = np.append(np.maximum.accumulate(best[::-1])[::-1], 0.0)
+        r = np.column_stack([pdf["lo"], pdf["hi"]]).ravel()
+        p = np.column_stack([after[:-1], np.maximum(pdf["last"], after[1:])]).ravel()
         return pd.DataFrame({"label": [int(pdf["label"].iloc[0])], "ap": [interpolated_ap(r, p)]})
 
-    got = ends.groupBy("label").applyInPandas(one, "label int, ap double")
+    got = bins.groupBy("label").applyInPandas(one, "label int, ap double")
     classes = truth.select((F.col("label") - 1).alias("label")).distinct()
     return classes.join(got, "label", "left").select("label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 

@@ -64,21 +64,30 @@ def crop_windows(windows: DataFrame, blocks: DataFrame, block: int, pad_to: int
 def fill_polygon(mask: np.ndarray, xs: np.ndarray, ys: np.ndarray, value: int) -> None:
     """Even-odd scan-line fill, the outline included; coordinates are relative to the mask."""
     h, w = mask.shape
-    n = len(xs)
-    for y in range(max(0, int(np.ceil(ys.min()))), min(h - 1, int(np.floor(ys.max()))) + 1):
-        cuts = []
-        for i in range(n):
-            x1, y1, x2, y2 = xs[i], ys[i], xs[(i + 1) % n], ys[(i + 1) % n]
-            if (y1 <= y) != (y2 <= y):
-                cuts.append(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
-            elif y1 == y2 == y:
-                mask[y, max(0, int(np.ceil(min(x1, x2)))) : max(0, min(w, int(np.floor(max(x1, x2))) + 1))] = value
-        cuts.sort()
-        for a, b in zip(cuts[::2], cuts[1::2]):
-            mask[y, max(0, int(np.ceil(a))) : max(0, min(w, int(np.floor(b)) + 1))] = value
-    for x, y in zip(xs, ys):
-        if 0 <= x < w and 0 <= y < h:
-            mask[int(y), int(x)] = value
+    top, bottom = max(0, int(np.ceil(ys.min()))), min(h - 1, int(np.floor(ys.max())))
+    xs2, ys2 = np.roll(xs, -1), np.roll(ys, -1)
+    if top <= bottom:
+        y = np.arange(top, bottom + 1)[:, None]
+        crosses = (ys <= y) != (ys2 <= y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cuts = np.sort(np.where(crosses, xs + (y - ys) * (xs2 - xs) / (ys2 - ys), np.inf), axis=1)
+        cuts = cuts[:, : int(crosses.sum(1).max()) // 2 * 2]
+        rows = np.repeat(np.arange(len(y)), cuts.shape[1] // 2)
+        starts, ends = cuts[:, ::2].ravel(), cuts[:, 1::2].ravel()
+        flat = np.flatnonzero((ys == ys2) & (ys == np.floor(ys)) & (ys >= top) & (ys <= bottom))
+        rows = np.concatenate([rows[np.isfinite(ends)], ys[flat].astype(np.int64) - top])
+        starts, ends = np.concatenate([starts[np.isfinite(ends)], np.minimum(xs, xs2)[flat]]), np.concatenate([ends[np.isfinite(ends)], np.maximum(xs, xs2)[flat]])
+        a = np.clip(np.ceil(starts), 0, w).astype(np.int64)
+        b = np.clip(np.floor(ends) + 1, 0, w).astype(np.int64)
+        some = a < b
+        if some.any():
+            lo, hi = int(a[some].min()), int(b[some].max())
+            change = np.zeros((len(y), hi - lo + 1), np.int32)
+            np.add.at(change, (rows[some], a[some] - lo), 1)
+            np.add.at(change, (rows[some], b[some] - lo), -1)
+            mask[top : bottom + 1, lo:hi][np.cumsum(change, axis=1)[:, :-1] > 0] = value
+    inside = (xs >= 0) & (xs < w) & (ys >= 0) & (ys < h)
+    mask[ys[inside].astype(np.int64), xs[inside].astype(np.int64)] = value
 
 
 def rasterise(polys: DataFrame, tiles: DataFrame, tile: int, background: int = 0) -> DataFrame:
@@ -89,14 +98,15 @@ def rasterise(polys: DataFrame, tiles: DataFrame, tile: int, background: int = 0
     p = polys.withColumn("ring", wkt_ring(F.col("wkt")))
     box = ring_box(F.col("ring"))
     span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / tile).cast("int"), F.floor(hi / tile).cast("int")))
-    p = p.withColumn("col", span(box["xmin"], box["xmax"])).withColumn("row", span(box["ymin"], box["ymax"])).select("image_id", "poly_id", "label", "ring", "col", "row")
+    p = p.withColumn("col", span(box["xmin"], box["xmax"])).withColumn("row", span(box["ymin"], box["ymax"]))
+    p = p.select("image_id", "poly_id", "label", *[F.transform("ring", lambda v: v[c]).alias(c + "s") for c in "xy"], "col", "row")
     met = p.join(tiles.select("image_id", "tile_id", "col", "row", "x0", "y0", "w", "h"), ["image_id", "col", "row"])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         mask = np.full((int(r.h), int(r.w)), background, np.uint8)
         for q in pdf.sort_values(["label", "poly_id"]).itertuples():
-            fill_polygon(mask, np.array([v["x"] for v in q.ring]) - r.x0, np.array([v["y"] for v in q.ring]) - r.y0, int(q.label))
+            fill_polygon(mask, np.asarray(q.xs) - r.x0, np.asarray(q.ys) - r.y0, int(q.label))
         return pd.DataFrame({"image_id": [r.image_id], "tile_id": [r.tile_id], "w": [int(r.w)], "h": [int(r.h)], "data": [mask.tobytes()]})
 
     return met.groupBy("image_id", "tile_id").applyInPandas(draw, "image_id long, tile_id int, w int, h int, data binary")
@@ -298,11 +308,14 @@ def draw_lines(tiles: DataFrame, lines: DataFrame, colour: int = 200, thickness:
         for data, ww, hh, bb, own in zip(d, w, h, b, ls):
             a = array_of(data, int(hh), int(ww), int(bb)).copy()
             mask = np.zeros((int(hh), int(ww)), np.uint8)
-            yy, xx = np.mgrid[0 : int(hh), 0 : int(ww)]
             for s in own if own is not None else []:
                 dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+                # Only pixels about the segment.
+                x0, x1 = (int(np.clip(f(s["x1"], s["x2"]) + d, 0, ww)) for f, d in ((min, -thickness), (max, thickness + 1)))
+                y0, y1 = (int(np.clip(f(s["y1"], s["y2"]) + d, 0, hh)) for f, d in ((min, -thickness), (max, thickness + 1)))
+                yy, xx = np.mgrid[y0:y1, x0:x1]
                 t = np.clip(((xx - s["x1"]) * dx + (yy - s["y1"]) * dy) / (dx * dx + dy * dy), 0, 1)
-                mask[(xx - s["x1"] - t * dx) ** 2 + (yy - s["y1"] - t * dy) ** 2 <= (thickness / 2) ** 2] = 1
+                mask[y0:y1, x0:x1][(xx - s["x1"] - t * dx) ** 2 + (yy - s["y1"] - t * dy) ** 2 <= (thickness / 2) ** 2] = 1
             a[mask == 1] = colour
             out.append((a.tobytes(), mask.tobytes(), int(mask.sum())))
         return pd.DataFrame(out, columns=["data", "mask", "drawn"])

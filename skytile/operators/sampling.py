@@ -11,8 +11,10 @@ M = 2147483647
 
 
 def random_n(df: DataFrame, by: list[str], keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """At most n rows of each group, those of smallest hash (a per-group limit that Spark applies before the shuffle, too)."""
+    """At most n rows of each group, those of smallest hash. Up to a thousand, Spark limits groups before the shuffle; beyond, they are numbered."""
     h = hashed(*[F.col(k) for k in keys], seed=seed)
+    if n > 1000:
+        return numbered(df, by, [h, *keys]).where(F.col("_r") <= n).drop("_r", "_n")
     w = Window.partitionBy(*by).orderBy("_h", *keys)
     return df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
 
@@ -58,9 +60,26 @@ def random_pairs(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return d.join(look("ka", "id_a"), "ka").join(look("kb", "id_b"), "kb").select("draw", "id_a", "id_b")
 
 
+def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``df`` with its place in its group (``_r``, from 1) and the group's size (``_n``), however large the group.
+
+    A range-partitioned sort puts a group's rows one after another, over several partitions if need be; their counts
+    in the partitions before are added.
+    """
+    keys = [*[F.col(c) for c in by], *order]
+    rows = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), "sorted").withColumn("_p", F.shiftright("_m", 33))
+    parts = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))  # a row per group and partition
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_p").alias("_part"), "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(group).alias("_n"))
+    same = F.col("_p") == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(parts, same).withColumn("_r", F.col("_m") - F.col("_first") + F.col("_o") + 1).select(*df.columns, "_r", "_n")
+
+
 def _placed(df: DataFrame, by: list[str], keys: list[str], seed: int) -> DataFrame:
-    h = hashed(*[F.col(k) for k in keys], seed=seed)
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(h, *keys))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    return numbered(df, by, [hashed(*[F.col(k) for k in keys], seed=seed), *keys])
 
 
 def split_by_class(df: DataFrame, by: list[str], keys: list[str], cuts: list[tuple[str, Column]], seed: int = 0) -> DataFrame:

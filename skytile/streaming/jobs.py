@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skytile.operators.graph import scene_result
 from skytile.operators.tiling import grid
@@ -23,10 +24,22 @@ def percent_after(i: Column, n: Column) -> Column:
     return ((i + 1) * F.floor(F.lit(90) / n) + F.least(i + 1, F.lit(90) % n) - 1).cast("int")
 
 
-def progress(done: DataFrame, totals: DataFrame) -> DataFrame:
-    """Percent per job from distinct finished blocks (job_id, block) and totals (job_id, n)."""
-    c = done.groupBy("job_id").agg(F.approx_count_distinct("block", 0.01).alias("k")) if done.isStreaming else done.groupBy("job_id").agg(F.count_distinct("block").alias("k"))
-    return c.join(totals, "job_id").select("job_id", percent_after(F.col("k") - 1, F.col("n")).alias("percent"))
+def progress(done: DataFrame, totals: DataFrame, finished: DataFrame | None = None, delay: str = "2 hours") -> DataFrame:
+    """Percent per job from finished blocks (job_id, block; as a stream with ts, too) and totals (job_id, n).
+
+    A repeated block counts once: in a stream for ``delay``. Jobs with all blocks are at 95, those of ``finished`` (job_id) at 100.
+    """
+    if done.isStreaming:
+        once = done.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id", "block"])
+        c = once.groupBy("job_id").agg(F.count("*").alias("k"))
+    else:
+        c = done.groupBy("job_id").agg(F.count_distinct("block").alias("k"))
+    c = c.join(totals, "job_id")
+    percent = F.when(F.col("k") >= F.col("n"), 95).otherwise(percent_after(F.col("k") - 1, F.col("n")))
+    if finished is not None:
+        c = c.join(finished.select("job_id", F.lit(True).alias("sent")), "job_id", "left")
+        percent = F.when(F.col("sent"), 100).otherwise(percent)
+    return c.select("job_id", percent.cast("int").alias("percent"))
 
 
 def monitor(requests: DataFrame, results: DataFrame) -> DataFrame:
@@ -37,7 +50,7 @@ def monitor(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def rates(results: DataFrame, how: str = "tumbling", size: str = "1 hour", slide: str = "15 minutes", gap: str = "10 minutes", delay: str = "2 hours") -> DataFrame:
-    """Detections per job and event-time window; late rows within ``delay`` count, repeated (job, block) rows count once."""
+    """Detections per job and event-time window; late rows within ``delay`` count, repeated events count once."""
     r = results
     if results.isStreaming:
         r = r.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
@@ -48,10 +61,22 @@ def rates(results: DataFrame, how: str = "tumbling", size: str = "1 hour", slide
     return out.select("job_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_dets", "n_blocks")
 
 
-def scene_results_to(path: str):
-    """A ``foreachBatch`` function: scenes whose detections are in this batch are assembled and appended below ``path``."""
+def scene_results_to(path: str, totals: DataFrame):
+    """A ``foreachBatch`` function: scenes are assembled below ``path``/scenes in the batch that brings their last block.
+
+    Rows are image_id, block and a detection, or nulls for a block without any; totals: image_id, n blocks. What came
+    before is kept below ``path``/blocks, a folder for each batch, as are the results. A batch that is replayed
+    writes its folders again, so nothing counts twice.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scene_result(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/blocks/batch_id={batch_id}")
+        seen = spark.read.option("basePath", f"{path}/blocks").schema(StructType([*batch.schema, StructField("batch_id", IntegerType())])).parquet(f"{path}/blocks").where(F.col("batch_id") <= batch_id)
+        first = seen.groupBy("image_id", "block").agg(F.min("batch_id").alias("batch_id"))
+        whole = first.groupBy("image_id").agg(F.count("*").alias("k"), F.max("batch_id").alias("last")).join(totals, "image_id")
+        ready = whole.where((F.col("k") >= F.col("n")) & (F.col("last") == batch_id)).select("image_id")
+        dets = seen.where("det_id is not null").join(ready, "image_id", "left_semi").drop("batch_id", "block").dropDuplicates(["image_id", "det_id"])
+        scene_result(dets).write.mode("overwrite").parquet(f"{path}/scenes/batch_id={batch_id}")
 
     return write

@@ -75,7 +75,48 @@ def test_clusters_chain(spark):
 def test_average_precision_small():
     assert evaluate.interpolated_ap(np.array([1.0]), np.array([1.0])) == pytest.approx(0.995, abs=0.006)
     r, p = np.array([0.5, 0.5, 1.0]), np.array([1.0, 0.5, 2 / 3])
-    assert 0.8 < evaluate.interpolated_ap(r, p) < 0.86
+    # 1 up to a half (51 points, of which the last already is 2/3), then 2/3.
+    assert evaluate.interpolated_ap(r, p) == pytest.approx(0.49 + (1 + 2 / 3) / 2 * 0.01 + 0.5 * 2 / 3, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_average_precision_against_the_whole_curve(spark, seed):
+    """The cut curve gives what all of its points give; running counts equal a plain loop, however the rows are dealt."""
+    rng = np.random.default_rng(seed)
+    n, n_gt = int(rng.integers(1, 3000)), int(rng.integers(1, 900))
+    score = rng.integers(0, 50, n) / 50
+    tp = (rng.random(n) < 0.3).astype(int)
+    tp[np.cumsum(tp) > n_gt] = 0
+    flags = spark.createDataFrame([(1, i, float(s), 0, int(t)) for i, (s, t) in enumerate(zip(score, tp))], "image_id long, det_id long, score double, label int, tp int").repartition(5)
+    truth = spark.createDataFrame([(1, i, 1) for i in range(n_gt)] + [(1, -1, 2)], "image_id long, box_id long, label int")
+    curve = evaluate.pr_curve(flags, truth)
+    order = np.lexsort((np.arange(n), -score))
+    hits = np.cumsum(tp[order])
+    got = {r.det_id: (r.recall, r.precision) for r in curve.collect()}
+    assert all(got[int(d)] == pytest.approx((h / n_gt, h / (i + 1))) for i, (d, h) in enumerate(zip(order, hits)))
+    ap = {r.label: r.ap for r in evaluate.average_precision(curve, truth).collect()}
+    assert ap == {0: pytest.approx(evaluate.interpolated_ap(hits / n_gt, hits / (np.arange(n) + 1)), abs=1e-9), 1: 0.0}
+
+
+def test_best_f1_against_interpolation(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for label in (0, 1):
+        n, n_gt = 400, 150
+        score, tp = np.round(rng.random(n), 6), (rng.random(n) < 0.35).astype(int)
+        rows += [(1, label * 1000 + i, float(s), label, int(t)) for i, (s, t) in enumerate(zip(score, tp))]
+        o = np.argsort(-score, kind="stable")
+        h = np.cumsum(tp[o])
+        r, p, x = h / (n_gt + 1e-16), h / np.arange(1, n + 1), np.arange(1000) / 999
+        # At a confidence: the last detection at or above it.
+        k = np.searchsorted(-score[o], -(1 - x), "right")
+        rr, pp = np.where(k > 0, r[k - 1], 0), np.where(k > 0, p[k - 1], 1)
+        want.append((pp, rr, 2 * pp * rr / (pp + rr + 1e-16)))
+    truth = spark.createDataFrame([(1, i, 1 + i % 2) for i in range(300)], "image_id long, box_id long, label int")
+    flags = spark.createDataFrame(rows, "image_id long, det_id long, score double, label int, tp int")
+    best = int(np.argmax((want[0][2] + want[1][2]) / 2))
+    for r in evaluate.best_f1(evaluate.pr_curve(flags, truth)).collect():
+        assert (r.precision, r.recall, r.f1) == pytest.approx(tuple(w[best] for w in want[r.label])) and r.conf == pytest.approx(1 - best / 999)
 
 
 def test_unmatched_detections_only_count_in_images_with_a_match(spark):
@@ -122,10 +163,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_scene_results_per_batch(spark, tmp_path):
-    rows = [(1, i, i * 100, 0, i * 100 + 40, 40, 0.9, 3) for i in range(3)]
-    jobs.scene_results_to(str(tmp_path / "out"))(spark.createDataFrame(rows, DETS), 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+def test_scene_results_over_batches(spark, tmp_path):
+    """A scene comes out once, in the batch of its last block, as if all of its rows had come at once; replays change nothing."""
+    rows = [(i % 3, j, 100 * i + j, (x := (i * 37 + j * 91) % 400), (y := (i * 53 + j * 17) % 300), x + 40, y + 30, 0.5 + (i + j) % 5 / 10, 2 + (i + j) % 2) for i in range(60) for j in range(4)]
+    schema = "image_id long, block int, " + DETS.removeprefix("image_id long, ")
+    empty = (3, 0, *[None] * 7)
+    totals = spark.createDataFrame([(0, 4), (1, 4), (2, 4), (3, 1), (4, 2)], "image_id long, n long")
+    write = jobs.scene_results_to(str(tmp_path), totals)
+    batches = [[r for r in rows if r[1] == 0 or (r[0] == 1 and r[1] < 3)], [r for r in rows if r[1] in (1, 2)] + [empty], [r for r in rows if r[1] == 3] + [r for r in rows if r[1] == 0]]
+    for n in (0, 1, 1, 2, 0, 2):
+        write(spark.createDataFrame(batches[n], schema), n)
+    out = spark.read.parquet(str(tmp_path / "scenes"))
+    whole = graph.scene_result(spark.createDataFrame([r for r in rows], schema).drop("block"))
+    cols = whole.columns
+    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, whole.collect())) and out.select("batch_id").distinct().collect() == [(2,)]
 
 
 def test_roi_xml_round_trip(spark, tmp_path):
@@ -214,6 +265,117 @@ def test_paste_plan_without_overlap(spark):
                 assert min(a.x + a.fw, b.x + b.fw) - max(a.x, b.x) < 10 or min(a.y + a.fh, b.y + b.fh) - max(a.y, b.y) < 10
 
 
+def brute_fill(h, w, xs, ys, value):
+    """Scan line by scan line, edge by edge."""
+    mask = np.zeros((h, w), np.uint8)
+    n = len(xs)
+    for y in range(h):
+        cuts = []
+        for i in range(n):
+            x1, y1, x2, y2 = xs[i], ys[i], xs[(i + 1) % n], ys[(i + 1) % n]
+            if (y1 <= y) != (y2 <= y):
+                cuts.append(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+            if y1 == y2 == y:
+                for x in range(w):
+                    if min(x1, x2) <= x <= max(x1, x2):
+                        mask[y, x] = value
+        cuts.sort()
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            for x in range(w):
+                if a <= x <= b:
+                    mask[y, x] = value
+    for x, y in zip(xs, ys):
+        if 0 <= x < w and 0 <= y < h:
+            mask[int(y), int(x)] = value
+    return mask
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_polygon_fill_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(3, 9))
+    step = (1, 0.5, 0.01)[seed % 3]
+    xs, ys = rng.integers(-10, 40, n) * step * 1.0, rng.integers(-10, 40, n) * step * 1.0
+    mask = np.zeros((20, 30), np.uint8)
+    raster.fill_polygon(mask, xs, ys, 3)
+    assert (mask == brute_fill(20, 30, xs, ys, 3)).all()
+
+
+def test_polygon_masks_of_tiles(spark):
+    """Masks cut from tiles equal one mask drawn as a whole, higher labels last."""
+    rng = np.random.default_rng(2)
+    polys, whole = [], np.zeros((100, 90), np.uint8)
+    for i in range(25):
+        pts = rng.integers(0, 90, (int(rng.integers(3, 7)), 2))
+        polys.append((1, i, 1 + i % 3, "POLYGON ((" + ",".join(f"{x} {y}" for x, y in [*pts, pts[0]]) + "))"))
+    for _, _, label, wkt in sorted(polys, key=lambda p: (p[2], p[1])):
+        pts = np.array([[float(v) for v in q.split()] for q in wkt[10:-2].split(",")])
+        raster.fill_polygon(whole, pts[:, 0], pts[:, 1], label)
+    tiles = tiling.grid(spark.createDataFrame([(1, 90, 100)], "image_id long, width int, height int"), 32, 0)
+    got = raster.rasterise(spark.createDataFrame(polys, "image_id long, poly_id long, label int, wkt string"), tiles, 32).join(tiles.select("tile_id", "x0", "y0"), "tile_id").collect()
+    for r in got:
+        assert (np.frombuffer(bytes(r.data), np.uint8).reshape(r.h, r.w) == whole[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w]).all()
+    assert len(got) == 9
+
+
+@pytest.mark.parametrize("largest", [30, 700])
+def test_nearest_box_against_all_pairs(spark, largest):
+    rng = np.random.default_rng(largest)
+    rows = [(int(i % 2), i, (x := int(rng.integers(0, 7 * largest))), (y := int(rng.integers(0, 7 * largest))), x + int(rng.integers(0, largest)), y + int(rng.integers(0, largest)), 1) for i in range(150)]
+    rows += [(0, 1000, 0, 0, 700, 700, 1), (0, 1001, 1500, 0, 2200, 700, 1)]
+    got = {(r.image_id, r.box_id): (r.near_id, r.d2) for r in spatial.nearest_box(spark.createDataFrame(rows, BOXES)).collect()}
+    want = {}
+    for a in rows:
+        d2, near, b = min((((a[2] + a[4] - b[2] - b[4]) / 2) ** 2 + ((a[3] + a[5] - b[3] - b[5]) / 2) ** 2, b[1], b) for b in rows if b[0] == a[0] and b[1] != a[1])
+        if d2**0.5 < 3 * min(a[4] - a[2], b[4] - b[2]) and d2**0.5 < 3 * min(a[5] - a[3], b[5] - b[3]):
+            want[a[0], a[1]] = (near, d2)
+    assert got == want and got
+
+
+def test_clusters_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 2), i, (x := int(rng.integers(0, 500))), (y := int(rng.integers(0, 500))), x + int(rng.integers(5, 30)), y + int(rng.integers(5, 30)), float(rng.random()), 2) for i in range(160)]
+    got = sorted(map(tuple, graph.cluster_boxes(spark.createDataFrame(rows, DETS)).collect()))
+    want = []
+    for image in (0, 1):
+        own = [r for r in rows if r[0] == image]
+        eps = 1.5 * max(np.mean([r[4] - r[2] for r in own]), np.mean([r[5] - r[3] for r in own]))
+        label = {r[1]: r[1] for r in own}
+        for _ in own:
+            for a in own:
+                for b in own:
+                    if ((a[2] + a[4] - b[2] - b[4]) / 2) ** 2 + ((a[3] + a[5] - b[3] - b[5]) / 2) ** 2 <= eps**2:
+                        label[a[1]] = label[b[1]] = min(label[a[1]], label[b[1]])
+        for c in set(label.values()):
+            m = [r for r in own if label[r[1]] == c]
+            want.append((image, c, min(r[2] for r in m), min(r[3] for r in m), max(r[4] for r in m), max(r[5] for r in m), max(r[6] for r in m), len(m)))
+    assert got == sorted(want)
+
+
+def test_splits_of_one_large_class(spark):
+    d = spark.range(5000).select(F.when(F.col("id") % 50 == 0, None).otherwise(F.lit("a")).alias("c"), "id").repartition(9)
+    got = sampling.numbered(d, ["c"], [geo.hashed(F.col("id")), "id"]).collect()
+    for c, n in (("a", 4900), (None, 100)):
+        own = [r for r in got if r.c == c]
+        assert {r._n for r in own} == {n} and sorted(r._r for r in own) == list(range(1, n + 1))
+    assert sampling.random_n(d.where("c is not null"), ["c"], ["id"], 1500).count() == 1500
+
+
+def test_progress_of_batch_and_stream(spark, tmp_path):
+    rows = [(j, b, "2024-01-01 00:00:00") for j in range(4) for b in range(j + 1)] * 2
+    done = spark.createDataFrame(rows, "job_id long, block int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    totals = spark.createDataFrame([(j, 4) for j in range(4)], "job_id long, n long")
+    want = [(0, 22), (1, 45), (2, 67), (3, 95)]
+    assert sorted(map(tuple, jobs.progress(done, totals).collect())) == want
+    assert (3, 100) in list(map(tuple, jobs.progress(done, totals, spark.createDataFrame([(3,)], "job_id long")).collect()))
+    done.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.progress(stream, totals).writeStream.outputMode("update").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("progress").groupBy("job_id").agg(F.max("percent")).collect())) == want
+
+
 def test_segment_tiles(spark):
     p = spark.createDataFrame([(1, 1, 0, 10.0, 10.0), (1, 1, 1, 130.0, 70.0)], "image_id long, line_id long, pos int, x double, y double")
     got = {(r.col, r.row) for r in spatial.segment_tiles(p, 64).collect()}
