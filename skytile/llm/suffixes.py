@@ -39,10 +39,10 @@ GRAM = 16
 #: Distinct runs of one core that one task compares; cores with more are sorted string by string.
 MOST_IN_CORE = 20_000
 #: Suffixes that a task merges at a time, ranges that splitters tell apart (cores of larger tables are dealt by
-#: hash inside each), and keys drawn for each of them.
+#: hash inside each), and how many of 2**20 runs are drawn for splitters, some twenty a range.
 RANGE_ROWS = 20_000
 MOST_RANGES = 4096
-SAMPLED = 16
+DRAWN = 900
 BATCH_BYTES = 1 << 20
 #: Anchors of a task that are counted together before they move.
 BATCH_ANCHORS = 1 << 19
@@ -239,7 +239,7 @@ def repeated(items: list[tuple[bytes, bytes, int, int]], shared: list[int], widt
 
 
 def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span: int = SPAN, most_in_core: int = MOST_IN_CORE) -> tuple[DataFrame, DataFrame]:
-    """Texts that may hold repeats (sha, text), one copy of each, and by sha their spans: starts lo..hi whose strings repeat.
+    """Texts that may hold repeats (no, sha, text), one copy of each, and by number their spans: starts lo..hi whose strings repeat.
 
     docs: doc_id (not null), doc_key, text; firsts: doc_id, doc_key and sha of one document of each text, and its copies.
     """
@@ -280,38 +280,37 @@ def removed_spans(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, span:
     # What a row stands for has its core twice at least, so of a core all rows stay or none.
     again = counted.where("m = 0 or c > 1").drop("key", "c", "m").join(firsts, ["doc_id", "doc_key"])
     wanted = again.groupBy("doc_id", "doc_key").agg(F.first("sha").alias("sha"), F.first("copies").alias("copies"), F.collect_list(F.struct("anchor", "least", "most", "core")).alias("runs"))
+    # Rows of one id and text are copies of each other, so any of them will do. Texts get a number, shorter than a digest.
+    texts = docs.join(wanted.hint("merge"), ["doc_id", "doc_key"]).dropDuplicates(["doc_id", "doc_key"])
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("no"), "sha", "text", "copies", "runs"), "texts")
 
-    def cut(batches):
-        """The runs' bytes, once a task."""
-        seen: set = set()
+    def hashed(batches):
+        """A hash of each run's bytes, and the bytes themselves of a drawn few."""
         for part in _parts(_texts(batches), lambda r: len(r[1])):
             out = []
-            for sha, text, copies, own in part:
+            for no, text, copies, own in part:
                 data = text.encode()
                 for r in own:
                     a, least, most = r["anchor"], r["least"], r["most"]
                     piece = data[a - most : a - least + width]
                     h = hashlib.blake2b(piece + bytes([least & 255, most & 255]), digest_size=16).digest()
-                    known = h in seen
-                    if not known and len(seen) < 1_000_000:
-                        seen.add(h)
-                    out.append((sha, copies, a, least, most, r["core"], h, None if known else piece))
+                    out.append((no, copies, a, least, most, r["core"], h, piece if int.from_bytes(h[:4], "big") < DRAWN << 12 else None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds.types)], schema=kinds)
 
-    kinds = pa.schema([("sha", pa.binary()), ("copies", pa.int64()), ("anchor", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("core", pa.int64()), ("run", pa.binary()), ("piece", pa.binary())])
-    # Rows of one id and text are copies of each other, so any of them will do.
-    texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "doc_key"]).dropDuplicates(["doc_id", "doc_key"]).select("sha", "text", "copies", "runs"), "texts")
-    places = stored(texts.mapInArrow(cut, "sha binary, copies long, anchor int, least short, most short, core long, run binary, piece binary"), "places")
-    distinct = stored(places.groupBy("run").agg(F.first("core").alias("core"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum("copies").alias("weight"), F.max("piece").alias("piece")), "runs")
+    kinds = pa.schema([("no", pa.int64()), ("copies", pa.int64()), ("anchor", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("core", pa.int64()), ("run", pa.binary()), ("drawn", pa.binary())])
+    places = stored(texts.select("no", "text", "copies", "runs").mapInArrow(hashed, "no long, copies long, anchor int, least short, most short, core long, run binary, drawn binary"), "places")
+    # One place of each distinct run stands for all.
+    distinct = stored(places.groupBy("run").agg(F.first("core").alias("core"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum("copies").alias("weight"), F.min(F.struct("no", "anchor")).alias("at"), F.max("drawn").alias("drawn")), "runs")
     large = distinct.groupBy("core").agg(F.count("*").alias("g")).where(F.col("g") > most_in_core).select("core")
-    merged = _merged(distinct.join(large, "core", "left_anti"), width, core)
-    strings = _merged(distinct.join(large, "core", "left_semi"), width, width, True)
+    bare = texts.select("no", "text")
+    merged = _merged(bare, distinct.join(large, "core", "left_anti"), width, core)
+    strings = _merged(bare, distinct.join(large, "core", "left_semi"), width, width, True)
     decided = stored(merged.unionByName(strings.select("run", F.explode("spans").alias("s")).groupBy("run").agg(F.collect_list("s").alias("spans"))), "decided")
-    hits = places.select("sha", "anchor", "run").join(decided, "run")
-    spans = hits.select("sha", F.explode("spans").alias("s"), "anchor")
     discard(distinct)
-    return texts.select("sha", "text"), spans.groupBy("sha").agg(F.collect_list(F.struct((F.col("anchor") - F.col("s.hi")).alias("lo"), (F.col("anchor") - F.col("s.lo")).alias("hi"))).alias("spans"))
+    hits = places.select("no", "anchor", "run").join(decided, "run")
+    spans = hits.select("no", F.explode("spans").alias("s"), "anchor")
+    return texts.select("no", "sha", "text"), spans.groupBy("no").agg(F.collect_list(F.struct((F.col("anchor") - F.col("s.hi")).alias("lo"), (F.col("anchor") - F.col("s.lo")).alias("hi"))).alias("spans"))
 
 
 def _parts(rows, size=lambda r: len(r[2])):
@@ -329,19 +328,21 @@ def _parts(rows, size=lambda r: len(r[2])):
 SPANS = "run binary, spans array<struct<lo:int,hi:int>>"
 
 
-def _merged(open_runs: DataFrame, width: int, core: int, strings: bool = False) -> DataFrame:
-    """Spans of the runs (run, core, least, most, weight, piece) by merge sort: front-coded sorted runs by range, then a loser tree per range.
+def _merged(texts: DataFrame, runs: DataFrame, width: int, core: int, strings: bool = False) -> DataFrame:
+    """Spans of the runs by merge sort: front-coded sorted runs by range, then a loser tree per range.
 
-    A run's suffix starts at its anchor; with ``strings`` it has one for each of its strings, of ``width`` bytes.
+    texts: no, text; runs: run, core, least, most, weight, the place ``at`` (no, anchor) of one copy, and bytes ``drawn``
+    of some. A run's suffix starts at its anchor; with ``strings`` it has one for each of its strings, of ``width`` bytes.
     """
-    total = open_runs.agg(F.count("*"), F.sum(F.col("most") - F.col("least") + 1)).first()[int(strings)] or 0
+    total = runs.agg(F.count("*"), F.sum(F.col("most") - F.col("least") + 1)).first()[int(strings)] or 0
     ranges = min(MOST_RANGES, max(1, -(-total // RANGE_ROWS)))
     parts = max(1, -(-total // (ranges * RANGE_ROWS)))
     # Splitters cut the order at whole cores, so that suffixes with a common core meet in one range.
-    keys = open_runs.select(F.substring("piece", F.lit(1) if strings else F.col("most").cast("int") + 1, F.lit(core)).alias("k"))
-    drawn = min(1.0, SAMPLED * ranges / max(open_runs.count() if strings else total, 1))
-    sample = sorted(bytes(r["k"]) for r in keys.sample(False, drawn, 11).collect()) if ranges > 1 else []
+    start = F.lit(1) if strings else F.col("most").cast("int") + 1
+    some = runs.where(F.col("drawn").isNotNull() & (F.pmod(F.xxhash64("run"), F.lit(parts)) == 0)).select(F.substring("drawn", start, F.lit(core)).alias("k"))
+    sample = sorted(bytes(r["k"]) for r in some.collect()) if ranges > 1 else []  # DRAWN of 2**20 runs, of the largest tables fewer
     splitters = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    own = runs.groupBy("at.no").agg(F.collect_list(F.struct("at.anchor", "run", "least", "most", "weight")).alias("own"))
 
     def encode(batches):
         import bisect
@@ -372,22 +373,25 @@ def _merged(open_runs: DataFrame, width: int, core: int, strings: bool = False)
 
         held: list = []
         size = 0
-        for run, least, most, weight, piece in _texts(batches):
-            # A suffix is sorted by its right side; its left side, reversed, travels along.
-            if strings:
-                held += [(piece[most - d : most - d + width], (run, d, d, weight, b"")) for d in range(least, most + 1)]
-                size += width * (most - least + 1)
-            else:
-                held.append((piece[most:], (run, least, most, weight, piece[:most][::-1])))
-                size += len(piece)
-            if size >= 16 * BATCH_BYTES:
-                yield from flush(held)
-                held, size = [], 0
+        for text, own in _texts(batches):
+            data = text.encode()
+            for r in own:
+                run, a, least, most, weight = bytes(r["run"]), r["anchor"], r["least"], r["most"], r["weight"]
+                # A suffix is sorted by its right side; its left side, reversed, travels along.
+                if strings:
+                    held += [(data[a - d : a - d + width], (run, d, d, weight, b"")) for d in range(least, most + 1)]
+                    size += width * (most - least + 1)
+                else:
+                    held.append((data[a : a - least + width], (run, least, most, weight, data[a - most : a][::-1])))
+                    size += width + most - least
+                if size >= 16 * BATCH_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
     kinds = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("source", pa.string()), ("seq", pa.int32()), ("shared", pa.int32()), ("rest", pa.binary()), ("run", pa.binary()), ("least", pa.int32()), ("most", pa.int32()), ("weight", pa.int64()), ("lefts", pa.binary())])
-    coded = open_runs.select("run", "least", "most", "weight", "piece").mapInArrow(encode, "range int, part long, source string, seq int, shared int, rest binary, run binary, least int, most int, weight long, lefts binary")
+    coded = texts.join(own, "no").select("text", "own").mapInArrow(encode, "range int, part long, source string, seq int, shared int, rest binary, run binary, least int, most int, weight long, lefts binary")
     dealt = coded.repartition(ranges * parts, "range", "part").sortWithinPartitions("range", "part", "source", "seq")
 
     def merge(batches):
@@ -472,7 +476,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.string()))], names=["sha", "removed", "runs", "left_sha"])
 
     # Only digests and counts meet here: what a text loses, its copies lose.
-    cut = texts.join(spans, "sha").select("sha", "text", "spans").mapInArrow(remove, "sha binary, removed long, runs long, left_sha string")
+    cut = texts.join(spans, "no").select("sha", "text", "spans").mapInArrow(remove, "sha binary, removed long, runs long, left_sha string")
     return light.join(cut, "sha", "left").select(
         F.col("given_id").alias("doc_id"), "n_bytes",
         F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"),
