@@ -115,6 +115,30 @@ def hashed(*parts: Column, seed: int = 0, modulus: int = 2147483647) -> Column:
     return h
 
 
+def patch_name(prefix: Column, row: Column, col: Column, size: Column) -> Column:
+    return F.concat_ws("_", prefix, *[c.cast("string") for c in (row, col, size)])
+
+
+def patch_parts(name: Column) -> dict[str, Column]:
+    """Scene, row, column and size of a patch's name; the scene's name may hold underscores itself."""
+    at = lambda i: F.regexp_extract(name, r"^(.*)_(\d+)_(\d+)_(\d+)$", i)
+    return {"prefix": at(1), "row": at(2).try_cast("int"), "col": at(3).try_cast("int"), "size": at(4).try_cast("int")}
+
+
+def expanded_window(ring: Column, width: Column, height: Column, key: Column, seed: int = 0, least: int = 512) -> dict[str, Column]:
+    """A window about a polygon's mean point, of its size and twice a hashed half to two sizes more; sides below ``least`` are drawn anew from there to twice as much."""
+    b = ring_box(ring)
+    draws = (hashed(key, seed=seed), hashed(key, F.lit(1), seed=seed))
+
+    def side(size, own, other):
+        grown = size + 2 * size * (0.5 + (own % 1001) / 1000.0 * 1.5)
+        return trunc(F.when(grown < least, least + other % (least + 1)).otherwise(grown))
+
+    w, h = side(b["xmax"] - b["xmin"], *draws), side(b["ymax"] - b["ymin"], *draws[::-1])
+    half = lambda c: F.floor(c / 2)
+    return clamp_window(trunc(b["xc"]) - half(w), trunc(b["yc"]) - half(h), w, h, width, height)
+
+
 def rotate_box(xmin, ymin, xmax, ymax, w, h, degrees: int) -> dict[str, Column]:
     """A box in a tile of w x h after the tile is turned by a right angle."""
     out = {

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skytile.functions.geo import hashed, ring_box, wkt_ring
+from skytile.operators.tiling import grid
 
 STATS = "lo int, hi int, share0 double, share255 double, nonzero long, zero_pixels long, bright_pixels long, top_share double"
 
@@ -61,6 +62,25 @@ def crop_windows(windows: DataFrame, blocks: DataFrame, block: int, pad_to: int
     return met.groupBy("image_id", "win_id").applyInPandas(paste, "image_id long, win_id long, w int, h int, bands int, data binary")
 
 
+def pad_tiles(tiles: DataFrame, size: int) -> DataFrame:
+    """Tiles with zeros to the right and below, up to a square of ``size``."""
+
+    def pad(a):
+        out = np.zeros((size, size, a.shape[2]), np.uint8)
+        out[: a.shape[0], : a.shape[1]] = a
+        return out.tobytes()
+
+    return tiles.withColumn("data", _mapped(pad)).withColumn("w", F.lit(size)).withColumn("h", F.lit(size))
+
+
+def non_empty_tiles(rasters: DataFrame, blocks: DataFrame, block: int, subsize: int, gap: int) -> DataFrame:
+    """The tiles of a grid whose first band is not constant, zero-padded to the grid's size, with their place x0, y0."""
+    g = grid(rasters, subsize, gap)
+    cut = crop_windows(g.withColumnRenamed("tile_id", "win_id"), blocks, block).withColumnRenamed("win_id", "tile_id")
+    some = cut.withColumn("s", tile_stats(F.col("data"), F.col("w"), F.col("h"), F.col("bands"))).where("s.hi > s.lo").drop("s")
+    return pad_tiles(some, subsize).join(g.select("image_id", F.col("tile_id").cast("long").alias("tile_id"), "x0", "y0"), ["image_id", "tile_id"])
+
+
 def fill_polygon(mask: np.ndarray, xs: np.ndarray, ys: np.ndarray, value: int) -> None:
     """Even-odd scan-line fill, the outline included; coordinates are relative to the mask."""
     h, w = mask.shape
@@ -112,6 +132,59 @@ def rasterise(polys: DataFrame, tiles: DataFrame, tile: int, background: int = 0
     return met.groupBy("image_id", "tile_id").applyInPandas(draw, "image_id long, tile_id int, w int, h int, data binary")
 
 
+def background_windows(windows: DataFrame, boxes: DataFrame, regions: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
+    """Windows (image_id, win_id, x0, y0, w, h) that touch no box and no region polygon, whose first band is not constant and at least half not zero.
+
+    regions: image_id, poly_id, label, wkt; they are drawn into the windows that their extents meet.
+    """
+    from skytile.operators.spatial import overlap_pairs, windows_without_boxes
+
+    free = windows_without_boxes(windows, boxes)
+    p = regions.withColumn("ring", wkt_ring(F.col("wkt")))
+    box = ring_box(F.col("ring"))
+    extents = p.select("image_id", "poly_id", *[F.transform("ring", lambda v: v[c]).alias(c + "s") for c in "xy"], *[f(box[c]).cast("int").alias(c) for f, c in ((F.floor, "xmin"), (F.floor, "ymin"), (F.ceil, "xmax"), (F.ceil, "ymax"))])
+    w = free.select("image_id", "win_id", F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), (F.col("x0") + F.col("w") - 1).alias("xmax"), (F.col("y0") + F.col("h") - 1).alias("ymax"))
+    met = overlap_pairs(w, extents, cell=1024)
+
+    @F.pandas_udf("boolean")
+    def touches(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        out = []
+        for x, y, a, b, c, d in zip(xs, ys, x0, y0, x1, y1):
+            mask = np.zeros((int(d - b + 1), int(c - a + 1)), np.uint8)
+            fill_polygon(mask, np.asarray(x) - a, np.asarray(y) - b, 1)
+            out.append(bool(mask.any()))
+        return pd.Series(out)
+
+    hit = met.where(touches("b_xs", "b_ys", "a_xmin", "a_ymin", "a_xmax", "a_ymax")).select("image_id", F.col("a_win_id").alias("win_id")).distinct()
+    clear = free.join(hit, ["image_id", "win_id"], "left_anti")
+    s = crop_windows(clear, blocks, block).withColumn("s", tile_stats(F.col("data"), F.col("w"), F.col("h"), F.col("bands")))
+    good = s.where("s.hi > s.lo and s.nonzero >= 0.5 * w * h").select("image_id", "win_id")
+    return clear.join(good, ["image_id", "win_id"], "left_semi")
+
+
+def parent_boxes(tiles: DataFrame, parts: DataFrame, grow: int = 5) -> DataFrame:
+    """(image_id, tile_id, box, label 1) about the parts of a tile, grown and clipped, where all are of class 2, none constant and each more than half not zero.
+
+    parts: image_id, tile_id, box_id, xmin.. (tile coordinates, ends excluded), label.
+    """
+    per = parts.groupBy("image_id", "tile_id").agg(F.every(F.col("label") == 2).alias("all2"), F.collect_list(F.struct("xmin", "ymin", "xmax", "ymax")).alias("parts"))
+
+    @F.pandas_udf("boolean")
+    def full(d: pd.Series, w: pd.Series, h: pd.Series, b: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for data, ww, hh, bb, ps in zip(d, w, h, b, own):
+            a = array_of(data, int(hh), int(ww), int(bb))[..., 0]
+            cuts = [a[max(0, p["ymin"]) : p["ymax"], max(0, p["xmin"]) : p["xmax"]] for p in ps]
+            out.append(all(c.size and c.max() > c.min() and (c != 0).mean() > 0.5 for c in cuts))
+        return pd.Series(out)
+
+    j = tiles.join(per.where("all2"), ["image_id", "tile_id"]).where(full("data", "w", "h", "bands", "parts"))
+    ends = {c: f(F.transform("parts", lambda p: p[c])) for c, f in (("xmin", F.array_min), ("ymin", F.array_min), ("xmax", F.array_max), ("ymax", F.array_max))}
+    low = lambda c: F.greatest(F.lit(0), ends[c] - grow).alias(c)
+    high = lambda c, size: F.least(F.col(size) - 1, ends[c] + grow).alias(c)
+    return j.select("image_id", "tile_id", low("xmin"), low("ymin"), high("xmax", "w"), high("ymax", "h"), F.lit(1).alias("label"))
+
+
 def fill_boxes(tiles: DataFrame, boxes: DataFrame, value: int) -> DataFrame:
     """Tiles (image_id, tile_id, w, h, bands, data) with their boxes (tile coordinates) set to a value: 0 blanks rejected regions, 1 on empty tiles makes box masks."""
     per = boxes.groupBy("image_id", "tile_id").agg(F.collect_list(F.struct("xmin", "ymin", "xmax", "ymax")).alias("boxes"))
@@ -133,6 +206,12 @@ def fill_boxes(tiles: DataFrame, boxes: DataFrame, value: int) -> DataFrame:
     return j.withColumn("data", fill("data", "w", "h", "bands", "boxes")).drop("boxes")
 
 
+def box_masks(tiles: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Masks of tiles (image_id, tile_id, w, h): 1 inside their boxes (tile coordinates)."""
+    empty = F.repeat(F.lit("00"), F.col("w") * F.col("h"))
+    return fill_boxes(tiles.select("image_id", "tile_id", "w", "h").withColumn("bands", F.lit(1)).withColumn("data", F.unhex(empty)), boxes, 1)
+
+
 def _mapped(f, out="binary"):
     @F.pandas_udf(out)
     def run(d: pd.Series, w: pd.Series, h: pd.Series, b: pd.Series) -> pd.Series:
@@ -147,8 +226,20 @@ def rotate_tiles(tiles: DataFrame, degrees: int) -> DataFrame:
     return turned if degrees % 180 == 0 else turned.withColumn("_w", F.col("h")).withColumn("h", F.col("w")).withColumn("w", F.col("_w")).drop("_w")
 
 
+def _cubic(n: int, factor: int) -> np.ndarray:
+    """Weights (n // factor, n) of cubic convolution (coefficient -0.5), widened by the factor; borders are repeated."""
+    out = np.zeros((n // factor, n))
+    for i in range(n // factor):
+        centre = (i + 0.5) * factor - 0.5
+        at = np.arange(int(np.floor(centre - 2 * factor)) + 1, int(np.ceil(centre + 2 * factor)))
+        t = np.abs((at - centre) / factor)
+        k = np.where(t < 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
+        np.add.at(out[i], np.clip(at, 0, n - 1), k / k.sum())
+    return out
+
+
 def downscale(tiles: DataFrame, factor: int, how: str = "near") -> DataFrame:
-    """Tiles of size // factor, by nearest sample or by area mean."""
+    """Tiles of size // factor, by nearest sample ("near"), area mean ("mean") or cubic convolution ("cubic")."""
 
     def near(a):
         return a[: a.shape[0] // factor * factor : factor, : a.shape[1] // factor * factor : factor].tobytes()
@@ -157,7 +248,11 @@ def downscale(tiles: DataFrame, factor: int, how: str = "near") -> DataFrame:
         h, w = a.shape[0] // factor, a.shape[1] // factor
         return np.rint(a[: h * factor, : w * factor].reshape(h, factor, w, factor, -1).mean((1, 3))).astype(np.uint8).tobytes()
 
-    d = tiles.withColumn("data", _mapped(near if how == "near" else mean))
+    def cubic(a):
+        down, across = _cubic(a.shape[0], factor), _cubic(a.shape[1], factor)
+        return np.clip(np.rint(np.einsum("ij,jkb,lk->ilb", down, a.astype(float), across)), 0, 255).astype(np.uint8).tobytes()
+
+    d = tiles.withColumn("data", _mapped({"near": near, "mean": mean, "cubic": cubic}[how]))
     return d.withColumn("w", F.floor(F.col("w") / factor).cast("int")).withColumn("h", F.floor(F.col("h") / factor).cast("int"))
 
 
@@ -184,8 +279,8 @@ def apply_tables(tiles: DataFrame, tables: DataFrame) -> DataFrame:
     return j.withColumn("data", look("data", "lut")).drop("lut")
 
 
-def mosaic(sources: DataFrame, size: int, nodata: int | None = None) -> DataFrame:
-    """Square target tiles from placed sources (order, x0, y0, w, h, bands, data): the later source wins but for nodata pixels."""
+def mosaic(sources: DataFrame, size: int, nodata: int | None = None, by: list[str] = []) -> DataFrame:
+    """Square target tiles from placed sources (by, order, x0, y0, w, h, bands, data): the later source wins but for nodata pixels."""
     span = lambda lo, n: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor((F.col(lo) + F.col(n) - 1) / size).cast("int")))
     met = sources.withColumn("tx", span("x0", "w")).withColumn("ty", span("y0", "h"))
 
@@ -199,7 +294,26 @@ def mosaic(sources: DataFrame, size: int, nodata: int | None = None) -> DataFram
             part, own = out[y0 - oy : y1 - oy, x0 - ox : x1 - ox], a[y0 - s.y0 : y1 - s.y0, x0 - s.x0 : x1 - s.x0]
             keep = np.ones(own.shape, bool) if nodata is None else own != nodata
             part[keep] = own[keep]
-        return pd.DataFrame({"tx": [int(r.tx)], "ty": [int(r.ty)], "w": [size], "h": [size], "bands": [int(r.bands)], "data": [out.tobytes()]})
+        return pd.DataFrame({**{c: [r[c]] for c in by}, "tx": [int(r.tx)], "ty": [int(r.ty)], "w": [size], "h": [size], "bands": [int(r.bands)], "data": [out.tobytes()]})
+
+    kinds = "".join(f"{c} {sources.schema[c].dataType.simpleString()}, " for c in by)
+    return met.groupBy(*by, "tx", "ty").applyInPandas(paste, kinds + "tx int, ty int, w int, h int, bands int, data binary")
+
+
+def stacked(sources: DataFrame, size: int) -> DataFrame:
+    """Square target tiles with a band for each source, in order, as ``mosaic`` places them; sources have one band."""
+    count = sources.select("order").distinct()
+    bands = {o: i for i, o in enumerate(sorted(r["order"] for r in count.collect()))}  # a row per source layer
+    span = lambda lo, n: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor((F.col(lo) + F.col(n) - 1) / size).cast("int")))
+    met = sources.withColumn("tx", span("x0", "w")).withColumn("ty", span("y0", "h"))
+
+    def paste(pdf: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+        out, ox, oy = np.zeros((size, size, len(bands)), np.uint8), tx * size, ty * size
+        for s in pdf.itertuples():
+            x0, y0, x1, y1 = max(s.x0, ox), max(s.y0, oy), min(s.x0 + s.w, ox + size), min(s.y0 + s.h, oy + size)
+            out[y0 - oy : y1 - oy, x0 - ox : x1 - ox, bands[s.order]] = array_of(s.data, s.h, s.w, 1)[y0 - s.y0 : y1 - s.y0, x0 - s.x0 : x1 - s.x0, 0]
+        return pd.DataFrame({"tx": [tx], "ty": [ty], "w": [size], "h": [size], "bands": [len(bands)], "data": [out.tobytes()]})
 
     return met.groupBy("tx", "ty").applyInPandas(paste, "tx int, ty int, w int, h int, bands int, data binary")
 
@@ -297,9 +411,9 @@ def composed(backgrounds: DataFrame, foregrounds: DataFrame, plan: DataFrame) ->
     return backgrounds.join(per, "bg_id", "left").withColumn("data", blend("data", "w", "h", "pieces")).drop("pieces")
 
 
-def draw_lines(tiles: DataFrame, lines: DataFrame, colour: int = 200, thickness: int = 2) -> DataFrame:
-    """Tiles and their line masks with the segments of ``lines`` (image_id, tile_id, x1, y1, x2, y2) drawn; segments under 30 px are skipped."""
-    long = lines.where((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2 >= 900)
+def draw_lines(tiles: DataFrame, lines: DataFrame, colour: int = 200, thickness: int = 2, least: int = 30) -> DataFrame:
+    """Tiles and their line masks with the segments of ``lines`` (image_id, tile_id, x1, y1, x2, y2) drawn; segments under ``least`` pixels are skipped."""
+    long = lines.where((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2 >= least**2)
     per = long.groupBy("image_id", "tile_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("lines"))
 
     @F.pandas_udf("data binary, mask binary, drawn long")
@@ -324,6 +438,20 @@ def draw_lines(tiles: DataFrame, lines: DataFrame, colour: int = 200, thickness:
     return j.select(*[c for c in tiles.columns if c != "data"], "r.data", "r.mask", "r.drawn")
 
 
+def random_lines(tiles: DataFrame, seed: int = 0, gap: int = 12) -> DataFrame:
+    """2 to 4 lines across each tile by hashed places, each with a parallel neighbour on both sides: (image_id, tile_id, line, x1, y1, x2, y2)."""
+    h = lambda k, n: hashed(F.col("image_id"), F.col("tile_id"), F.col("line"), seed=seed + k) % n
+    n = 2 + hashed(F.col("image_id"), F.col("tile_id"), seed=seed) % 3
+    t = tiles.select("image_id", "tile_id", "w", "h").withColumn("line", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    t = t.withColumn("y1", h(1, F.col("h"))).withColumn("y2", h(2, F.col("h"))).withColumn("side", F.explode(F.array(*[F.lit(k) for k in (-gap, 0, gap)])))
+    return t.select("image_id", "tile_id", "line", F.lit(0).alias("x1"), (F.col("y1") + F.col("side")).cast("int").alias("y1"), (F.col("w") - 1).alias("x2"), (F.col("y2") + F.col("side")).cast("int").alias("y2"))
+
+
+def with_lines(tiles: DataFrame, lines: DataFrame, colour: int = 200, thickness: int = 2) -> DataFrame:
+    """Tiles with lines and their masks; those of which less than half a side is drawn are left out."""
+    return draw_lines(tiles, lines, colour, thickness).where(F.col("drawn") >= F.col("w") / 2)
+
+
 def with_alpha(images: DataFrame, masks: DataFrame) -> DataFrame:
     """RGBA foregrounds from images and masks paired by prefix."""
     j = images.join(masks.select("prefix", F.col("data").alias("alpha")), "prefix")
@@ -340,13 +468,23 @@ def labelled_colours(pixels: DataFrame, masks: DataFrame) -> DataFrame:
     return pixels.join(masks.where("gt_label > 0").select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi").select("image_id", "val").distinct()
 
 
-def palette(pixels: DataFrame, k: int = 20, seed: int = 7) -> DataFrame:
-    """(cluster, centre) of the values' k-means clusters below 240; runs on value counts, not on pixels."""
+def palette(pixels: DataFrame, k: int = 20, seed: int = 7, channels: list[str] = ["val"]) -> DataFrame:
+    """(cluster, centre array) of the pixels' k-means clusters that have a channel below 240; runs on counted colours, not on pixels."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    counts = pixels.groupBy("val").agg(F.count("*").cast("double").alias("n"))
-    data = VectorAssembler(inputCols=["val"], outputCol="features").transform(counts.withColumn("val", F.col("val").cast("double")))
+    counts = pixels.groupBy(*channels).agg(F.count("*").cast("double").alias("n"))
+    data = VectorAssembler(inputCols=channels, outputCol="features").transform(counts.select(*[F.col(c).cast("double").alias(c) for c in channels], "n"))
     model = KMeans(k=k, seed=seed, weightCol="n").fit(data)
-    centres = [(i, float(c[0])) for i, c in enumerate(model.clusterCenters())]  # k rows
-    return pixels.sparkSession.createDataFrame(centres, "cluster int, centre double").where("centre < 240")
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # k rows
+    return pixels.sparkSession.createDataFrame(centres, "cluster int, centre array<double>").where(F.exists("centre", lambda x: x < 240))
+
+
+def recoloured(pixels: DataFrame, centres: DataFrame, colours: list[list[int]], channels: list[str] = ["val"]) -> DataFrame:
+    """``pixels`` with ``cluster``, the nearest centre (ties: the first), and ``colour``, that of the cluster in turn."""
+    every = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("_centres")).withColumn("_k", F.lit(1)))  # a row of k centres
+    far = lambda c: F.aggregate(F.zip_with(F.array(*[F.col(x).cast("double") for x in channels]), c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    best = F.array_min(F.transform("_centres", lambda c: F.struct(far(c).alias("d"), c["cluster"].alias("cluster"))))
+    table = F.array(*[F.array(*[F.lit(v) for v in c]) for c in colours])
+    out = pixels.withColumn("_k", F.lit(1)).join(every, "_k").withColumn("cluster", best["cluster"]).drop("_centres", "_k")
+    return out.withColumn("colour", F.get(table, F.col("cluster") % len(colours)))

@@ -11,6 +11,7 @@ from skytile.functions.geo import box_ring, map_to_pixel, point, ring_wkt, wkt_r
 
 _LINES = "array<struct<Exterior:struct<LinearRing:struct<Coordinates:string>>>>"
 ROI_SCHEMA = f"_name string, _color string, GeometryDef struct<CoordSysStr:string,Polygon:{_LINES},LineString:array<struct<Coordinates:string>>>"
+ROI_FIELDS = ["_name:string", f"GeometryDef:struct<Polygon:{_LINES}>"]
 VOC_SCHEMA = "filename string, object array<struct<name:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
 BOX_TEXT = "xmin float, ymin float, xmax float, ymax float, label float"
 
@@ -19,6 +20,11 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def _file_prefix(df: DataFrame) -> Column:
+    """Whose file a row comes from: the ``prefix`` of a folder partitioned by it, else the file's base name."""
+    return F.col("prefix").cast("string") if "prefix" in df.columns else base_name(F.input_file_name())
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -33,9 +39,27 @@ def _label(name: Column, labels: dict[str, int] | None) -> Column:
 
 def read_roi_xml(spark: SparkSession, path: str, labels: dict[str, int] | None = None) -> DataFrame:
     """(prefix, region, pos, label, ring): every polygon of every region in map coordinates."""
-    r = spark.read.format("xml").option("rowTag", "Region").schema(ROI_SCHEMA).load(path).withColumn("prefix", base_name(F.input_file_name()))
+    r = spark.read.format("xml").option("rowTag", "Region").schema(ROI_SCHEMA).load(path)
     text = F.transform(F.coalesce("GeometryDef.Polygon", F.array().cast(_LINES)), lambda p: p["Exterior"]["LinearRing"]["Coordinates"])
-    rows = r.select("prefix", F.col("_name").alias("region"), F.posexplode(text).alias("pos", "text"))
+    rows = r.select(_file_prefix(r).alias("prefix"), F.col("_name").alias("region"), F.posexplode(text).alias("pos", "text"))
+    return _ringed(rows, labels)
+
+
+def read_roi_documents(spark: SparkSession, path: str, labels: dict[str, int] | None = None) -> DataFrame:
+    """As ``read_roi_xml``, but ``pos`` counts the coordinate elements of a whole document, as score files do."""
+    r = spark.read.format("xml").option("rowTag", "RegionsOfInterest").schema(f"Region array<struct<{', '.join(ROI_FIELDS)}>>").load(path)
+    text = lambda g: F.transform(F.coalesce(g["GeometryDef"]["Polygon"], F.array().cast(_LINES)), lambda p: p["Exterior"]["LinearRing"]["Coordinates"])
+    each = F.flatten(F.transform("Region", lambda g: F.transform(text(g), lambda x: F.struct(g["_name"].alias("region"), x.alias("text")))))
+    rows = r.select(_file_prefix(r).alias("prefix"), F.posexplode(each).alias("pos", "e")).select("prefix", "e.region", "pos", "e.text")
+    return _ringed(rows, labels)
+
+
+def with_scores(rings: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rings of documents with the score of the same place in the side file, null where there is none."""
+    return rings.join(scores, ["prefix", "pos"], "left")
+
+
+def _ringed(rows: DataFrame, labels: dict[str, int] | None) -> DataFrame:
     v = F.filter(F.transform(F.split(F.trim("text"), r"\s+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
     n = F.floor(F.size("v") / 2).cast("int")
     ring = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: point(F.get(F.col("v"), 2 * i), F.get(F.col("v"), 2 * i + 1))))
@@ -58,17 +82,19 @@ def ring_boxes(rings: DataFrame) -> DataFrame:
 def read_voc_xml(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, name, xmin, ymin, xmax, ymax); objects without a name are left out."""
     r = spark.read.format("xml").option("rowTag", "annotation").schema(VOC_SCHEMA).load(path)
-    o = r.select(base_name(F.input_file_name()).alias("prefix"), F.explode("object").alias("o")).where("o.name is not null")
+    o = r.select(_file_prefix(r).alias("prefix"), F.explode("object").alias("o")).where("o.name is not null")
     return o.select("prefix", "o.name", *[F.col(f"o.bndbox.{c}").cast("double").cast("int").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def read_box_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep=" ", schema=BOX_TEXT).withColumn("prefix", base_name(F.input_file_name()))
+    t = spark.read.csv(path, sep=" ", schema=BOX_TEXT)
+    return t.withColumn("prefix", _file_prefix(t))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, pos, score): the n-th line of a score file belongs to the n-th coordinate element."""
-    t = spark.read.text(path, wholetext=True).select(base_name(F.input_file_name()).alias("prefix"), F.posexplode(F.split(_strip(F.col("value")), r"\s+")).alias("pos", "s"))
+    t = spark.read.text(path, wholetext=True)
+    t = t.select(_file_prefix(t).alias("prefix"), F.posexplode(F.split(_strip(F.col("value")), r"\s+")).alias("pos", "s"))
     return t.select("prefix", "pos", F.col("s").try_cast("double").alias("score"))
 
 
@@ -111,6 +137,31 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
     return d.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
 
 
+def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """(image_id, value): a COCO document for each image (id, ...), with its annotations and all categories."""
+    pack = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
+    own = annotations.groupBy("image_id").agg(pack(annotations).alias("annotations"))
+    one = images.select(F.col("id").alias("image_id"), F.array(F.struct(*images.columns)).alias("images"))
+    classes = categories.agg(pack(categories).alias("categories")).withColumn("k", F.lit(1))  # a row
+    d = one.join(own, "image_id", "left").withColumn("k", F.lit(1)).join(classes, "k")
+    return d.select("image_id", F.to_json(F.struct("images", F.coalesce("annotations", F.array().cast(own.schema["annotations"].dataType)).alias("annotations"), "categories")).alias("value"))
+
+
+def voc_xml(boxes: DataFrame) -> DataFrame:
+    """(image_id, value): a VOC document per image. boxes: image_id, box_id, file, name (null: an object without one), xmin.."""
+    tag = lambda n, v: F.concat(F.lit(f"<{n}>"), v, F.lit(f"</{n}>"))
+    corners = F.concat(*[tag(c, F.col(c).cast("string")) for c in ("xmin", "ymin", "xmax", "ymax")])
+    item = tag("object", F.concat(F.coalesce(tag("name", F.col("name")), F.lit("")), tag("bndbox", corners)))
+    per = boxes.groupBy("image_id", "file").agg(F.array_sort(F.collect_list(F.struct("box_id", item.alias("x")))).alias("s"))
+    return per.select("image_id", tag("annotation", F.concat(tag("filename", F.col("file")), F.array_join(F.transform("s", lambda x: x["x"]), ""))).alias("value"))
+
+
+def write_by_prefix(docs: DataFrame, path: str) -> str:
+    """Write (prefix, value) as text in a folder for each prefix, which the readers know again."""
+    docs.select("prefix", "value").write.partitionBy("prefix").text(path)
+    return path
+
+
 def yolo_lines(boxes: DataFrame) -> DataFrame:
     """(file, value): a line per box, class from 0 and box relative to its tile. boxes: file, label, xmin.., w, h."""
     xc, yc = (F.col("xmin") + F.col("xmax")) / 2 / F.col("w"), (F.col("ymin") + F.col("ymax")) / 2 / F.col("h")
@@ -120,7 +171,8 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
 
 def read_yolo(spark: SparkSession, path: str, size: int = 1024) -> DataFrame:
     """Boxes of YOLO lines in pixels of a square tile."""
-    t = spark.read.csv(path, sep=" ", schema="cls int, xc double, yc double, w double, h double").withColumn("file", base_name(F.input_file_name()))
+    t = spark.read.csv(path, sep=" ", schema="cls int, xc double, yc double, w double, h double")
+    t = t.withColumn("file", _file_prefix(t))
     px = {c: (F.col(c) * size).cast("int") for c in ("xc", "yc", "w", "h")}
     half = lambda c: F.floor(px[c] / 2).cast("int")
     return t.select("file", "cls", (px["xc"] - half("w")).alias("xmin"), (px["yc"] - half("h")).alias("ymin"), (px["xc"] + half("w")).alias("xmax"), (px["yc"] + half("h")).alias("ymax"))
@@ -159,6 +211,11 @@ def tile_index(tiles: DataFrame) -> DataFrame:
     return tiles.select("name", f(minx).alias("minx"), f(maxx).alias("maxx"), f(miny).alias("miny"), f(maxy).alias("maxy"), ring_wkt(ring).alias("wkt"))
 
 
+def read_labelled_files(spark: SparkSession, path: str) -> DataFrame:
+    """``labelled_files`` of a folder of class folders; only the files' paths are read."""
+    return labelled_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path"))
+
+
 def labelled_files(files: DataFrame) -> DataFrame:
     """(path, class, class_index): class = folder, index = its rank among the folders' sorted names."""
     c = files.withColumn("class", F.element_at(F.split("path", "/"), -2)).where(F.lower("path").rlike(r"\.(jpe?g|png|bmp|tiff?)$"))
