@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skytile.functions.geo import hashed, ring_box, wkt_ring
@@ -122,14 +123,27 @@ def rasterise(polys: DataFrame, tiles: DataFrame, tile: int, background: int = 0
     p = p.select("image_id", "poly_id", "label", *[F.transform("ring", lambda v: v[c]).alias(c + "s") for c in "xy"], "col", "row")
     met = p.join(tiles.select("image_id", "tile_id", "col", "row", "x0", "y0", "w", "h"), ["image_id", "col", "row"])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        mask = np.full((int(r.h), int(r.w)), background, np.uint8)
-        for q in pdf.sort_values(["label", "poly_id"]).itertuples():
-            fill_polygon(mask, np.asarray(q.xs) - r.x0, np.asarray(q.ys) - r.y0, int(q.label))
-        return pd.DataFrame({"image_id": [r.image_id], "tile_id": [r.tile_id], "w": [int(r.w)], "h": [int(r.h)], "data": [mask.tobytes()]})
-
-    return met.groupBy("image_id", "tile_id").applyInPandas(draw, "image_id long, tile_id int, w int, h int, data binary")
+    kinds = pa.schema([("image_id", pa.int64()), ("tile_id", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("data", pa.binary())])
+
+    def draw(batches):
+        """Tile after tile in their order, a few at a time."""
+        done, now, mask = [], None, None
+        for batch in batches:
+            for image, tile_id, label, _, x0, y0, w, h, xs, ys in zip(*[c.to_pylist() for c in batch.columns]):
+                if (image, tile_id) != now:
+                    if now is not None:
+                        done.append((*now, mask.shape[1], mask.shape[0], mask.tobytes()))
+                    now, mask = (image, tile_id), np.full((h, w), background, np.uint8)
+                    if len(done) >= 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), kinds)], schema=kinds)
+                        done = []
+                fill_polygon(mask, np.array(xs) - x0, np.array(ys) - y0, label)
+        if now is not None:
+            done.append((*now, mask.shape[1], mask.shape[0], mask.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), kinds)], schema=kinds)
+
+    rows = met.select("image_id", "tile_id", "label", "poly_id", "x0", "y0", "w", "h", "xs", "ys").repartition("image_id", "tile_id")
+    return rows.sortWithinPartitions("image_id", "tile_id", "label", "poly_id").mapInArrow(draw, "image_id long, tile_id int, w int, h int, data binary")
 
 
 def background_windows(windows: DataFrame, boxes: DataFrame, regions: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
