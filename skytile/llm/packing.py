@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skytile.llm.tokens import default_vocabulary, encoder
+from skytile.llm.tokens import default_vocabulary, encoder, vocabulary_size
 from skytile.session import ship, stored
 
 WINDOW = 4096
@@ -207,7 +207,7 @@ def corpus_of(tokens: DataFrame, size: int, kind: str) -> Corpus:
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each piece of each document: where it lies in its document and in its sequence."""
     vocabulary = vocabulary or default_vocabulary()
-    size = encoder(vocabulary).size
+    size = vocabulary_size(vocabulary)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     tokens = stored(token_rows(docs, vocabulary, id_col, text_col), "tokens")
     corpus = corpus_of(tokens, size, kind)

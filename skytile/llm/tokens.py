@@ -9,6 +9,7 @@ or a word of more than ``words.LONG`` bytes, goes to the tokenizer as a whole.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -200,6 +201,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id of a vocabulary file, without loading a tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    return 1 + max([*d["model"]["vocab"].values(), *(t["id"] for t in d.get("added_tokens") or [])])
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
