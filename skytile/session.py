@@ -63,5 +63,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
+def free_prefix(*tables: DataFrame, start: str = "own") -> str:
+    """A prefix with which no column of these tables begins, for columns that a job adds for itself."""
+    names = [c.lower() for df in tables for c in df.columns]
+    prefix, n = f"{start}_", 0
+    while any(c.startswith(prefix) for c in names):
+        n += 1
+        prefix = f"{start}{n}_"
+    return prefix
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
