@@ -5,6 +5,7 @@ from __future__ import annotations
 from skytile.llm.fingerprint import op1_improbable_digest
 from skytile.llm.jaccard import op7_jaccard_components
 from skytile.llm.language import op10_language_id
+from skytile.llm.lines import OP11_SQL, op11_line_dedup
 from skytile.llm.mixing import OP8_SQL, op8_temperature_mix
 from skytile.llm.packing import op9_lexical_packing
 from skytile.llm.permutation_index import op6_permutation_index
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_lexical_packing": op9_lexical_packing,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
 }
-SQL = {"op5_warc_chunks": OP5_SQL, "op8_temperature_mix": OP8_SQL}
+SQL = {"op5_warc_chunks": OP5_SQL, "op8_temperature_mix": OP8_SQL, "op11_line_dedup": OP11_SQL}
