@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skytile.llm.alignment import op13_token_alignment
 from skytile.llm.fingerprint import op1_improbable_digest
 from skytile.llm.jaccard import op7_jaccard_components
 from skytile.llm.language import op10_language_id
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_lexical_packing": op9_lexical_packing,
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 SQL = {"op5_warc_chunks": OP5_SQL, "op8_temperature_mix": OP8_SQL, "op11_line_dedup": OP11_SQL}
