@@ -12,9 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
+#: Bytes of an Arrow batch that a Python worker gets, where the session asks for more; a larger row is a batch by itself.
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's sources to the executors once per application (``addPyFile``)."""
+    """Send this package's sources to the executors once per application (``addPyFile``), and bound what its workers get at once."""
     sc = spark.sparkContext
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(bound, str(1 << 31)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     if getattr(sc, "_skytile_shipped", False):
         return spark
     target = os.path.join(tempfile.mkdtemp(prefix="skytile-"), "skytile_src.zip")
