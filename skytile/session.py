@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package's sources to the executors once per application (``addPyFile``), and bound what its workers get at once."""
     sc = spark.sparkContext
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(bound, str(1 << 31)).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound)) > BATCH_BYTES:
         spark.conf.set(bound, str(BATCH_BYTES))
     if getattr(sc, "_skytile_shipped", False):
         return spark
