@@ -8,6 +8,7 @@ from skytile.llm.jaccard import op7_jaccard_components
 from skytile.llm.language import op10_language_id
 from skytile.llm.lines import OP11_SQL, op11_line_dedup
 from skytile.llm.mixing import OP8_SQL, op8_temperature_mix
+from skytile.llm.negatives import OP12_SQL, op12_lemp_negatives
 from skytile.llm.packing import op9_lexical_packing
 from skytile.llm.permutation_index import op6_permutation_index
 from skytile.llm.simple8b import op4_simple8b
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lexical_packing": op9_lexical_packing,
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
+    "op12_lemp_negatives": op12_lemp_negatives,
     "op13_token_alignment": op13_token_alignment,
 }
-SQL = {"op5_warc_chunks": OP5_SQL, "op8_temperature_mix": OP8_SQL, "op11_line_dedup": OP11_SQL}
+SQL = {"op5_warc_chunks": OP5_SQL, "op8_temperature_mix": OP8_SQL, "op11_line_dedup": OP11_SQL, "op12_lemp_negatives": OP12_SQL}
