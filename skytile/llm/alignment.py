@@ -33,11 +33,11 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from skytile.session import ship, stored
 
 #: Characters of text in a batch, more or less.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: A tokens between the places of a long document.
 LANE = 512
 #: Chunks and characters that a worker's table holds; beyond, it starts anew. Never changes results.
-CHUNKS, CHUNK_CHARS = 1 << 20, 1 << 25
+CHUNKS, CHUNK_CHARS = 1 << 18, 1 << 23
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
