@@ -12,15 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skytile.functions.geo import hashed, ring_box, wkt_ring
+from skytile.operators.pieces import array_of, clip_area, clip_areas, crop_windows, mosaic, stacked  # noqa: F401
 from skytile.operators.tiling import grid
 
 STATS = "lo int, hi int, share0 double, share255 double, nonzero long, zero_pixels long, bright_pixels long, top_share double"
 
 
-def array_of(data: bytes, h: int, w: int, bands: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(h, w, bands)
-
-
 def tile_stats(data: Column, w: Column, h: Column, bands: Column) -> Column:
     """Statistics of a tile: band 0's range and shares, all-band zero and full pixels, share of the commonest value (254 and 255 as one)."""
 
@@ -37,32 +34,6 @@ def tile_stats(data: Column, w: Column, h: Column, bands: Column) -> Column:
     return stats(data, w, h, bands)
 
 
-def crop_windows(windows: DataFrame, blocks: DataFrame, block: int, pad_to: int | None = None, swap: bool = False) -> DataFrame:
-    """(image_id, win_id, w, h, bands, data) of windows (image_id, win_id, x0, y0, w, h) cut from square blocks.
-
-    A window visits the blocks it covers by key; each window's few blocks meet in one group and are pasted.
-    """
-    span = lambda lo, size: F.explode(F.sequence(F.floor(F.col(lo) / block).cast("int"), F.floor((F.col(lo) + F.col(size) - 1) / block).cast("int")))
-    keyed = windows.select("image_id", "win_id", F.col("x0").alias("wx"), F.col("y0").alias("wy"), F.col("w").alias("ww"), F.col("h").alias("wh"))
-    keyed = keyed.withColumn("block_x", span("wx", "ww")).withColumn("block_y", span("wy", "wh"))
-    met = keyed.join(blocks, ["image_id", "block_x", "block_y"])
-
-    def paste(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        ww, wh = int(r.ww), int(r.wh)
-        out = np.zeros((pad_to or wh, pad_to or ww, int(r.bands)), np.uint8)
-        for b in pdf.itertuples():
-            a = array_of(b.data, b.h, b.w, b.bands)
-            x0, y0, x1, y1 = max(b.x0, b.wx), max(b.y0, b.wy), min(b.x0 + b.w, b.wx + ww), min(b.y0 + b.h, b.wy + wh)
-            if x0 < x1 and y0 < y1:
-                out[y0 - b.wy : y1 - b.wy, x0 - b.wx : x1 - b.wx] = a[y0 - b.y0 : y1 - b.y0, x0 - b.x0 : x1 - b.x0]
-        if swap:
-            out = out[..., ::-1]
-        return pd.DataFrame({"image_id": [r.image_id], "win_id": [r.win_id], "w": [out.shape[1]], "h": [out.shape[0]], "bands": [out.shape[2]], "data": [out.tobytes()]})
-
-    return met.groupBy("image_id", "win_id").applyInPandas(paste, "image_id long, win_id long, w int, h int, bands int, data binary")
-
-
 def pad_tiles(tiles: DataFrame, size: int) -> DataFrame:
     """Tiles with zeros to the right and below, up to a square of ``size``."""
 
@@ -293,65 +264,6 @@ def apply_tables(tiles: DataFrame, tables: DataFrame) -> DataFrame:
     return j.withColumn("data", look("data", "lut")).drop("lut")
 
 
-def mosaic(sources: DataFrame, size: int, nodata: int | None = None, by: list[str] = []) -> DataFrame:
-    """Square target tiles from placed sources (by, order, x0, y0, w, h, bands, data): the later source wins but for nodata pixels."""
-    span = lambda lo, n: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor((F.col(lo) + F.col(n) - 1) / size).cast("int")))
-    met = sources.withColumn("tx", span("x0", "w")).withColumn("ty", span("y0", "h"))
-
-    def paste(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        out = np.full((size, size, int(r.bands)), nodata or 0, np.uint8)
-        ox, oy = int(r.tx) * size, int(r.ty) * size
-        for s in pdf.sort_values("order").itertuples():
-            a = array_of(s.data, s.h, s.w, s.bands)
-            x0, y0, x1, y1 = max(s.x0, ox), max(s.y0, oy), min(s.x0 + s.w, ox + size), min(s.y0 + s.h, oy + size)
-            part, own = out[y0 - oy : y1 - oy, x0 - ox : x1 - ox], a[y0 - s.y0 : y1 - s.y0, x0 - s.x0 : x1 - s.x0]
-            keep = np.ones(own.shape, bool) if nodata is None else own != nodata
-            part[keep] = own[keep]
-        return pd.DataFrame({**{c: [r[c]] for c in by}, "tx": [int(r.tx)], "ty": [int(r.ty)], "w": [size], "h": [size], "bands": [int(r.bands)], "data": [out.tobytes()]})
-
-    kinds = "".join(f"{c} {sources.schema[c].dataType.simpleString()}, " for c in by)
-    return met.groupBy(*by, "tx", "ty").applyInPandas(paste, kinds + "tx int, ty int, w int, h int, bands int, data binary")
-
-
-def stacked(sources: DataFrame, size: int) -> DataFrame:
-    """Square target tiles with a band for each source, in order, as ``mosaic`` places them; sources have one band."""
-    count = sources.select("order").distinct()
-    bands = {o: i for i, o in enumerate(sorted(r["order"] for r in count.collect()))}  # a row per source layer
-    span = lambda lo, n: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor((F.col(lo) + F.col(n) - 1) / size).cast("int")))
-    met = sources.withColumn("tx", span("x0", "w")).withColumn("ty", span("y0", "h"))
-
-    def paste(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        out, ox, oy = np.zeros((size, size, len(bands)), np.uint8), tx * size, ty * size
-        for s in pdf.itertuples():
-            x0, y0, x1, y1 = max(s.x0, ox), max(s.y0, oy), min(s.x0 + s.w, ox + size), min(s.y0 + s.h, oy + size)
-            out[y0 - oy : y1 - oy, x0 - ox : x1 - ox, bands[s.order]] = array_of(s.data, s.h, s.w, 1)[y0 - s.y0 : y1 - s.y0, x0 - s.x0 : x1 - s.x0, 0]
-        return pd.DataFrame({"tx": [tx], "ty": [ty], "w": [size], "h": [size], "bands": [len(bands)], "data": [out.tobytes()]})
-
-    return met.groupBy("tx", "ty").applyInPandas(paste, "tx int, ty int, w int, h int, bands int, data binary")
-
-
-def clip_area(quad: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of a convex polygon inside a rectangle."""
-    p = [tuple(q) for q in quad]
-    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        out = []
-        for i, b in enumerate(p):
-            a = p[i - 1]
-            ia, ib = sign * (a[axis] - bound) >= 0, sign * (b[axis] - bound) >= 0
-            if ia != ib:
-                f = (bound - a[axis]) / (b[axis] - a[axis])
-                out.append((a[0] + f * (b[0] - a[0]), a[1] + f * (b[1] - a[1])))
-            if ib:
-                out.append(b)
-        p = out
-        if not p:
-            return 0.0
-    x, y = np.array(p).T
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-
 def rotated_windows(pairs: DataFrame, degrees: Column, least: float = 0.5) -> DataFrame:
     """Boxes in turned windows. pairs: box xmin.. and window x0, y0, w, h; kept if the window's quad covers more than ``least`` of the box.
 
@@ -361,17 +273,17 @@ def rotated_windows(pairs: DataFrame, degrees: Column, least: float = 0.5) -> Da
 
     @F.pandas_udf("keep boolean, rxmin double, rymin double, rxmax double, rymax double")
     def turn(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, deg: pd.Series) -> pd.DataFrame:
-        out = []
-        for xmin, ymin, xmax, ymax, x0, y0, ww, hh, g in zip(a, b, c, d, x, y, w, h, deg):
-            cx, cy, t = x0 + ww / 2, y0 + hh / 2, np.deg2rad(g)
-            m = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-            quad = (np.array([[-ww, -hh], [ww, -hh], [ww, hh], [-ww, hh]]) / 2) @ m.T + (cx, cy)
-            size = (xmax - xmin) * (ymax - ymin)
-            share = clip_area(quad, xmin, ymin, xmax, ymax) / size if size > 0 else 0.0
-            q = (np.array([[xmin, ymin], [xmax, ymin], [xmax, ymax], [xmin, ymax]]) - (cx, cy)) @ m + (ww / 2, hh / 2)
-            lo, hi = np.clip(q.min(0), 0, (ww - 1, hh - 1)), np.clip(q.max(0), 0, (ww - 1, hh - 1))
-            out.append((share > least, *lo, *hi))
-        return pd.DataFrame(out, columns=["keep", "rxmin", "rymin", "rxmax", "rymax"])
+        lo, hi, centre, half = np.stack([a, b], 1), np.stack([c, d], 1), np.stack([x + w / 2, y + h / 2], 1), np.stack([w, h], 1) / 2
+        t = np.deg2rad(deg.to_numpy())
+        m = np.stack([np.stack([np.cos(t), -np.sin(t)], 1), np.stack([np.sin(t), np.cos(t)], 1)], 1)
+        corners = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]])
+        quads = (corners * half[:, None]) @ m.transpose(0, 2, 1) + centre[:, None]
+        size = (hi - lo).prod(1)
+        share = np.where(size > 0, clip_areas(quads, np.concatenate([lo, hi], 1)) / np.maximum(size, 1), 0.0)
+        own = np.where(corners[None] < 0, lo[:, None], hi[:, None])
+        q = (own - centre[:, None]) @ m + half[:, None]
+        first, last = (np.clip(v, 0, 2 * half - 1) for v in (q.min(1), q.max(1)))
+        return pd.DataFrame({"keep": share > least, "rxmin": first[:, 0], "rymin": first[:, 1], "rxmax": last[:, 0], "rymax": last[:, 1]})
 
     return p.withColumn("t", turn("xmin", "ymin", "xmax", "ymax", "x0", "y0", "w", "h", "deg")).where("t.keep").select(*pairs.columns, "t.rxmin", "t.rymin", "t.rxmax", "t.rymax")
 

@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
-from skytile.operators.raster import composed, draw_lines, mosaic, paste_plan
-from skytile.operators.spatial import segment_tiles
-from skytile.session import stored
+from skytile.operators.pieces import mosaic
+from skytile.operators.raster import composed, draw_lines, paste_plan
+from skytile.session import ship, stored
 
 
-def representative_segments(points: DataFrame, size: int = 2048) -> DataFrame:
-    """For each tile that a polyline crosses, its leftmost and rightmost place there: (image_id, line_id, col, row, x1, y1, x2, y2) in scene pixels.
+def line_pixels(x1: float, y1: float, x2: float, y2: float, x0: int, y0: int, size: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, squared distance) of the pixels of a tile at (x0, y0) whose distance from a segment is at most ``reach``.
 
-    points: image_id, line_id, pos, x, y; places are those where segments enter and leave the tile.
+    The tile's columns (rows, for a steep segment) are walked along; in each, the few pixels about the line are measured.
     """
-    s = segment_tiles(points, size)
-    p = points.select("image_id", "line_id", "pos", "x", "y")
-    q = p.select("image_id", "line_id", (F.col("pos") - 1).alias("pos"), F.col("x").alias("ex"), F.col("y").alias("ey"))
-    s = s.join(p, ["image_id", "line_id", "pos"]).join(q, ["image_id", "line_id", "pos"])
-    at = lambda t: F.struct((F.col("x") + (F.col("ex") - F.col("x")) * F.col(t)).alias("x"), (F.col("y") + (F.col("ey") - F.col("y")) * F.col(t)).alias("y"))
-    ends = s.select("image_id", "line_id", "col", "row", F.explode(F.array(at("t0"), at("t1"))).alias("p"))
-    found = ends.groupBy("image_id", "line_id", "col", "row").agg(F.min("p").alias("a"), F.max("p").alias("b"))
-    return found.select("image_id", "line_id", "col", "row", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    steep = abs(y2 - y1) > abs(x2 - x1)
+    u1, v1, u2, v2, u0, v0 = (y1, x1, y2, x2, y0, x0) if steep else (x1, y1, x2, y2, x0, y0)
+    du, dv = u2 - u1, v2 - v1
+    lo, hi = max(u0, int(np.ceil(min(u1, u2) - reach))), min(u0 + size - 1, int(np.floor(max(u1, u2) + reach)))
+    u = np.arange(lo, hi + 1)
+    slope = dv / du if du else 0.0
+    middle = v1 + np.clip((u - u1) * slope, min(0.0, dv), max(0.0, dv))
+    # Across the walk the line is as far from its neighbours as its slope makes it, at most by the root of two.
+    far = int(np.ceil(reach * np.sqrt(1 + slope * slope))) + 2
+    v = (np.floor(middle)[:, None] + np.arange(-far, far + 1)).astype(np.int64)
+    u = np.broadcast_to(u[:, None], v.shape)
+    own = (v >= v0) & (v < v0 + size)
+    u, v = u[own], v[own]
+    length = du * du + dv * dv
+    t = np.clip(((u - u1) * du + (v - v1) * dv) / length, 0, 1) if length else 0.0
+    d2 = np.round((u - u1 - t * du) ** 2 + (v - v1 - t * dv) ** 2, 9)
+    hit = d2 <= reach * reach
+    return (v[hit], u[hit], d2[hit]) if steep else (u[hit], v[hit], d2[hit])
+
+
+def line_ends(points: DataFrame, size: int = 2048, thickness: float = 2.0) -> DataFrame:
+    """For each tile that a polyline's pixels lie in, the leftmost and rightmost of them, in scene pixels: (image_id, line_id, col, row, x1, y1, x2, y2).
+
+    A line's pixels are those within half its thickness of a segment. Of several leftmost or rightmost ones the one nearest to
+    the line counts, then the uppermost. points: image_id, line_id, pos, x, y. Segments visit the tiles that their
+    extent, grown by the thickness, covers; each tile is walked along by itself.
+    """
+    reach = thickness / 2
+    after = Window.partitionBy("image_id", "line_id").orderBy("pos")
+    s = points.withColumn("ex", F.lead("x").over(after)).withColumn("ey", F.lead("y").over(after)).where("ex is not null")
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / size).cast("int"), F.floor((F.greatest(a, b) + reach) / size).cast("int")))
+    t = s.withColumn("col", span(F.col("x"), F.col("ex"))).withColumn("row", span(F.col("y"), F.col("ey")))
+
+    @F.pandas_udf("hit boolean, fx long, fd double, fy long, lx long, ld double, ly long")
+    def walk(x: pd.Series, y: pd.Series, ex: pd.Series, ey: pd.Series, c: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = []
+        for x1, y1, x2, y2, cc, rr in zip(x, y, ex, ey, c, r):
+            px, py, d2 = line_pixels(x1, y1, x2, y2, int(cc) * size, int(rr) * size, size, reach)
+            a, b = (np.lexsort((py, d2, k))[0] if len(px) else None for k in (px, -px))
+            out.append((False, 0, 0.0, 0, 0, 0.0, 0) if a is None else (True, px[a], d2[a], py[a], px[b], d2[b], py[b]))
+        return pd.DataFrame(out, columns=["hit", "fx", "fd", "fy", "lx", "ld", "ly"])
+
+    e = t.withColumn("e", walk(*[F.col(c).cast("double") for c in ("x", "y", "ex", "ey")], "col", "row")).where("e.hit")
+    found = e.groupBy("image_id", "line_id", "col", "row").agg(F.min(F.struct("e.fx", "e.fd", "e.fy")).alias("a"), F.min(F.struct((-F.col("e.lx")).alias("lx"), "e.ld", "e.ly")).alias("b"))
+    return found.select("image_id", "line_id", "col", "row", F.col("a.fx").alias("x1"), F.col("a.fy").alias("y1"), (-F.col("b.lx")).alias("x2"), F.col("b.ly").alias("y2"))
 
 
 def synthetic_scene(tiles: DataFrame, points: DataFrame, foregrounds: DataFrame, size: int, out_size: int, seed: int = 0, most: int = 2, least: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +71,8 @@ def synthetic_scene(tiles: DataFrame, points: DataFrame, foregrounds: DataFrame,
     up to ``most`` go on a touched tile. Mosaic tiles are of ``out_size`` and keep pixels that are zero as they were. Segments under ``least`` pixels are not drawn.
     """
     first = points.join(points.groupBy("image_id").agg(F.min("line_id").alias("line_id")), ["image_id", "line_id"])
-    seg = representative_segments(first, size)
+    ship(tiles.sparkSession)
+    seg = line_ends(first, size)
     place = tiles.select("image_id", "tile_id", "col", "row", "x0", "y0")
     own = seg.join(place, ["image_id", "col", "row"])
     shifted = own.select("image_id", "tile_id", *[(F.col(c) - F.col(c[0] + "0")).alias(c) for c in ("x1", "y1", "x2", "y2")])

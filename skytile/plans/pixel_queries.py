@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skytile.functions import geo
 from skytile.operators import raster, sampling, scene, spatial, tiling
-from skytile.plans.queries import CLIP, FLAG, H, WIN, WIN_SPARK, QUERIES, Tables, _bytes, _lines, _r, _tiles, query
+from skytile.plans.queries import CLIP, FLAG, H, WIN, WIN_SPARK, QUERIES, Tables, _blocks, _bytes, _lines, _r, _tiles, query
 from skytile.plans.source_queries import sql_for
 from skytile.session import ship
 
@@ -42,10 +42,8 @@ def _masks(t: Tables) -> DataFrame:
 def _(t):
     """Tiles of 24 pixels, padded, of images whose pixels are not all alike there."""
     ship(t.spark)
-    one = _tiles(t)
-    sizes = one.select("image_id", F.col("w").alias("width"), F.col("h").alias("height"))
-    blocks = one.select("image_id", F.lit(0).alias("block_x"), F.lit(0).alias("block_y"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), "w", "h", "bands", "data")
-    got = raster.non_empty_tiles(sizes, blocks, 1 << 20, 24, 8)
+    sizes = t.pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    got = raster.non_empty_tiles(sizes, _blocks(t, 16), 16, 24, 8)
     return got.select("image_id", F.col("tile_id").cast("int").alias("tile_id"), "w", "h", _total().alias("total"))
 
 
@@ -128,9 +126,8 @@ def _(t):
 def _(t):
     """A band for each image, stacked in order."""
     ship(t.spark)
-    got = raster.stacked(_tiles(t).select(F.col("image_id").alias("order"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), "w", "h", "data"), 64)
-    bands = got.select("tx", "ty", F.posexplode(_bytes("data")).alias("i", "v"), "bands")
-    return bands.groupBy("tx", "ty", (F.col("i") % F.col("bands")).cast("long").alias("band")).agg(F.sum("v").alias("total")).where("total > 0")
+    placed = _tiles(t).select(F.col("image_id").alias("order"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), "w", "h", "bands", "data")
+    return raster.stacked(placed, 64).select("tx", "ty", F.col("band").cast("long").alias("band"), _total().alias("total")).where("total > 0")
 
 
 @query("j11_recoloured", "select image_id, cast(sum(case when val < 64 then 10 when val < 128 then 20 when val < 192 then 30 else 10 end) as bigint) total from {pixels} group by 1")
@@ -151,7 +148,7 @@ def _(t):
     return raster.composed(bg, fg, plan).select("bg_id", F.sha2("data", 256).alias("digest"))
 
 
-@query("j17_synthetic_scene", "with p as (select image_id, x, y, x//16 c, y//16 r, val from {pixels}), l as (select p.*, case when (y = 3 and x between 9 and 51) or (abs(y-3) = 1 and x between 10 and 50) then 200 else val end v, r = 0 and c <= 3 as touched from p) select image_id, cast(sum(v) as bigint) whole, cast(sum(case when touched then v end) as bigint) touched from l group by 1")
+@query("j17_synthetic_scene", "with p as (select image_id, x, y, x//16 c, y//16 r, val from {pixels}), l as (select p.*, case when (y = 3 and x between 8 and 52) or (abs(y-3) = 1 and x between 9 and 51) then 200 else val end v, r = 0 and c <= 3 as touched from p) select image_id, cast(sum(v) as bigint) whole, cast(sum(case when touched then v end) as bigint) touched from l group by 1")
 def _(t):
     """Scenes cut into tiles, a line drawn through those it crosses, merged again: all tiles, and the touched ones. No foregrounds, where SQL can follow."""
     ship(t.spark)
@@ -203,9 +200,8 @@ def _(t):
     ship(t.spark)
     images = t.pixels.select("image_id").distinct()
     w = images.withColumn("win_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).select("image_id", "win_id", ((F.col("image_id") * 7 + F.col("win_id") * 5) % 40).cast("int").alias("x0"), ((F.col("image_id") * 3 + F.col("win_id")) % 4).cast("int").alias("y0"), F.lit(8).alias("w"), F.lit(4).alias("h"))
-    blocks = _tiles(t).select("image_id", F.lit(0).alias("block_x"), F.lit(0).alias("block_y"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), "w", "h", "bands", "data")
     region = images.where("image_id % 2 = 0").select("image_id", F.lit(1).cast("long").alias("poly_id"), F.lit(1).alias("label"), F.lit("POLYGON ((20 0,30 0,30 1,20 1,20 0))").alias("wkt"))
-    return raster.background_windows(w, t.gt_boxes, region, blocks, 1 << 20).select("image_id", "win_id")
+    return raster.background_windows(w, t.gt_boxes, region, _blocks(t, 16), 16).select("image_id", "win_id")
 
 
 @query("d17_parent_of_good_parts", "with b as (select image_id, box_id, cast((box_id*7) % 50 as int) x0, cast((box_id*3) % 5 as int) y0, label from {gt_boxes} where image_id < 20), s as (select b.image_id, box_id, min(val) lo, max(val) hi, avg(case when val <> 0 then 1.0 else 0 end) nz from b join {pixels} p on p.image_id=b.image_id and p.x >= x0 and p.x < x0+9 and p.y >= y0 and p.y < y0+4 group by 1, 2), g as (select b.image_id, bool_and(label = 2) all2, bool_and(coalesce(hi > lo and nz > 0.5, false)) good, min(x0) xmin, min(y0) ymin, max(x0+9) xmax, max(y0+4) ymax from b left join s using (image_id, box_id) group by 1) select image_id, greatest(0, xmin-5) xmin, greatest(0, ymin-5) ymin, least(63, xmax+5) xmax, least(h-1, ymax+5) ymax, 1 as label from g join (select image_id, cast(max(y)+1 as int) h from {pixels} group by 1) z using (image_id) where good")

@@ -758,6 +758,15 @@ def _tiles(t: Tables) -> DataFrame:
     return one.select("image_id", F.lit(0).alias("tile_id"), F.lit(64).alias("w"), "h", F.lit(1).alias("bands"), F.unhex("s").alias("data"))
 
 
+def _blocks(t: Tables, side: int) -> DataFrame:
+    """The images of the pixel table in square blocks."""
+    at = lambda c: F.floor(F.col(c) / side).cast("int")
+    rows = t.pixels.groupBy("image_id", at("x").alias("block_x"), at("y").alias("block_y"), "y").agg(F.array_sort(F.collect_list(F.struct("x", "val"))).alias("r"))
+    text = F.array_join(F.transform("r", lambda p: F.lpad(F.hex(p["val"]), 2, "0")), "")
+    one = rows.groupBy("image_id", "block_x", "block_y").agg(F.count("*").cast("int").alias("h"), F.max(F.size("r")).alias("w"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", text.alias("s")))), lambda p: p["s"]), "").alias("s"))
+    return one.select("image_id", "block_x", "block_y", (F.col("block_x") * side).alias("x0"), (F.col("block_y") * side).alias("y0"), "w", "h", F.lit(1).alias("bands"), F.unhex("s").alias("data"))
+
+
 def _bytes(col: str) -> Column:
     """Values of a binary column, as an array."""
     return F.transform(F.sequence(F.lit(1), F.octet_length(col)), lambda i: F.conv(F.hex(F.substring(F.col(col), i, F.lit(1))), 16, 10).cast("int"))
@@ -773,9 +782,9 @@ def _(t):
 @query("j1_cropped_windows", "select image_id, count(*) n, cast(sum(val) as bigint) total from {pixels} where x between 10 and 49 and y between 2 and 13 group by 1")
 def _(t):
     ship(t.spark)
-    blocks = _tiles(t).select("image_id", F.lit(0).alias("block_x"), F.lit(0).alias("block_y"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), "w", "h", "bands", "data")
+    blocks = _blocks(t, 16)
     win = t.pixels.select("image_id").distinct().select("image_id", F.lit(1).alias("win_id"), F.lit(10).alias("x0"), F.lit(2).alias("y0"), F.lit(40).alias("w"), F.lit(12).alias("h"))
-    got = raster.crop_windows(win, blocks, 4096).withColumn("v", F.explode(_bytes("data")))
+    got = raster.crop_windows(win, blocks, 16).withColumn("v", F.explode(_bytes("data")))
     return got.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
