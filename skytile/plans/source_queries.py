@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from skytile.functions import geo
 from skytile.operators import graph, sampling, spatial, tiling
 from skytile.plans.queries import SQL, QUERIES, Tables, _r, _tiles, _with_raster, query
-from skytile.session import scratch, ship
+from skytile.session import scratch, ship, stored
 from skytile.sources import annotations, images
-from skytile.streaming import jobs
+from skytile.streaming import jobs, scenes
 
 NAMES = ["1_large", "2_middle", "3_small", "4_insulator"]
 
@@ -168,17 +168,21 @@ def _(t):
 
 @query("l5_scenes_over_batches", SQL["k3_scene_result"])
 def _(t):
-    """Scenes assembled from three batches of blocks, one of them sent twice: what one batch gives."""
-    path = f"{scratch(t.spark)}/scenes"
-    block = F.pmod("det_id", F.lit(5)).cast("int")
-    dets = t.detections.withColumn("block", block)
+    """Scenes assembled from a stream of four batches: blocks split between batches, rows that come again: what one batch gives."""
+    ship(t.spark)
+    path = scratch(t.spark)
+    dets = t.detections.withColumn("block", F.pmod("det_id", F.lit(5)).cast("int"))
     # Every block of every scene reports, if only that it is empty.
-    done = t.detections.select("image_id").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    rows = dets.unionByName(done, allowMissingColumns=True)
-    write = jobs.scene_results_to(path, done.groupBy("image_id").agg(F.count("*").alias("n")))
-    for number, some in enumerate(("block in (0, 3)", "block in (1, 2)", "block in (1, 2)", "block = 4 or block = 0")):
-        write(rows.where(some), min(number, 1) if number < 3 else 2)
-    return t.spark.read.option("basePath", f"{path}/scenes").parquet(f"{path}/scenes").drop("batch_id")
+    blocks = t.detections.select("image_id").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    sizes = blocks.join(dets.groupBy("image_id", "block").agg(F.count("*").alias("block_dets")), ["image_id", "block"], "left").fillna(0, ["block_dets"])
+    rows = stored(sizes.join(dets, ["image_id", "block"], "left"), "rows")
+    half = F.pmod("det_id", F.lit(2))
+    totals = blocks.groupBy("image_id").agg(F.count("*").alias("n"))
+    for some in (F.expr("block in (0, 3)"), (F.col("block") == 1) & (half == 0), (F.col("block") < 2) | F.col("det_id").isNull(), F.expr("block in (2, 4, 1)")):
+        rows.where(some).write.mode("append").parquet(f"{path}/in")
+        # Each run goes on from the checkpoint of the one before.
+        scenes.write_scenes(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), totals, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return scenes.results(t.spark, f"{path}/out", "scenes").drop("batch_id")
 
 
 @query("l4_sliding_rates", "select job_id, s.start, cast(sum(n_dets) as bigint) n_dets, count(*) n_blocks from (select job_id, n_dets, unnest([time_bucket(interval '15 minutes', ts), time_bucket(interval '15 minutes', ts) - interval '15 minutes', time_bucket(interval '15 minutes', ts) - interval '30 minutes', time_bucket(interval '15 minutes', ts) - interval '45 minutes']) as start from {tile_results}) s group by 1, 2")
