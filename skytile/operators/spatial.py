@@ -1,4 +1,4 @@
-"""Joins of boxes with boxes and tiles by grid cells: equi-joins, no pair of far boxes is ever formed."""
+"""Joins of boxes with boxes and tiles by grid cells of several sizes: equi-joins, no pair of far boxes is ever formed."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skytile.functions.geo import area, intersection, iou
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
-#: Cell side in pixels, about the size of a large box, so that a box covers few cells.
+#: Least cell side in pixels, about the size of a large box, so that most boxes cover few cells of one level.
 CELL = 256
 
 
-def _celled(df: DataFrame, prefix: str, cell: int) -> DataFrame:
-    """A row for each cell that a box, grown by one pixel, covers."""
-    lo = lambda c: F.floor(F.col(f"{prefix}{c}") / cell).cast("int")
-    hi = lambda c: F.floor((F.greatest(F.col(f"{prefix}{c}max"), F.col(f"{prefix}{c}min")) + 1) / cell).cast("int")
-    return df.withColumn("cx", F.explode(F.sequence(lo("xmin"), hi("x")))).withColumn("cy", F.explode(F.sequence(lo("ymin"), hi("y"))))
+def _level(prefix: str, cell: float) -> Column:
+    """The level (cells have 2 ** level pixels a side) on which a box, grown by one pixel, covers at most two cells a side."""
+    side = lambda c: F.greatest(F.col(f"{prefix}{c}max") - F.col(f"{prefix}{c}min"), F.lit(0)) + 2
+    return F.ceil(F.log2(F.greatest(side("x"), side("y"), F.lit(cell)).cast("double"))).cast("int")
+
+
+def _posted(df: DataFrame, prefix: str, posts: Column) -> DataFrame:
+    """A row for each (level, tag) of ``posts`` and each cell of that level that a box, grown by one pixel, covers."""
+    at = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("post.level"))).cast("long")
+    span = lambda c: F.explode(F.sequence(at(F.col(f"{prefix}{c}min")), at(F.greatest(F.col(f"{prefix}{c}max"), F.col(f"{prefix}{c}min")) + 1)))
+    t = df.withColumn("post", F.explode(posts)).withColumn("cx", span("x")).withColumn("cy", span("y"))
+    return t.withColumn("level", F.col("post.level")).withColumn("tag", F.col("post.tag")).drop("post")
 
 
 def _prefixed(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
@@ -25,13 +32,25 @@ def _prefixed(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
 def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str] = ["image_id"], cell: int = CELL, inclusive: bool = True) -> DataFrame:
     """Pairs of boxes of a and b (columns prefixed a_ and b_) that overlap, with ``inter`` and ``iou``.
 
-    A pair meets in each cell that both cover and is kept in the one that holds the corner of its intersection.
+    Boxes are posted in cells of a level of their own size, at least ``cell``, so a box of any size covers at most four. A pair meets on
+    the level of its larger box, to which the smaller one goes up if its group has boxes there: boxes of a on their own level meet all
+    of b (tag 0), those that went up meet only boxes of b on their own level (tag 1). A pair is kept in the one cell
+    that holds the corner of its intersection.
     """
-    left, right = _celled(_prefixed(a, "a_", by), "a_", cell), _celled(_prefixed(b, "b_", by), "b_", cell)
-    pairs = left.join(right, [*by, "cx", "cy"])
-    owner = (F.col("cx") == F.floor(F.greatest("a_xmin", "b_xmin") / cell)) & (F.col("cy") == F.floor(F.greatest("a_ymin", "b_ymin") / cell))
+    left, right = _prefixed(a, "a_", by).withColumn("a__l", _level("a_", cell)), _prefixed(b, "b_", by).withColumn("b__l", _level("b_", cell))
+    levels = lambda df, p: df.groupBy(*by).agg(F.collect_set(f"{p}_l").alias("levels"))  # noqa: E731  (a few numbers a group)
+    post = lambda level, tag: F.struct(level.alias("level"), F.lit(tag).alias("tag"))
+    higher = lambda own, tag: F.transform(F.filter("levels", lambda v: v > own), lambda v: post(v, tag))
+    own = F.col("a__l")
+    left = _posted(left.join(levels(right, "b_"), by), "a_", F.concat(F.array(post(own, 0)), higher(own, 1))).drop("levels", "a__l")
+    own = F.col("b__l")
+    below = F.when(F.array_min("levels") < own, F.array(post(own, 0), post(own, 1))).otherwise(F.array(post(own, 0)))
+    right = _posted(right.join(levels(_prefixed(a, "a_", by).withColumn("a__l", _level("a_", cell)), "a_"), by), "b_", F.concat(below, higher(own, 0))).drop("levels", "b__l")
+    pairs = left.join(right, [*by, "level", "tag", "cx", "cy"])
+    side = F.pow(F.lit(2.0), F.col("level"))
+    owner = (F.col("cx") == F.floor(F.greatest("a_xmin", "b_xmin") / side)) & (F.col("cy") == F.floor(F.greatest("a_ymin", "b_ymin") / side))
     inter = intersection("a_", "b_", inclusive)
-    return pairs.where(owner & (inter > 0)).drop("cx", "cy").withColumn("inter", inter).withColumn("iou", iou("a_", "b_", inclusive))
+    return pairs.where(owner & (inter > 0)).drop("level", "tag", "cx", "cy").withColumn("inter", inter).withColumn("iou", iou("a_", "b_", inclusive))
 
 
 def best_iou(a: DataFrame, b: DataFrame, keys: list[str], by: list[str] = ["image_id"], inclusive: bool = False) -> DataFrame:
