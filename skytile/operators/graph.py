@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skytile.operators.spatial import BOX, overlap_pairs
-from skytile.session import discard, ship, stored
+from skytile.session import dealt, discard, ship, stored
 
 #: Edges of a group that one task settles.
 EDGES = 200_000
@@ -59,7 +59,7 @@ def _streamed(rows: DataFrame, by: list[str], order: list, settle, out: list[tup
             yield from _chunks((r for part in ([first], made) for r in part), schema)
 
     ship(rows.sparkSession)
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*kinds, *[(c, t) for c, t, _ in out]]))
+    return dealt(rows, *by).sortWithinPartitions(*by, *order).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*kinds, *[(c, t) for c, t, _ in out]]))
 
 
 def _sizes(edges: DataFrame, by: list[str], most: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skytile.operators.sequence import cdf, match_tables
-from skytile.session import stored
+from skytile.session import dealt, stored
 
 #: Bytes of pieces that a task holds before it hands them on.
 HELD_BYTES = 32 << 20
@@ -212,7 +212,7 @@ def mosaic(sources: DataFrame, size: int, nodata: int | None = None, by: list[st
         for first in rows:  # the schema is known with the first row
             yield from _sent((r for part in ([first], rows) for r in part), schema)
 
-    return pieces.repartition(*key).sortWithinPartitions(*key).mapInArrow(fill, kinds)
+    return dealt(pieces, *key).sortWithinPartitions(*key).mapInArrow(fill, kinds)
 
 
 def stacked(sources: DataFrame, size: int) -> DataFrame:

@@ -17,40 +17,39 @@ def _level(prefix: str, cell: float) -> Column:
     return F.ceil(F.log2(F.greatest(side("x"), side("y"), F.lit(cell)).cast("double"))).cast("int")
 
 
-def _posted(df: DataFrame, prefix: str, posts: Column) -> DataFrame:
-    """A row for each (level, tag) of ``posts`` and each cell of that level that a box, grown by one pixel, covers."""
-    at = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("post.level"))).cast("long")
+def _posted(df: DataFrame, prefix: str, side: Column) -> DataFrame:
+    """A row for each cell of this side that a box, grown by one pixel, covers."""
+    at = lambda c: F.floor(c / side).cast("long")
     span = lambda c: F.explode(F.sequence(at(F.col(f"{prefix}{c}min")), at(F.greatest(F.col(f"{prefix}{c}max"), F.col(f"{prefix}{c}min")) + 1)))
-    t = df.withColumn("post", F.explode(posts)).withColumn("cx", span("x")).withColumn("cy", span("y"))
-    return t.withColumn("level", F.col("post.level")).withColumn("tag", F.col("post.tag")).drop("post")
+    return df.withColumn("cx", span("x")).withColumn("cy", span("y"))
 
 
 def _prefixed(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in by else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str] = ["image_id"], cell: int = CELL, inclusive: bool = True) -> DataFrame:
+def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str] = ["image_id"], cell: int = CELL, inclusive: bool = True, levels: bool = False) -> DataFrame:
     """Pairs of boxes of a and b (columns prefixed a_ and b_) that overlap, with ``inter`` and ``iou``.
 
-    Boxes are posted in cells of a level of their own size, at least ``cell``, so a box of any size covers at most four. A pair meets on
-    the level of its larger box, to which the smaller one goes up if its group has boxes there: boxes of a on their own level meet all
-    of b (tag 0), those that went up meet only boxes of b on their own level (tag 1). A pair is kept in the one cell
-    that holds the corner of its intersection.
+    A pair meets in each cell that both cover and is kept in the one that holds the corner of its intersection. With ``levels``, for boxes
+    that may be much larger than a cell, a box is posted in cells of a level of its own size, so it covers at most four. A pair then meets on
+    the level of its larger box, to which the smaller one goes up if the other table has boxes there: boxes of a on their own level meet all
+    of b (tag 0), those that went up meet only boxes of b on their own level (tag 1). The levels in use, some twenty at most, are found first.
     """
-    left, right = _prefixed(a, "a_", by).withColumn("a__l", _level("a_", cell)), _prefixed(b, "b_", by).withColumn("b__l", _level("b_", cell))
-    levels = lambda df, p: df.groupBy(*by).agg(F.collect_set(f"{p}_l").alias("levels"))  # noqa: E731  (a few numbers a group)
-    post = lambda level, tag: F.struct(level.alias("level"), F.lit(tag).alias("tag"))
-    higher = lambda own, tag: F.transform(F.filter("levels", lambda v: v > own), lambda v: post(v, tag))
-    own = F.col("a__l")
-    left = _posted(left.join(levels(right, "b_"), by), "a_", F.concat(F.array(post(own, 0)), higher(own, 1))).drop("levels", "a__l")
-    own = F.col("b__l")
-    below = F.when(F.array_min("levels") < own, F.array(post(own, 0), post(own, 1))).otherwise(F.array(post(own, 0)))
-    right = _posted(right.join(levels(_prefixed(a, "a_", by).withColumn("a__l", _level("a_", cell)), "a_"), by), "b_", F.concat(below, higher(own, 0))).drop("levels", "b__l")
-    pairs = left.join(right, [*by, "level", "tag", "cx", "cy"])
-    side = F.pow(F.lit(2.0), F.col("level"))
+    left, right = _prefixed(a, "a_", by), _prefixed(b, "b_", by)
+    side, keys = F.lit(cell), [*by, "cx", "cy"]
+    if levels:
+        used = lambda df, p: df.agg(F.collect_set(_level(p, cell))).scalar()
+        on_a, on_b, own = used(left, "a_"), used(right, "b_"), F.col("own")
+        left = left.withColumn("own", _level("a_", cell)).withColumn("level", F.explode(F.array_union(F.array("own"), on_b))).where(F.col("level") >= own)
+        left = left.withColumn("tag", F.when(F.col("level") == own, 0).otherwise(1)).drop("own")
+        right = right.withColumn("own", _level("b_", cell)).withColumn("level", F.explode(F.array_union(F.array("own"), on_a))).where(F.col("level") >= own)
+        right = right.withColumn("tag", F.explode(F.when((F.col("level") == own) & (F.array_min(on_a) < own), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("own")
+        side, keys = F.pow(F.lit(2.0), F.col("level")), [*keys, "level", "tag"]
+    pairs = _posted(left, "a_", side).join(_posted(right, "b_", side), keys)
     owner = (F.col("cx") == F.floor(F.greatest("a_xmin", "b_xmin") / side)) & (F.col("cy") == F.floor(F.greatest("a_ymin", "b_ymin") / side))
     inter = intersection("a_", "b_", inclusive)
-    return pairs.where(owner & (inter > 0)).drop("level", "tag", "cx", "cy").withColumn("inter", inter).withColumn("iou", iou("a_", "b_", inclusive))
+    return pairs.where(owner & (inter > 0)).drop("cx", "cy", *(["level", "tag"] if levels else [])).withColumn("inter", inter).withColumn("iou", iou("a_", "b_", inclusive))
 
 
 def best_iou(a: DataFrame, b: DataFrame, keys: list[str], by: list[str] = ["image_id"], inclusive: bool = False) -> DataFrame:
@@ -137,7 +136,7 @@ def tiles_in_rectangle(tiles: DataFrame, rects: DataFrame) -> DataFrame:
     t = tiles.select("tile_id", "gt0", "gt1", "gt3", "gt5", "w", "h", F.col("gt0").alias("minx"), (F.col("gt0") + F.col("gt1") * F.col("w")).alias("maxx"), (F.col("gt3") + F.col("gt5") * F.col("h")).alias("miny"), F.col("gt3").alias("maxy"))
     a = rects.select("rect_id", F.col("minx").alias("xmin"), F.col("miny").alias("ymin"), F.col("maxx").alias("xmax"), F.col("maxy").alias("ymax"), F.lit(0).alias("one"))
     b = t.select("tile_id", F.col("minx").alias("xmin"), F.col("miny").alias("ymin"), F.col("maxx").alias("xmax"), F.col("maxy").alias("ymax"), "gt0", "gt1", "gt3", "gt5", F.lit(0).alias("one"))
-    p = overlap_pairs(a, b, ["one"], cell=4096, inclusive=False)
+    p = overlap_pairs(a, b, ["one"], cell=4096, inclusive=False, levels=True)
     x0, x1, y0, y1 = F.greatest("a_xmin", "b_xmin"), F.least("a_xmax", "b_xmax"), F.greatest("a_ymin", "b_ymin"), F.least("a_ymax", "b_ymax")
     px = lambda v: ((v - F.col("b_gt0")) / F.col("b_gt1") + 0.5).cast("int")
     py = lambda v: ((v - F.col("b_gt3")) / F.col("b_gt5") + 0.5).cast("int")

@@ -70,6 +70,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys into as many partitions as the session shuffles to; small ones aren't joined, as Python work on them isn't small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def free_prefix(*tables: DataFrame, start: str = "own") -> str:
     """A prefix with which no column of these tables begins, for columns that a job adds for itself."""
     names = [c.lower() for df in tables for c in df.columns]
