@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join of whole documents, as components of the links.
 
-A document's set holds its distinct k-word shingles as 64-bit hashes; texts of the same words in the same order
+A document's set holds its distinct k-word shingles as hashes under a key drawn anew for each run; links are verified with a second
+hash under another key, 128 bits in all. Texts of the same words in the same order
 (told by a 128-bit digest) form one class, which is joined once however many copies it has. Then:
 
 1. Pruning. Linked sets share at least ``r`` of their few smallest hashes; sets that do not share that many with
@@ -23,6 +24,7 @@ tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skytile.llm import words as words_of
 from skytile.operators.graph import components
-from skytile.session import discard, ship, stored
+from skytile.session import discard, free_prefix, ship, stored
 
 SIZE_BLOCK = 1.1  # each block of set sizes reaches this much further than the one before
 POSITION_BLOCK = 8
@@ -47,13 +49,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """The set of each text as ascending uint64 hashes."""
+def shingle_sets(texts: list[bytes], k: int, seed: bytes = b"", table: np.ndarray | None = None) -> list[np.ndarray]:
+    """The set of each text as ascending uint64 hashes under a key."""
     raw = _LOWER[np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)]
     space = _SPACE[raw]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    words = words_of.hashes(words_of.padded(raw.tobytes()), starts, ends - starts)[0]
+    words = words_of.keyed(words_of.padded(raw.tobytes()), starts, ends - starts, words_of.key_table(seed) if table is None else table, seed)
     n = len(words)
     lead = np.full(n, k, np.uint64)
     for i in range(k):
@@ -97,20 +99,22 @@ def _lost(n, percent: int):
     return n * (100 - percent) // 100
 
 
-def sets_of(docs: DataFrame, k: int, id_col: str, text_col: str, members=None) -> DataFrame:
-    """doc_id, digest of the words, set size n and either a hash of the raw text or ``members`` of the set."""
-    last = "text_md5 binary" if members is None else "members array<long>"
-    kinds = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), (last.split()[0], pa.binary() if members is None else pa.list_(pa.int64()))])
+def sets_of(docs: DataFrame, k: int, id_col: str, text_col: str, members=None, seeds: list[bytes] = [b""]) -> DataFrame:
+    """doc_id, digest of the words, set size n and either a hash of the raw text or ``members`` of the set, for a second seed ``checks``, too."""
+    names = ["text_md5"] if members is None else ["members", "checks"][: len(seeds)]
+    kinds = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), *[(name, pa.binary() if members is None else pa.list_(pa.int64())) for name in names]])
 
     def run(batches):
+        tables = [words_of.key_table(seed) for seed in seeds]
         for part in _batches(batches):
             texts = [(t or "").encode() for _, t in part]
-            sets = shingle_sets(texts, k)
-            own = [hashlib.md5(t).digest() for t in texts] if members is None else [members(s).view(np.int64) for s in sets]
-            cols = [[d for d, _ in part], [digest(t) for t in texts], [len(s) for s in sets], own]
+            sets = [shingle_sets(texts, k, seed, table) for seed, table in zip(seeds, tables)]
+            own = [[hashlib.md5(t).digest() for t in texts]] if members is None else [[members(s).view(np.int64) for s in each] for each in sets]
+            cols = [[d for d, _ in part], [digest(t) for t in texts], [len(s) for s in sets[0]], *own]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id long, digest binary, n long, {last}")
+    kind = "binary" if members is None else "array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id long, digest binary, n long, {', '.join(f'{name} {kind}' for name in names)}")
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -163,21 +167,22 @@ def _need(n: Column, m: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    """The pairs (a, b) whose sets are linked: shingles count as common only as far as both hashes say so."""
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"), F.col("checks").alias("x2"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"), F.col("checks").alias("y2"))
     both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
+    common = F.least(F.size(F.array_intersect("x", "y")), F.size(F.array_intersect("x2", "y2"))).cast("long")
     return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
 def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every row (doc_id, digest, n, text_md5), the classes (digest, node, first_doc, n), and the label of every node with a link to another."""
-    rows = stored(sets_of(docs, k, id_col, text_col), "rows")
+    seeds = [os.urandom(32), os.urandom(32)]
+    rows = stored(sets_of(docs, k, id_col, text_col, seeds=seeds[:1]), "rows")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     least = F.ceil(percent * F.col("n") / F.lit(100)).cast("long")
-    few = sets_of(docs, k, id_col, text_col, lambda s: s[: _lost(len(s), percent) + 1 + int(extra * len(s))]).where("n > 0")
+    few = sets_of(docs, k, id_col, text_col, lambda s: s[: _lost(len(s), percent) + 1 + int(extra * len(s))], seeds[:1]).where("n > 0")
     # By shuffle at every size: classes grow with the table, so they are never broadcast.
     few = few.groupBy("digest").agg(F.first("members").alias("members")).join(classes.select("digest", "node").hint("merge"), "digest")
     asked = 1 + F.floor(F.lit(extra) * least)
@@ -185,8 +190,8 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
 
     ids = left.select(F.col("first_doc").alias("_first_doc")).distinct()
     some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first_doc"], "left_semi")
-    sets = sets_of(some, k, id_col, text_col, lambda s: s).dropDuplicates(["digest"]).join(left.select("digest", "node"), "digest")
-    sets = stored(sets.select("node", "n", "members"), "sets")
+    sets = sets_of(some, k, id_col, text_col, lambda s: s, seeds).dropDuplicates(["digest"]).join(left.select("digest", "node"), "digest")
+    sets = stored(sets.select("node", "n", "members", "checks"), "sets")
     discard(left)
 
     members = sets.select("node", F.explode("members").alias("h"))
@@ -251,12 +256,15 @@ def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80, extra: float =
     reps = found.where(~alone).groupBy("group").agg(F.min(F.struct("doc_id", "text_md5")).alias("r")).select("r.*")
     reps = reps.unionByName(found.where(alone).select("doc_id", "text_md5"))
     times = found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"))
-    reps = stored(reps.distinct().join(times.where("times > 1"), (reps["doc_id"].eqNullSafe(times["doc_id"])) & (reps["text_md5"] == times["text_md5"]), "left").select(reps["doc_id"].alias("_rep_id"), reps["text_md5"].alias("_rep_md5"), F.coalesce("times", F.lit(1)).alias("_rep_times")), "reps")
+    p = free_prefix(docs, start="rep")
+    reps, often = reps.distinct(), times.where("times > 1")
+    met = reps.join(often, reps["doc_id"].eqNullSafe(often["doc_id"]) & (reps["text_md5"] == often["text_md5"]), "left")
+    reps = stored(met.select(reps["doc_id"].alias(f"{p}id"), reps["text_md5"].alias(f"{p}md5"), F.coalesce("times", F.lit(1)).alias(f"{p}times")), "reps")
     discard(found)
-    key = docs[id_col].cast("long").eqNullSafe(F.col("_rep_id")) & (F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))) == F.col("_rep_md5"))
+    key = docs[id_col].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))) == F.col(f"{p}md5"))
     kept = lambda r: docs.join(r, key, "left_semi")
-    many = reps.where("_rep_times > 1")
-    once = kept(reps.where("_rep_times = 1"))
+    many = reps.where(F.col(f"{p}times") > 1)
+    once = kept(reps.where(F.col(f"{p}times") == 1))
     return once if many.isEmpty() else once.unionByName(kept(many).dropDuplicates([id_col, text_col]))
 
 
