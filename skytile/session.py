@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver go of plans, broadcasts and shuffles of earlier jobs that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by keys into as many partitions as the session shuffles to; small ones aren't joined, as Python work on them isn't small."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
