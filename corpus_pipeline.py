@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skytile.llm import jaccard, language, mixing, packing, surrogates
-from skytile.session import ship, stored
+from skytile.session import free_prefix, release, ship, stored
 
 #: Texts whose calibrated score is below this are rejected, as are those without any letter: no language is likelier
 #: than all others together.
@@ -19,14 +19,21 @@ LEAST_SCORE = 0.5
 MAX_REPEAT = 1.5
 
 
+def _begin(spark: SparkSession) -> None:
+    """Sources for the workers; what the stage before held on the driver goes."""
+    ship(spark)
+    release(spark)
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; the others go. All stay if no language is taught."""
-    ship(spark)
+    _begin(spark)
     model = language.train(docs)
     if not model.langs:
         return docs
-    found = language.predict(docs, model, out_col="_lang_id")
-    return found.where((F.col("_lang_id.lang_pred") != language.UNKNOWN) & (F.col("_lang_id.score") >= LEAST_SCORE)).select(*docs.columns)
+    own = free_prefix(docs, start="lang") + "id"
+    found = language.predict(docs, model, out_col=own)
+    return found.where((F.col(f"{own}.lang_pred") != language.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,25 +41,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Equal rows count once; rows without a word or an id are groups of their own.
     """
-    ship(spark)
-    return jaccard.first_of_each(docs, k=5, percent=80, extra=0.04).select(*docs.columns)
+    _begin(spark)
+    out = jaccard.first_of_each(docs, k=5, percent=80, extra=0.04).select(*docs.columns)
+    release(spark)
+    return out
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for the personal data in their texts."""
-    ship(spark)
+    _begin(spark)
     out = surrogates.replace(docs, surrogates.session_key(spark))
+    release(spark)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources asks, each at least once."""
+    _begin(spark)
     return mixing.mix(docs, max_repeat=MAX_REPEAT).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
-    ship(spark)
+    _begin(spark)
     return packing.pack(docs)
 
 

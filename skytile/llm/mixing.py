@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skytile.session import free_prefix
+
 #: Documents in a block on average.
 BLOCK_DOCS = 2048
 #: Sources whose plan, a row each, goes to all tasks; more raise an error.
@@ -113,15 +115,16 @@ def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, target_entropy: float |
     )
     ends = ends.drop("block")
     plan = w.join(ends, "source_key", "left").join(cuts, "source_key", "left")
-    plan = plan.select(F.col("source_key").alias("_mix_source"), F.struct("blocks", "passes", "rest", "weight", "end_key", "end_place").alias("_mix_plan"))
+    p = free_prefix(docs, start="mix")
+    plan = plan.select(F.col("source_key").alias(f"{p}own"), F.struct("blocks", "passes", "rest", "weight", "end_key", "end_place").alias(f"{p}plan"))
 
     # The plan has a row per source, as the array of sources above, so documents stay where they are.
-    out = docs.withColumn("_mix_source", key).join(F.broadcast(plan), "_mix_source")
-    m, doc = F.col("_mix_plan"), docs[id_col]
-    doc_key = order(m["passes"], F.col("_mix_source"), block(doc, m["blocks"]))
+    out = docs.withColumn(f"{p}source", key).join(F.broadcast(plan), F.col(f"{p}source") == F.col(f"{p}own"))
+    m, doc = F.col(f"{p}plan"), F.col(id_col)
+    doc_key = order(m["passes"], F.col(f"{p}source"), block(doc, m["blocks"]))
     inside = (m["rest"] > 0) & (m["end_key"].isNull() | (doc_key < m["end_key"]) | ((doc_key == m["end_key"]) & F.coalesce(place(doc) <= m["end_place"], F.lit(False))))
     times = m["passes"] + F.when(inside, 1).otherwise(0)
-    return out.select(*[docs[c] for c in docs.columns if c not in ("mix_weight", "mix_epoch")], m["weight"].alias("mix_weight"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("mix_epoch"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_weight", "mix_epoch")], m["weight"].alias("mix_weight"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("mix_epoch"))
 
 
 def op8_temperature_mix(spark, sf_dir: str) -> DataFrame:

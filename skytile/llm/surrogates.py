@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skytile.session import discard, ship, stored
+from skytile.session import discard, free_prefix, ship, stored
 
 ROUNDS = 6
 #: Attempts after which formatted kinds go back to their permutation; names grow with each attempt.
@@ -475,10 +475,11 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", id_col: str = "
         return pd.DataFrame([keyed.rewrite(t, [(x["kind"], x["value"], x["surrogate"]) for x in own] if own is not None else ()) for t, own in zip(texts, items)], columns=["text", "n"])
 
     # Decided values are joined as rows of (kind, value), so a hot one may be split; a text gets its own few.
-    items = find(docs, text_col, row).join(decided, ["kind", "value"]).groupBy(F.col("key").alias("_pii_key")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("_pii_items"))
-    out = docs.withColumn("_pii_row", row).join(items, F.col("_pii_row") == F.col("_pii_key"), "left").withColumn("_pii", renamed(docs[text_col], F.col("_pii_items")))
-    keep = [F.col("_pii.text").alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_entities"]
-    return out.select(*keep, F.col("_pii.n").alias("n_entities"))
+    p = free_prefix(docs, start="pii")
+    items = find(docs, text_col, row).join(decided, ["kind", "value"]).groupBy(F.col("key").alias(f"{p}key")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias(f"{p}items"))
+    out = docs.withColumn(f"{p}row", row).join(items, F.col(f"{p}row") == F.col(f"{p}key"), "left").withColumn(f"{p}new", renamed(F.col(text_col), F.col(f"{p}items")))
+    keep = [F.col(f"{p}new.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
+    return out.select(*keep, F.col(f"{p}new.n").alias("n_entities"))
 
 
 #: For runs without a key of their own, such as checks: the setting ``spark.skytile.surrogates.key`` takes its place.
