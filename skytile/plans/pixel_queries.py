@@ -204,10 +204,11 @@ def _(t):
     return raster.background_windows(w, t.gt_boxes, region, _blocks(t, 16), 16).select("image_id", "win_id")
 
 
-@query("d17_parent_of_good_parts", "with b as (select image_id, box_id, cast((box_id*7) % 50 as int) x0, cast((box_id*3) % 5 as int) y0, label from {gt_boxes} where image_id < 20), s as (select b.image_id, box_id, min(val) lo, max(val) hi, avg(case when val <> 0 then 1.0 else 0 end) nz from b join {pixels} p on p.image_id=b.image_id and p.x >= x0 and p.x < x0+9 and p.y >= y0 and p.y < y0+4 group by 1, 2), g as (select b.image_id, bool_and(label = 2) all2, bool_and(coalesce(hi > lo and nz > 0.5, false)) good, min(x0) xmin, min(y0) ymin, max(x0+9) xmax, max(y0+4) ymax from b left join s using (image_id, box_id) group by 1) select image_id, greatest(0, xmin-5) xmin, greatest(0, ymin-5) ymin, least(63, xmax+5) xmax, least(h-1, ymax+5) ymax, 1 as label from g join (select image_id, cast(max(y)+1 as int) h from {pixels} group by 1) z using (image_id) where good")
+@query("d17_parent_of_good_parts", "with b as (select image_id, box_id, cast(box_id % 300 as int) tile_id, cast((box_id*7) % 50 as int) x0, cast((box_id*3) % 5 as int) y0, label from {gt_boxes}), s as (select b.image_id, box_id, min(val) lo, max(val) hi, avg(case when val <> 0 then 1.0 else 0 end) nz from b join {pixels} p on p.image_id=b.image_id and p.x >= x0 and p.x < x0+9 and p.y >= y0 and p.y < y0+4 group by 1, 2), g as (select b.image_id, tile_id, bool_and(label = 2) all2, bool_and(coalesce(hi > lo and nz > 0.5, false)) good, min(x0) xmin, min(y0) ymin, max(x0+9) xmax, max(y0+4) ymax from b left join s using (image_id, box_id) group by 1, 2) select image_id, tile_id, greatest(0, xmin-5) xmin, greatest(0, ymin-5) ymin, least(63, xmax+5) xmax, least(h-1, ymax+5) ymax, 1 as label from g join (select image_id, cast(max(y)+1 as int) h from {pixels} group by 1) z using (image_id) where good and all2")
 def _(t):
-    """Per patch whose parts all have content: the box about them, grown by five pixels and clipped. (No label test here, so that there are rows.)"""
+    """Per patch whose parts are all of class 2 and have content: the box about them, grown by five pixels and clipped. Each image is 300 patches' picture."""
     ship(t.spark)
-    tiles = _tiles(t)
-    parts = t.gt_boxes.where("image_id < 20").select("image_id", F.lit(0).alias("tile_id"), "box_id", ((F.col("box_id") * 7) % 50).cast("int").alias("xmin"), ((F.col("box_id") * 3) % 5).cast("int").alias("ymin")).withColumn("xmax", F.col("xmin") + 9).withColumn("ymax", F.col("ymin") + 4)
-    return raster.parent_boxes(tiles, parts.withColumn("label", F.lit(2))).select("image_id", *spatial.BOX, "label")
+    tiles = _tiles(t).withColumn("tile_id", F.explode(F.sequence(F.lit(0), F.lit(299))))
+    parts = t.gt_boxes.select("image_id", (F.col("box_id") % 300).cast("int").alias("tile_id"), "box_id", ((F.col("box_id") * 7) % 50).cast("int").alias("xmin"), ((F.col("box_id") * 3) % 5).cast("int").alias("ymin"), "label")
+    parts = parts.withColumn("xmax", F.col("xmin") + 9).withColumn("ymax", F.col("ymin") + 4)
+    return raster.parent_boxes(tiles, parts).select("image_id", "tile_id", *spatial.BOX, "label")

@@ -119,6 +119,12 @@ def _(t):
     return _with_raster(t, t.gt_boxes).select((px == F.col("xmin") + 1).cast("long").alias("m")).agg(F.count("*").alias("n"), F.sum("m").alias("moved"))
 
 
+@query("b2_without_projection", "select image_id, box_id, label, printf('POLYGON ((%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f))', k*(gt0+(xmin+.5)*gt1), k*(gt3+(ymin+.5)*gt5), k*(gt0+(xmax+.5)*gt1), k*(gt3+(ymin+.5)*gt5), k*(gt0+(xmax+.5)*gt1), k*(gt3+(ymax+.5)*gt5), k*(gt0+(xmin+.5)*gt1), k*(gt3+(ymax+.5)*gt5), k*(gt0+(xmin+.5)*gt1), k*(gt3+(ymin+.5)*gt5)) wkt from (select *, case when is_invalid then cast(0.013888889 as double) else cast(1 as double) end k from {gt_boxes} join {rasters} using (image_id)) q")
+def _(t):
+    """Map geometry of scenes of which some have no projection."""
+    return annotations.map_geometry(_with_raster(t, t.gt_boxes), ~F.col("is_invalid")).drop("score")
+
+
 @query("b3_rebase", "select b.image_id, b.box_id, round(n.gt0+((r.gt0+(xmin+.5)*r.gt1-r.gt0)/r.gt1+.5)*n.gt1, 6) x, round(n.gt3+((r.gt3+(ymin+.5)*r.gt5-r.gt3)/r.gt5+.5)*n.gt5, 6) y from {gt_boxes} b join {rasters} r using (image_id) join (select image_id-1 image_id, gt0, gt1, gt3, gt5 from {rasters}) n using (image_id)")
 def _(t):
     """Map coordinates of a scene rebuilt with the transform of another (the next one)."""

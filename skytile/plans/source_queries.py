@@ -26,6 +26,15 @@ def _(t):
     return annotations.ring_boxes(rings).select("prefix", "image_id", "label", *spatial.BOX)
 
 
+@query("a10_line_regions", "select prefix, label, 2 n_points, xmin+1 x0, ymin+1 y0, xmax+1 x1, ymax+1 y1 from {gt_boxes} join {rasters} using (image_id)")
+def _(t):
+    """Lines written as line strings of regions and read back in pixels, a pixel further."""
+    docs = annotations.roi_xml(_with_raster(t, t.gt_boxes), NAMES, is_line=True).join(t.rasters.select("image_id", "prefix"), "image_id")
+    lines = annotations.read_roi_lines(t.spark, annotations.write_by_prefix(docs, f"{scratch(t.spark)}/lines"))
+    lines = annotations.rings_to_pixels(lines, t.rasters)
+    return lines.select("prefix", "label", F.size("ring").alias("n_points"), *[F.col("ring")[i][c].alias(f"{c}{i}") for i in (0, 1) for c in "xy"])
+
+
 @query("a2_roi_polygons", "select prefix, label, 5 n_points, xmax+1 x1, ymin+1 y1, xmin+1 x3, ymax+1 y3, xmin+1 x4, ymin+1 y4 from {gt_boxes} join {rasters} using (image_id)")
 def _(t):
     rings = annotations.rings_to_pixels(annotations.read_roi_xml(t.spark, _roi(t, "roi")), t.rasters)

@@ -45,6 +45,13 @@ def read_roi_xml(spark: SparkSession, path: str, labels: dict[str, int] | None =
     return _ringed(rows, labels)
 
 
+def read_roi_lines(spark: SparkSession, path: str, labels: dict[str, int] | None = None) -> DataFrame:
+    """As ``read_roi_xml``, for the line strings of the regions; ``ring`` is the line's points."""
+    r = spark.read.format("xml").option("rowTag", "Region").schema(ROI_SCHEMA).load(path)
+    text = F.transform(F.coalesce("GeometryDef.LineString", F.array().cast("array<struct<Coordinates:string>>")), lambda p: p["Coordinates"])
+    return _ringed(r.select(_file_prefix(r).alias("prefix"), F.col("_name").alias("region"), F.posexplode(text).alias("pos", "text")), labels)
+
+
 def read_roi_documents(spark: SparkSession, path: str, labels: dict[str, int] | None = None) -> DataFrame:
     """As ``read_roi_xml``, but ``pos`` counts the coordinate elements of a whole document, as score files do."""
     r = spark.read.format("xml").option("rowTag", "RegionsOfInterest").schema(f"Region array<struct<{', '.join(ROI_FIELDS)}>>").load(path)
@@ -178,21 +185,33 @@ def read_yolo(spark: SparkSession, path: str, size: int = 1024) -> DataFrame:
     return t.select("file", "cls", (px["xc"] - half("w")).alias("xmin"), (px["yc"] - half("h")).alias("ymin"), (px["xc"] + half("w")).alias("xmax"), (px["yc"] + half("h")).alias("ymax"))
 
 
-def roi_xml(boxes: DataFrame, names: list[str]) -> DataFrame:
-    """(image_id, value): an ROI document per image, a Region per class with any box. boxes carry gt0..gt5 and label from 1."""
+def roi_xml(boxes: DataFrame, names: list[str], is_line: bool = False) -> DataFrame:
+    """(image_id, value): an ROI document per image, a Region per class with any box. boxes carry gt0..gt5 and label from 1.
+
+    With ``is_line`` a box is the line from its first to its last corner.
+    """
     ring = box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))
+    opening, closing = "<Polygon><Exterior><LinearRing><Coordinates>", "</Coordinates></LinearRing></Exterior></Polygon>"
+    if is_line:
+        ring, opening, closing = F.array(ring[0], ring[2]), "<LineString><Coordinates>", "</Coordinates></LineString>"
     text = F.array_join(F.transform(ring, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), " ")
-    polygon = F.concat(F.lit("<Polygon><Exterior><LinearRing><Coordinates>"), text, F.lit("</Coordinates></LinearRing></Exterior></Polygon>"))
-    per = boxes.select("image_id", "label", F.struct("box_id", polygon.alias("p")).alias("s")).groupBy("image_id", "label").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    shape = F.concat(F.lit(opening), text, F.lit(closing))
+    per = boxes.select("image_id", "label", F.struct("box_id", shape.alias("p")).alias("s")).groupBy("image_id", "label").agg(F.array_sort(F.collect_list("s")).alias("s"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("label"))
     region = F.concat(F.lit('<Region name="'), name, F.lit('"><GeometryDef>'), F.array_join(F.transform("s", lambda x: x["p"]), ""), F.lit("</GeometryDef></Region>"))
     doc = per.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", region.alias("r")))).alias("r"))
     return doc.select("image_id", F.concat(F.lit("<RegionsOfInterest>"), F.array_join(F.transform("r", lambda x: x["r"]), ""), F.lit("</RegionsOfInterest>")).alias("value"))
 
 
-def map_geometry(boxes: DataFrame) -> DataFrame:
-    """Boxes as map-coordinate WKT with their score (.999 where there is none)."""
+#: Degrees of a pixel where a scene has no projection (fixed value).
+NO_PROJECTION = 0.013888889
+
+
+def map_geometry(boxes: DataFrame, projected: Column | None = None) -> DataFrame:
+    """Boxes as map-coordinate WKT with their score (.999 where there is none); scenes that are not ``projected`` have scaled coordinates."""
     ring = box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))
+    if projected is not None:
+        ring = F.when(projected, ring).otherwise(F.transform(ring, lambda p: point(p["x"] * NO_PROJECTION, p["y"] * NO_PROJECTION)))
     score = F.col("score") if "score" in boxes.columns else F.lit(0.999)
     return boxes.select("image_id", "box_id", "label", ring_wkt(ring).alias("wkt"), F.coalesce(score, F.lit(0.999)).alias("score"))
 
