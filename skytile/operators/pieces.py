@@ -24,14 +24,14 @@ def array_of(data: bytes, h: int, w: int, bands: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(h, w, bands)
 
 
-def _rows(batches):
+def rows_of(batches):
     """Rows of Arrow batches as dictionaries, one at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
-def _sent(rows, schema: pa.Schema, limit: int = HELD_BYTES):
+def sent(rows, schema: pa.Schema, limit: int = HELD_BYTES):
     """Rows (tuples) as Arrow batches of bounded bytes."""
     held, size = [], 0
     for row in rows:
@@ -62,7 +62,7 @@ def window_pieces(windows: DataFrame, blocks: DataFrame, block: int) -> DataFram
 
     def cut(batches):
         def each():
-            for r in _rows(batches):
+            for r in rows_of(batches):
                 a = array_of(r["data"], r["h"], r["w"], r["bands"])
                 for v in r["wins"]:
                     x0, y0 = max(r["x0"], v["wx"]), max(r["y0"], v["wy"])
@@ -71,7 +71,7 @@ def window_pieces(windows: DataFrame, blocks: DataFrame, block: int) -> DataFram
                         part = a[y0 - r["y0"] : y1 - r["y0"], x0 - r["x0"] : x1 - r["x0"]]
                         yield r["image_id"], v["win_id"], v["ww"], v["wh"], x0 - v["wx"], y0 - v["wy"], x1 - x0, y1 - y0, r["bands"], part.tobytes()
 
-        yield from _sent(each(), kinds)
+        yield from sent(each(), kinds)
 
     met = lists.join(blocks, key).select("image_id", "x0", "y0", "w", "h", "bands", "data", "wins")
     return met.mapInArrow(cut, "image_id long, win_id long, ww int, wh int, px int, py int, pw int, ph int, bands int, data binary")
@@ -160,7 +160,7 @@ def mosaic_pieces(sources: DataFrame, size: int, nodata: int | None = None, by:
             if kinds is None:
                 own = [batch.schema.field(c) for c in by]
                 kinds = pa.schema([*own, *[(c, pa.int32()) for c in ("tx", "ty", "x", "y", "w", "h", "bands")], ("orders", pa.list_(pa.int64())), ("data", pa.binary()), ("which", pa.binary())])
-            for r in _rows([batch]):
+            for r in rows_of([batch]):
                 a = array_of(r["data"], r["h"], r["w"], r["bands"])
                 for ty in range(r["y0"] // size, (r["y0"] + r["h"] - 1) // size + 1):
                     for tx in range(r["x0"] // size, (r["x0"] + r["w"] - 1) // size + 1):
@@ -170,10 +170,10 @@ def mosaic_pieces(sources: DataFrame, size: int, nodata: int | None = None, by:
                         held.setdefault((*(r[c] for c in by), tx, ty), []).append((x0 - tx * size, y0 - ty * size, part, [r["order"]], None))
                 count += a.size
                 if count >= held_bytes:
-                    yield from _sent(all_held(), kinds)
+                    yield from sent(all_held(), kinds)
                     held, count = {}, 0
         if held:
-            yield from _sent(all_held(), kinds)
+            yield from sent(all_held(), kinds)
 
     own = sources.select(*by, F.col("order").cast("long").alias("order"), *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "w", "h", "bands")], "data").where("w > 0 and h > 0")
     return own.mapInArrow(cut, spark_kinds)
@@ -197,7 +197,7 @@ def mosaic(sources: DataFrame, size: int, nodata: int | None = None, by: list[st
             for batch in batches:
                 if schema is None:
                     schema = pa.schema([*[batch.schema.field(c) for c in key], ("w", pa.int32()), ("h", pa.int32()), ("bands", pa.int32()), ("data", pa.binary())])
-                for r in _rows([batch]):
+                for r in rows_of([batch]):
                     own = tuple(r[c] for c in key)
                     if own != now:
                         if canvas is not None:
@@ -210,7 +210,7 @@ def mosaic(sources: DataFrame, size: int, nodata: int | None = None, by: list[st
 
         rows = tiles()
         for first in rows:  # the schema is known with the first row
-            yield from _sent((r for part in ([first], rows) for r in part), schema)
+            yield from sent((r for part in ([first], rows) for r in part), schema)
 
     return dealt(pieces, *key).sortWithinPartitions(*key).mapInArrow(fill, kinds)
 
@@ -255,12 +255,12 @@ def pyramid_pixels(tiles: DataFrame, levels: int, size: int, how: str = "near")
 
     def halve(batches):
         def each():
-            for r in _rows(batches):
+            for r in rows_of(batches):
                 a = halved(array_of(r["data"], r["h"], r["w"], r["bands"]), how)
                 if a.size:
                     yield r["image_id"], r["key"], a.shape[1], a.shape[0], r["bands"], a.tobytes()
 
-        yield from _sent(each(), kinds)
+        yield from sent(each(), kinds)
 
     def paste(pdf: pd.DataFrame) -> pd.DataFrame:
         place = [((k & 1) * (size // 2), (k >> 1 & 1) * (size // 2)) for k in pdf["key"].tolist()]
@@ -305,7 +305,7 @@ def turned_pixels(windows: DataFrame, blocks: DataFrame, block: int, how: str =
 
     def turn(batches):
         def each():
-            for r in _rows(batches):
+            for r in rows_of(batches):
                 a = array_of(r["data"], r["h"], r["w"], r["bands"])
                 w, h, g = r["tw"], r["th"], np.deg2rad(r["degrees"])
                 u, v = np.meshgrid(np.arange(w) + 0.5 - w / 2, np.arange(h) + 0.5 - h / 2)
@@ -315,7 +315,7 @@ def turned_pixels(windows: DataFrame, blocks: DataFrame, block: int, how: str =
                 out = sampled(a, x, y, how)
                 yield r["image_id"], r["win_id"], w, h, r["bands"], out.tobytes()
 
-        yield from _sent(each(), kinds)
+        yield from sent(each(), kinds)
 
     return cut.mapInArrow(turn, "image_id long, win_id long, w int, h int, bands int, data binary")
 
@@ -372,20 +372,20 @@ def tile_histograms(tiles: DataFrame) -> DataFrame:
     def count(batches):
         def each():
             now, held = None, None
-            for r in _rows(batches):
+            for r in rows_of(batches):
                 if (r["image_id"], r["bands"]) != now:
-                    yield from rows_of(now, held)
+                    yield from counts_of(now, held)
                     now, held = (r["image_id"], r["bands"]), np.zeros((r["bands"], 256), np.int64)
                 a = array_of(r["data"], r["h"], r["w"], r["bands"])
                 for b in range(r["bands"]):
                     held[b] += np.bincount(a[..., b].ravel(), minlength=256)
-            yield from rows_of(now, held)
+            yield from counts_of(now, held)
 
-        def rows_of(now, held):
+        def counts_of(now, held):
             if held is not None:
                 yield from ((now[0], int(b), int(v), int(held[b, v])) for b, v in zip(*np.nonzero(held)))
 
-        yield from _sent(each(), kinds)
+        yield from sent(each(), kinds)
 
     counted = tiles.select("image_id", "w", "h", "bands", "data").mapInArrow(count, "image_id long, band int, val int, n long")
     return counted.groupBy("image_id", "band", "val").agg(F.sum("n").alias("n"))

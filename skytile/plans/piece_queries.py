@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from skytile.operators import pieces, sampling, scene
-from skytile.plans.queries import _blocks, _lines, query
+from skytile.plans.queries import _blocks, _lines, _tiles, query
 from skytile.session import ship
 
 
@@ -110,3 +112,22 @@ def _(t):
         return pd.Series([int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in d], dtype="int64")
 
     return got.groupBy(F.col("pair_id").alias("draw"), "image_id").agg(F.sum(total("data")).alias("total"))
+
+
+FG = "(select * from (values (0, 8, 4), (1, 6, 6), (2, 10, 3)) f(fg_id, fw, fh))"
+ON_MASK = f"""with i as (select distinct image_id, 20 + image_id % 20 as cx, 10 as cy, ((((image_id*48271+11)%2147483647)*48271+11)%2147483647*48271+11)%2147483647 % 3 as fg_id from {{pixels}}),
+p as (select image_id, fw, fh, cx - fw//2 as x, cy - fh//2 as y from i join {FG} using (fg_id)),
+b as (select 1 as box_id, 3 as label, 1 as xmin, 1 as ymin, 90 as xmax, 90 as ymax union all select 2, 4, 2, 1, 4, 3)
+select image_id, 0 as slot, box_id, label, cast(greatest(1, xmin)+x as int) xmin, cast(greatest(1, ymin)+y as int) ymin, cast(least(fw-1, xmax)+x as int) xmax, cast(least(fh-1, ymax)+y as int) ymax from p, b"""
+
+
+@query("j12_boxes_on_masks", ON_MASK)
+def _(t):
+    """Foregrounds placed on masks of one pixel, where SQL can follow, and their boxes there; drawn places and turned ones are tested by pixels."""
+    ship(t.spark)
+    one = F.col("x").eqNullSafe((20 + F.col("image_id") % 20).cast("int")) & (F.col("y") == 10)
+    marked = SimpleNamespace(pixels=t.pixels.withColumn("val", F.when(one, 1).otherwise(0)))
+    tiles = _tiles(marked).withColumn("angles", F.lit(None).cast("binary"))
+    fgs = t.spark.createDataFrame([(0, 8, 4), (1, 6, 6), (2, 10, 3)], "fg_id long, fw int, fh int")
+    boxes = fgs.select("fg_id", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("box_id", "label", "xmin", "ymin", "xmax", "ymax"), row)]) for row in ((1, 3, 1, 1, 90, 90), (2, 4, 2, 1, 4, 3))])))
+    return scene.moved_boxes(scene.masked_plan(tiles, fgs), boxes, fgs).drop("tile_id")
