@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skytile.functions.geo import hashed
+from skytile.functions.geo import clamp_window, hashed
 from skytile.session import stored
 
 M = 2147483647
@@ -123,3 +123,30 @@ def spatial_cut(boxes: DataFrame) -> DataFrame:
     at = F.least(F.floor(F.col("n") * 8 / 10), F.col("n") - 2)
     cut = v.where(F.col("i") == at).select("image_id", F.floor((F.col("v") + F.col("next")) / 2).alias("cut"))
     return axis.join(cut, "image_id", "left").select("image_id", F.when(F.col("along_x"), "x").otherwise("y").alias("axis"), "cut")
+
+
+def point_windows(points: DataFrame, halves: list[int] = [512, 1024, 2048], seed: int = 0) -> DataFrame:
+    """Points (image_id, x, y, width, height, ..) with a window about each, ``halves`` drawn for either side, kept inside the raster: x0, y0, w, h."""
+    options = F.array(*[F.lit(h) for h in halves])
+    half = lambda s: F.get(options, (hashed(F.col("image_id"), F.col("x"), F.col("y"), seed=seed + s) % len(halves)).cast("int"))
+    p = points.withColumn("ex", half(0)).withColumn("ey", half(1))
+    w = clamp_window(F.col("x") - F.col("ex"), F.col("y") - F.col("ey"), 2 * F.col("ex"), 2 * F.col("ey"), F.col("width"), F.col("height"))
+    return p.select(*points.columns, *[w[c].alias(c) for c in ("x0", "y0", "w", "h")])
+
+
+def drawn_crops(boxes: DataFrame, times: int = 3, labels: int = 3, least: int = 600, most: int = 1024, seed: int = 0) -> DataFrame:
+    """``times`` crops about each box of class up to ``labels``: (image_id, box_id, copy, x0, y0, w, h).
+
+    A side is drawn between one and a half and two sides of the box, at least ``least`` and up to ``most``, and the box's place in
+    it is drawn, too; crops start at 1 at the earliest and are cut at the raster's end. boxes carry width and height.
+    """
+    b = boxes.where(F.col("label") <= labels).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    draw = lambda s: hashed(F.col("box_id"), F.col("copy"), seed=seed + s)
+    out = {}
+    for k, (lo, hi, start, size, whole) in enumerate((("xmin", "xmax", "x0", "w", "width"), ("ymin", "ymax", "y0", "h", "height"))):
+        side = F.col(hi) - F.col(lo)
+        low, high = F.greatest(F.floor(side * 1.5), F.lit(least)), F.greatest(side * 2, F.lit(most))
+        drawn = low + draw(2 * k) % (high - low)
+        first = F.greatest(F.lit(1), F.col(lo) - draw(2 * k + 1) % (drawn - side))
+        out[start], out[size] = first, F.least(drawn, F.col(whole) - first)
+    return b.select("image_id", "box_id", "copy", *[c.cast("int").alias(n) for n, c in out.items()])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from skytile.operators import pieces, sampling, scene
-from skytile.plans.queries import _blocks, _lines, _tiles, query
+from skytile.plans.queries import _blocks, _lines, _tiles, _with_raster, query
 from skytile.session import ship
 
 
@@ -131,3 +131,32 @@ def _(t):
     fgs = t.spark.createDataFrame([(0, 8, 4), (1, 6, 6), (2, 10, 3)], "fg_id long, fw int, fh int")
     boxes = fgs.select("fg_id", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("box_id", "label", "xmin", "ymin", "xmax", "ymax"), row)]) for row in ((1, 3, 1, 1, 90, 90), (2, 4, 2, 1, 4, 3))])))
     return scene.moved_boxes(scene.masked_plan(tiles, fgs), boxes, fgs).drop("tile_id")
+
+
+def _h(seed: int, *parts: str) -> str:
+    """SQL of ``geo.hashed``."""
+    h = str(seed)
+    for p in parts:
+        h = f"((({h} + {p} % 2147483647) * 48271 + 11) % 2147483647)"
+    return h
+
+
+def _side(lo: str, hi: str, start: str, size: str, whole: str, k: int) -> str:
+    side = f"({hi}-{lo})"
+    low, high = f"greatest(cast(floor({side}*1.5) as bigint), 600)", f"greatest({side}*2, 1024)"
+    drawn = f"({low} + {_h(2 * k, 'box_id', 'copy')} % ({high} - {low}))"
+    return f"cast(greatest(1, {lo} - {_h(2 * k + 1, 'box_id', 'copy')} % ({drawn} - {side})) as int) {start}, {drawn} d{size}"
+
+
+@query("i5_drawn_crops", f"with c as (select *, i as copy from {{gt_boxes}} join {{rasters}} using (image_id), range(0,3) t(i) where label <= 3), d as (select *, {_side('xmin', 'xmax', 'x0', 'w', 'width', 0)}, {_side('ymin', 'ymax', 'y0', 'h', 'height', 1)} from c) select image_id, box_id, cast(copy as int) as copy, x0, y0, cast(least(dw, width-x0) as int) w, cast(least(dh, height-y0) as int) h from d")
+def _(t):
+    """Three crops about each box of the first three classes, of drawn size and with the box at a drawn place."""
+    return sampling.drawn_crops(_with_raster(t, t.gt_boxes))
+
+
+@query("f8_point_windows", f"with p as (select image_id, cast((xmin+xmax)//2 as bigint) x, cast((ymin+ymax)//2 as bigint) y, width, height, box_id from {{gt_boxes}} join {{rasters}} using (image_id) where label in (2,4)), e as (select *, [512,1024,2048][1 + {_h(0, 'image_id', 'x', 'y')} % 3] ex, [512,1024,2048][1 + {_h(1, 'image_id', 'x', 'y')} % 3] ey from p), s as (select *, greatest(1, x-ex) x0, greatest(1, y-ey) y0 from e) select image_id, box_id, cast(x0 as int) x0, cast(y0 as int) y0, cast(case when x0+2*ex > width-1 then width-1-x0 else 2*ex end as int) w, cast(case when y0+2*ey > height-1 then height-1-y0 else 2*ey end as int) h from s")
+def _(t):
+    """Windows about the centres of boxes of two classes, half sides drawn from 512, 1024 and 2048."""
+    middle = lambda c: F.floor((F.col(f"{c}min") + F.col(f"{c}max")) / 2).cast("long").alias(c)
+    points = _with_raster(t, t.gt_boxes.where("label in (2, 4)")).select("image_id", "box_id", middle("x"), middle("y"), "width", "height")
+    return sampling.point_windows(points).select("image_id", "box_id", "x0", "y0", "w", "h")

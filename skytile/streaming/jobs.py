@@ -64,6 +64,8 @@ def rates(results: DataFrame, how: str = "tumbling", size: str = "1 hour", slide
 def scene_results_to(path: str, totals: DataFrame):
     """A ``foreachBatch`` function: scenes are assembled below ``path``/scenes in the batch that brings their last block.
 
+    For sources whose blocks come whole, all rows of a block in one batch; ``scenes.write_scenes`` takes rows in any order and keeps state
+    instead of reading what came before.
     Rows are image_id, block and a detection, or nulls for a block without any; totals: image_id, n blocks. What came
     before is kept below ``path``/blocks, a folder for each batch, as are the results. A batch that is replayed
     writes its folders again, so nothing counts twice.
