@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skytile.llm import words as words_of
 from skytile.operators.graph import components
-from skytile.session import discard, free_prefix, ship, stored
+from skytile.session import discard, free_prefix, release, ship, stored
 
 SIZE_BLOCK = 1.1  # each block of set sizes reaches this much further than the one before
 POSITION_BLOCK = 8
@@ -187,12 +187,15 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     few = few.groupBy("digest").agg(F.first("members").alias("members")).join(classes.select("digest", "node").hint("merge"), "digest")
     asked = 1 + F.floor(F.lit(extra) * least)
     left = stored(shared_counts(few).join(classes, "node").where(F.col("m") >= asked).select("node", "digest", "first_doc"), "left")
+    del few
+    release(docs.sparkSession)  # shuffles that are done would keep their disk
 
     ids = left.select(F.col("first_doc").alias("_first_doc")).distinct()
     some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first_doc"], "left_semi")
     sets = sets_of(some, k, id_col, text_col, lambda s: s, seeds).dropDuplicates(["digest"]).join(left.select("digest", "node"), "digest")
     sets = stored(sets.select("node", "n", "members", "checks"), "sets")
     discard(left)
+    release(docs.sparkSession)
 
     members = sets.select("node", F.explode("members").alias("h"))
     counts = members.groupBy("h").agg(F.count("*").cast("int").alias("c")).where("c > 1")
@@ -202,12 +205,16 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     index = ordered.select("node", "n", "alone", F.posexplode(F.slice("o", 1, prefix)).alias("p", "e")).where(prefix > 0)
     index = stored(index.select("node", "n", F.col("e.h").alias("h"), (F.col("alone") + F.col("p")).alias("p")), "index")
 
+    del members, counts, ordered
+    release(docs.sparkSession)
+
     # Pivots: each list's set of foremost position.
     heads = index.groupBy("h").agg(F.min(F.struct("p", "n", "node")).alias("r")).select("h", F.col("r.node").alias("b"), F.col("r.n").alias("m"), F.col("r.p").alias("q"))
     star = index.join(heads, "h").where("node <> b").where(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(F.col("n"), F.col("m"), percent))
     found = stored(_verified(star.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "star")
     labels = components(found, [])
     discard(found)
+    release(docs.sparkSession)
 
     # Pairs of different components: a set visits the size and position blocks that can hold a partner.
     known = stored(index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "index")
@@ -225,6 +232,7 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     more = _verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, percent)
     every = stored(more.union(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))), "edges")
     discard(known, sets)
+    release(docs.sparkSession)
     return rows, classes, components(every, [])
 
 
