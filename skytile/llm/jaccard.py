@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join of whole documents, as components of the links.
 
 A document's set holds its distinct k-word shingles as hashes under a key drawn anew for each run; links are verified with a second
-hash under another key, 128 bits in all. Texts of the same words in the same order
+hash under another key, too, 128 bits in all, unless that is left out to save disk. Texts of the same words in the same order
 (told by a 128-bit digest) form one class, which is joined once however many copies it has. Then:
 
 1. Pruning. Linked sets share at least ``r`` of their few smallest hashes; sets that do not share that many with
@@ -167,17 +167,19 @@ def _need(n: Column, m: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked: shingles count as common only as far as both hashes say so."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"), F.col("checks").alias("x2"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"), F.col("checks").alias("y2"))
+    """The pairs (a, b) whose sets are linked: shingles count as common only as far as all their hashes say so."""
+    hashes = [c for c in ("members", "checks") if c in sets.columns]
+    left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(hashes)])
+    right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(hashes)])
     both = pairs.join(left, "a").join(right, "b")
-    common = F.least(F.size(F.array_intersect("x", "y")), F.size(F.array_intersect("x2", "y2"))).cast("long")
-    return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
+    sizes = [F.size(F.array_intersect(f"x{i}", f"y{i}")).cast("long") for i in range(len(hashes))]
+    common = sizes[0] if len(sizes) == 1 else F.least(*sizes)
+    return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x0") + F.size("y0") - F.col("i"))).select("a", "b")
 
 
-def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text", twice: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every row (doc_id, digest, n, text_md5), the classes (digest, node, first_doc, n), and the label of every node with a link to another."""
-    seeds = [os.urandom(32), os.urandom(32)]
+    seeds = [os.urandom(32) for _ in range(2 if twice else 1)]
     rows = stored(sets_of(docs, k, id_col, text_col, seeds=seeds[:1]), "rows")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -193,7 +195,7 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     ids = left.select(F.col("first_doc").alias("_first_doc")).distinct()
     some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first_doc"], "left_semi")
     sets = sets_of(some, k, id_col, text_col, lambda s: s, seeds).dropDuplicates(["digest"]).join(left.select("digest", "node"), "digest")
-    sets = stored(sets.select("node", "n", "members", "checks"), "sets")
+    sets = stored(sets.drop("digest", "doc_id"), "sets")
     discard(left)
     release(docs.sparkSession)
 
@@ -236,12 +238,12 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     return rows, classes, components(every, [])
 
 
-def labelled(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text", twice: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest document id that links lead to), text_md5 and group of every row.
 
     Components of texts that share a document id may have one component_id, but not one group.
     """
-    rows, classes, labels = links(docs, k, percent, extra, id_col, text_col)
+    rows, classes, labels = links(docs, k, percent, extra, id_col, text_col, twice)
     nodes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = nodes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     named = nodes.join(firsts, "label").select("digest", "component_id", "label")
@@ -254,12 +256,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, i
     return labelled(docs, k, percent, extra, id_col, text_col).drop("text_md5", "group")
 
 
-def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text", twice: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the smallest id's and, among its texts, that of the smallest digest.
 
-    Rows without any word are components of their own, as are rows with a null id; equal rows count once.
+    Rows without any word are components of their own, as are rows with a null id; equal rows count once. Links are verified
+    with the run's own 64-bit hashes, or, ``twice``, with 128 bits, which takes more disk.
     """
-    found = stored(labelled(docs, k, percent, extra, id_col, text_col), "labelled")
+    found = stored(labelled(docs, k, percent, extra, id_col, text_col, twice), "labelled")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     reps = found.where(~alone).groupBy("group").agg(F.min(F.struct("doc_id", "text_md5")).alias("r")).select("r.*")
     reps = reps.unionByName(found.where(alone).select("doc_id", "text_md5"))
