@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -95,18 +97,23 @@ class Vocabulary:
         return _WORD_B, lambda chunks: [ids if c != " " else alone for c, ids in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1))], held
 
     def _clear(self) -> None:
-        self.table: dict[str, int] = {}
+        self.table: dict[str, int] = defaultdict(count().__next__)  # a chunk that is looked up gets the next place
         self.first, self.count, self.good, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
         self.chars = 0
 
     def _learn(self, chunks: list[str]) -> None:
         ids = self._encode(chunks)
-        good = [b"".join([self.token_bytes[i] for i in own]) == c.encode() for own, c in zip(ids, chunks)]
-        n = np.array([len(own) for own in ids], np.int64)
-        self.table.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks))))
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+        raw = [c.encode() for c in chunks]
+        # Where all sizes agree and the bytes of all chunks together do, those of each chunk do.
+        held = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.concatenate([[0], np.cumsum(n)])]
+        good = np.diff(held) == np.fromiter(map(len, raw), np.int64, len(raw))
+        if not good.all() or b"".join(map(self.token_bytes.__getitem__, flat.tolist())) != b"".join(raw):
+            good = np.array([b"".join([self.token_bytes[i] for i in own]) == r for own, r in zip(ids, raw)], bool)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
-        self.count, self.good = np.concatenate([self.count, n]), np.concatenate([self.good, np.array(good, bool)])
-        self.flat = np.concatenate([self.flat, np.array([i for own in ids for i in own], np.int32)])
+        self.count, self.good = np.concatenate([self.count, n]), np.concatenate([self.good, good])
+        self.flat = np.concatenate([self.flat, flat])
         self.chars += sum(map(len, chunks))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,12 +124,14 @@ class Vocabulary:
             bounds.append(len(chunks))
         if len(self.table) > CHUNKS or self.chars > CHUNK_CHARS:
             self._clear()
-        entry = [self.table.get(c, -1) for c in chunks]
-        unseen = list(dict.fromkeys(c for c, e in zip(chunks, entry) if e < 0))
+        e = np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))
+        unseen = list(islice(reversed(self.table), len(self.table) - len(self.first)))[::-1]
         if unseen:
-            self._learn(unseen)
-            entry = [self.table[c] for c in chunks]
-        e = np.array(entry, np.int64)
+            try:
+                self._learn(unseen)
+            except BaseException:
+                self._clear()  # no places without ids
+                raise
         n = self.count[e]
         end = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.first[e] - end[:-1], n) + np.arange(end[-1])]

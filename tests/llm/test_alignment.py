@@ -126,3 +126,19 @@ def test_places_start_at_common_ends():
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_chunks_are_looked_up_once():
+    looked = []
+
+    class Chunk(str):
+        def __hash__(self):
+            looked.append(str(self))
+            return super().__hash__()
+
+    a = alignment.Vocabulary(PATH_A)
+    a.pattern = type("P", (), {"findall": lambda self, t: [Chunk(w) for w in (" one", " two", " one")]})()
+    a._encode = lambda chunks: [[0] for _ in chunks]
+    for _ in range(5):
+        a.encode(["one two one"])
+    assert len(looked) <= 5 * 3 + 2 * 2  # and once more for each new chunk, which is kept then
