@@ -408,6 +408,22 @@ def test_suffix_removal(spark, most, seed):
     assert sorted(map(tuple, got), key=str) == sorted(brute_removal(rows, 40), key=str)
 
 
+def test_suffix_removal_gives_texts_and_spans(spark):
+    base = "".join(random.Random(5).choice("abcd é") for _ in range(150))
+    rows = [(1, "x" * 9 + base + "y" * 9), (2, base[20:] + "z" * 50), (3, base[:60] + "-" + base[70:140]), (None, "qr" + base[90:]), (5, None), (6, "only here"), (1, "x" * 9 + base + "y" * 9)]
+    docs = spark.createDataFrame([(i, t, n, "old") for n, (i, t) in enumerate(rows)], "doc_id long, text string, own_n int, Kept string")
+    got = {r.own_n: r for r in suffixes.remove_repeats(docs, 40, span=20).collect()}
+    assert len(got) == len(rows)
+    for n, ((i, t), want) in enumerate(zip(rows, brute_removal(rows, 40))):
+        r, data = got[n], (t or "").encode()
+        gone = bytearray(len(data))
+        for s in r.spans:
+            gone[s.start : s.start + s.length] = b"\1" * s.length
+        assert (r.doc_id, r.text, bytes(r.kept)) == (i, t, bytes(x for x, g in zip(data, gone) if not g))
+        assert (i, len(data), sum(s.length for s in r.spans), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(r.kept).hexdigest()) == want and len(r.spans) == want[3]
+    assert any(s.start for r in got.values() for s in r.spans) and not got[5].spans and bytes(got[5].kept) == b"only here"
+
+
 def test_suffix_removal_of_nothing(spark):
     assert suffixes.dedup(docs_of(spark, [])).count() == 0
 
