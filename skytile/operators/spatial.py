@@ -46,7 +46,8 @@ def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str] = ["image_id"], cell
         right = right.withColumn("own", _level("b_", cell)).withColumn("level", F.explode(F.array_union(F.array("own"), on_a))).where(F.col("level") >= own)
         right = right.withColumn("tag", F.explode(F.when((F.col("level") == own) & (F.array_min(on_a) < own), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("own")
         side, keys = F.pow(F.lit(2.0), F.col("level")), [*keys, "level", "tag"]
-    pairs = _posted(left, "a_", side).join(_posted(right, "b_", side), keys)
+    # By shuffle at every size: the optimizer takes posted boxes and exploded tiles for as few as their source's rows and would broadcast them.
+    pairs = _posted(left, "a_", side).join(_posted(right, "b_", side).hint("merge"), keys)
     owner = (F.col("cx") == F.floor(F.greatest("a_xmin", "b_xmin") / side)) & (F.col("cy") == F.floor(F.greatest("a_ymin", "b_ymin") / side))
     inter = intersection("a_", "b_", inclusive)
     return pairs.where(owner & (inter > 0)).drop("cx", "cy", *(["level", "tag"] if levels else [])).withColumn("inter", inter).withColumn("iou", iou("a_", "b_", inclusive))
