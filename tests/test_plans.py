@@ -23,6 +23,6 @@ def exploded_broadcasts(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["c1_tile_boxes"])
+@pytest.mark.parametrize("name", ["c1_tile_boxes", "c7_covered_share"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     assert exploded_broadcasts(QUERIES[name](spark, SF)) == []
