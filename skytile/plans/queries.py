@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skytile.functions import geo
 from skytile.operators import evaluate, graph, raster, sampling, sequence, spatial, tiling
 from skytile.plans.fixtures import Tables, oracle
-from skytile.session import ship
+from skytile.session import release, ship, stored
 from skytile.sources import annotations
 from skytile.streaming import jobs
 
@@ -244,14 +244,21 @@ def _(t):
     return spatial.tile_boxes(tiling.grid(t.rasters), t.gt_boxes).select("image_id", "tile_id", "box_id", "label", *spatial.BOX, "kept")
 
 
+def clipped(t: Tables) -> DataFrame:
+    """Boxes clipped to the tiles of their scene, stored, as what drops some of them reads them several times."""
+    k = stored(spatial.tile_boxes(tiling.grid(t.rasters), t.gt_boxes), "clipped")
+    release(t.spark)  # the join's shuffles would keep their disk
+    return k
+
+
 @query("c2_without_rejected", f"with {CLIP} select image_id, tile_id, box_id from k a where kept and not exists (select 1 from k b where not b.kept and a.image_id=b.image_id and a.tile_id=b.tile_id and {TOUCH})")
 def _(t):
-    return spatial.drop_touching_rejected(spatial.tile_boxes(tiling.grid(t.rasters), t.gt_boxes)).select("image_id", "tile_id", "box_id")
+    return spatial.drop_touching_rejected(clipped(t)).select("image_id", "tile_id", "box_id")
 
 
 @query("c3_not_inside_rejected", f"with {CLIP} select image_id, tile_id, box_id from k a where kept and not exists (select 1 from k b where not b.kept and a.image_id=b.image_id and a.tile_id=b.tile_id and {TOUCH} and a.xmin >= b.xmin and a.ymin >= b.ymin and a.xmax <= b.xmax and a.ymax <= b.ymax) and exists (select 1 from k b where b.kept and b.label=3 and a.image_id=b.image_id and a.tile_id=b.tile_id)")
 def _(t):
-    k = spatial.tile_boxes(tiling.grid(t.rasters), t.gt_boxes)
+    k = clipped(t)
     wanted = k.where("kept and label = 3").select("image_id", "tile_id").distinct()
     return spatial.drop_touching_rejected(k, contain=True).join(wanted, ["image_id", "tile_id"], "left_semi").select("image_id", "tile_id", "box_id")
 
