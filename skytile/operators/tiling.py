@@ -63,5 +63,6 @@ def split_evenly(windows: DataFrame, part: int = 1024) -> DataFrame:
 
 def to_scene(detections: DataFrame, tiles: DataFrame) -> DataFrame:
     """Tile detections in scene coordinates: the tile's origin is added. Join on (image_id, tile_id)."""
-    j = detections.join(tiles.select("image_id", "tile_id", "x0", "y0"), ["image_id", "tile_id"])
+    # By shuffle at every size: exploded tiles are many more than the optimizer takes them for.
+    j = detections.join(tiles.select("image_id", "tile_id", "x0", "y0").hint("merge"), ["image_id", "tile_id"])
     return j.select(*[(F.col(c) + F.col("x0" if c[0] == "x" else "y0")).alias(c) if c in ("xmin", "ymin", "xmax", "ymax") else F.col(c) for c in detections.columns])
