@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hashes = [c for c in ("members", "checks") if c in sets.columns]
     left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(hashes)])
     right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(hashes)])
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     sizes = [F.size(F.array_intersect(f"x{i}", f"y{i}")).cast("long") for i in range(len(hashes))]
     common = sizes[0] if len(sizes) == 1 else F.least(*sizes)
     return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x0") + F.size("y0") - F.col("i"))).select("a", "b")
@@ -185,23 +185,24 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     least = F.ceil(percent * F.col("n") / F.lit(100)).cast("long")
     few = sets_of(docs, k, id_col, text_col, lambda s: s[: _lost(len(s), percent) + 1 + int(extra * len(s))], seeds[:1]).where("n > 0")
-    # By shuffle at every size: classes grow with the table, so they are never broadcast.
+    # By shuffle at every size, here and below: classes and exploded sets grow with the table and are more than the optimizer takes
+    # them for, so they are never broadcast.
     few = few.groupBy("digest").agg(F.first("members").alias("members")).join(classes.select("digest", "node").hint("merge"), "digest")
     asked = 1 + F.floor(F.lit(extra) * least)
-    left = stored(shared_counts(few).join(classes, "node").where(F.col("m") >= asked).select("node", "digest", "first_doc"), "left")
+    left = stored(shared_counts(few).join(classes.hint("merge"), "node").where(F.col("m") >= asked).select("node", "digest", "first_doc"), "left")
     del few
     release(docs.sparkSession)  # shuffles that are done would keep their disk
 
     ids = left.select(F.col("first_doc").alias("_first_doc")).distinct()
     some = docs.join(ids.hint("merge"), docs[id_col].cast("long") == ids["_first_doc"], "left_semi")
-    sets = sets_of(some, k, id_col, text_col, lambda s: s, seeds).dropDuplicates(["digest"]).join(left.select("digest", "node"), "digest")
+    sets = sets_of(some, k, id_col, text_col, lambda s: s, seeds).dropDuplicates(["digest"]).join(left.select("digest", "node").hint("merge"), "digest")
     sets = stored(sets.drop("digest", "doc_id"), "sets")
     discard(left)
     release(docs.sparkSession)
 
     members = sets.select("node", F.explode("members").alias("h"))
     counts = members.groupBy("h").agg(F.count("*").cast("int").alias("c")).where("c > 1")
-    ordered = members.join(counts, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o")).join(sets.select("node", "n"), "node")
+    ordered = members.join(counts.hint("merge"), "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o")).join(sets.select("node", "n").hint("merge"), "node")
     ordered = ordered.withColumn("alone", F.col("n") - F.size("o"))
     prefix = F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - F.col("alone")).cast("int")
     index = ordered.select("node", "n", "alone", F.posexplode(F.slice("o", 1, prefix)).alias("p", "e")).where(prefix > 0)
@@ -212,24 +213,24 @@ def links(docs: DataFrame, k: int, percent: int, extra: float = EXTRA, id_col: s
 
     # Pivots: each list's set of foremost position.
     heads = index.groupBy("h").agg(F.min(F.struct("p", "n", "node")).alias("r")).select("h", F.col("r.node").alias("b"), F.col("r.n").alias("m"), F.col("r.p").alias("q"))
-    star = index.join(heads, "h").where("node <> b").where(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(F.col("n"), F.col("m"), percent))
+    star = index.join(heads.hint("merge"), "h").where("node <> b").where(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(F.col("n"), F.col("m"), percent))
     found = stored(_verified(star.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "star")
     labels = components(found, [])
     discard(found)
     release(docs.sparkSession)
 
     # Pairs of different components: a set visits the size and position blocks that can hold a partner.
-    known = stored(index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "index")
+    known = stored(index.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "index")
     discard(index)
     mixed = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    open_lists = known.join(mixed, "h", "left_semi")
+    open_lists = known.join(mixed.hint("merge"), "h", "left_semi")
     size_block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_BLOCK))).cast("int")
     held = open_lists.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("label").alias("label_b")).withColumn("size_block", size_block(F.col("m"))).withColumn("position_block", F.floor(F.col("q") / POSITION_BLOCK).cast("int"))
     top = F.floor(100 * F.col("n") / F.lit(percent))
     asks = open_lists.withColumn("size_block", F.explode(F.sequence(size_block(F.col("n")), size_block(top))))
     # A partner of size m >= n leaves at most m - need(n, m) positions before the first common shingle.
     asks = asks.withColumn("position_block", F.explode(F.sequence(F.lit(0), F.floor((top - _need(F.col("n"), top, percent) + 1) / POSITION_BLOCK).cast("int"))))
-    pairs = asks.join(held, ["h", "size_block", "position_block"]).where("label <> label_b and (n < m or n = m and node < b)")
+    pairs = asks.join(held.hint("merge"), ["h", "size_block", "position_block"]).where("label <> label_b and (n < m or n = m and node < b)")
     pairs = pairs.where(F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(F.col("n"), F.col("m"), percent))
     more = _verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, percent)
     every = stored(more.union(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))), "edges")
@@ -244,11 +245,11 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTR
     Components of texts that share a document id may have one component_id, but not one group.
     """
     rows, classes, labels = links(docs, k, percent, extra, id_col, text_col, twice)
-    nodes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = classes.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = nodes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    named = nodes.join(firsts, "label").select("digest", "component_id", "label")
+    named = nodes.join(firsts.hint("merge"), "label").select("digest", "component_id", "label")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_md5", F.col("label").alias("group"))
+    return rows.join(named.hint("merge"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_md5", F.col("label").alias("group"))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

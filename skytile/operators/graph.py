@@ -98,10 +98,10 @@ def components(edges: DataFrame, by: list[str]) -> DataFrame:
     both = stored(edges.select(*by, F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(*by, "b", "a")).distinct(), "links")
     labels = stored(both.groupBy(*by, "node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
     while True:
-        heard = both.join(labels.select(*by, F.col("node").alias("to"), "label"), [*by, "to"]).groupBy(*by, "node").agg(F.min("label").alias("heard"))
-        near = labels.select(*by, "node", F.col("label").alias("old")).join(heard, [*by, "node"]).select(*by, "node", "old", F.least("old", "heard").alias("label"))
+        heard = both.join(labels.select(*by, F.col("node").alias("to"), "label").hint("merge"), [*by, "to"]).groupBy(*by, "node").agg(F.min("label").alias("heard"))
+        near = labels.select(*by, "node", F.col("label").alias("old")).join(heard.hint("merge"), [*by, "node"]).select(*by, "node", "old", F.least("old", "heard").alias("label"))
         jump = labels.select(*by, F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(near.join(jump, [*by, "label"], "left").select(*by, "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        after = stored(near.join(jump.hint("merge"), [*by, "label"], "left").select(*by, "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         changed = not after.where("label <> old").isEmpty()
         discard(labels)
         labels = after
