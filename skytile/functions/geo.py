@@ -38,8 +38,26 @@ def wkt_ring(wkt: Column) -> Column:
     return F.when(inner != "", F.transform(F.split(inner, ","), lambda p: point(F.try_element_at(pair(p), F.lit(1)).try_cast("double"), F.try_element_at(pair(p), F.lit(2)).try_cast("double"))))
 
 
+def six_places(values: Column) -> Column:
+    """Texts of an array of doubles with six places, rounded from the exact value, ties to even, as C prints them.
+
+    Java's formatter rounds the shortest decimal that stands for a double, which may be a tie that the double is not.
+    """
+    size = lambda v: F.abs(v)
+    part = F.transform(values, lambda v: F.struct(v.alias("v"), (size(v) - F.floor(size(v))).alias("f")))
+    # f * 1e6 as p + e, without loss: the upper half of f's digits and the rest are multiplied apart.
+    upper = lambda f: f * 134217729.0 - (f * 134217729.0 - f)
+    product = F.transform(part, lambda s: F.struct(s["v"].alias("v"), s["f"].alias("f"), (s["f"] * 1e6).alias("p"), upper(s["f"]).alias("hi")))
+    parts = F.transform(product, lambda s: F.struct(s["v"].alias("v"), F.floor(s["p"]).alias("n"), (s["p"] - F.floor(s["p"]) - 0.5).alias("d"), (s["hi"] * 1e6 - s["p"] + (s["f"] - s["hi"]) * 1e6).alias("e")))
+    up = lambda s: (s["d"] > 0) | ((s["d"] == 0) & ((s["e"] > 0) | ((s["e"] == 0) & (s["n"] % 2 == 1))))
+    whole = F.transform(parts, lambda s: F.struct(s["v"].alias("v"), (s["n"] + F.when(up(s), 1).otherwise(0)).alias("n")))
+    text = lambda s: F.concat(F.when(s["v"] < 0, "-").otherwise(""), (F.floor(size(s["v"])) + F.floor(s["n"] / 1000000)).cast("string"), F.lit("."), F.lpad((s["n"] % 1000000).cast("string"), 6, "0"))
+    return F.transform(whole, lambda s: F.when((s["v"] != 0) & (size(s["v"]) < 2.0**63), text(s)).otherwise(F.format_string("%.6f", s["v"])))
+
+
 def ring_wkt(ring: Column) -> Column:
-    return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(ring, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), ","), F.lit("))"))
+    pairs = F.zip_with(six_places(F.transform(ring, lambda p: p["x"])), six_places(F.transform(ring, lambda p: p["y"])), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.concat(F.lit("POLYGON (("), F.array_join(pairs, ","), F.lit("))"))
 
 
 def ring_box(ring: Column) -> dict[str, Column]:

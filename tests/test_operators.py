@@ -380,3 +380,16 @@ def test_segment_tiles(spark):
     p = spark.createDataFrame([(1, 1, 0, 10.0, 10.0), (1, 1, 1, 130.0, 70.0)], "image_id long, line_id long, pos int, x double, y double")
     got = {(r.col, r.row) for r in spatial.segment_tiles(p, 64).collect()}
     assert got == {(0, 0), (1, 0), (1, 1), (2, 1)}
+
+
+def test_six_places_round_the_exact_value(spark):
+    """As C prints doubles, not their shortest decimals: near ties in both directions, exact ties, carries, signs."""
+    rng = np.random.default_rng(5)
+    near = [float(f"{w}.{n:06d}5") for w, n in zip(rng.integers(0, 5_000_000, 4000), rng.integers(0, 10**6, 4000))]
+    exact = [k / 128 for k in range(1, 4000, 2)] + [0.9999996, 0.9999995, 12.9999999, 1e-9, 5e-7, 4.9999999e-7, 0.0, -0.0, 2.0**52 + 0.5, 3e15, 2.0**60, 1e-300]
+    values = near + exact + [-v for v in near[:500] + exact] + rng.uniform(-4e8, 4e8, 2000).tolist()
+    got = spark.createDataFrame([(values,)], "v array<double>").select(geo.six_places(F.col("v"))).first()[0]
+    assert [(v, g) for v, g in zip(values, got) if g != "%.6f" % v] == []
+    assert any(a != "%.6f" % v for v, a in zip(near, spark.createDataFrame([(v,) for v in near], "v double").select(F.format_string("%.6f", "v")).toPandas().iloc[:, 0]))
+    ring = F.array(F.struct(F.lit(0.0078125).alias("x"), F.lit(near[0]).alias("y")))
+    assert spark.range(1).select(geo.ring_wkt(ring)).first()[0] == "POLYGON ((0.007812 %.6f))" % near[0]
