@@ -49,3 +49,16 @@ def test_coco_documents_of_shards(spark, tmp_path):
     assert [i["id"] for n in sorted(docs) for i in docs[n]["images"]] == [1, 2, 3, 4, 5, 1]
     assert sorted(a["id"] for d in docs.values() for a in d["annotations"]) == list(range(1, 9)) and not docs["val-00000.json"]["annotations"]
     assert all([c["id"] for c in d["categories"]] == [1, 2] for d in docs.values())
+
+
+def test_box_text_is_a_file_for_each_scene(spark, monkeypatch):
+    """However many tasks hold a scene's boxes; and the files are found by folder, not one by one."""
+    from skytile.plans import source_queries
+    from skytile.plans.registry import QUERIES
+
+    asked = []
+    monkeypatch.setattr(source_queries.annotations, "read_box_text", lambda s, path, own=source_queries.annotations.read_box_text: asked.append(path) or own(s, path))
+    got = QUERIES["a4_box_text"](spark, "/root/testdata/sf0.001")
+    scenes = got.select("prefix").distinct().count()
+    assert len(got.inputFiles()) == scenes > 1
+    assert [p.rsplit("/", 1)[1] for p in asked] == ["part-*"]
