@@ -26,3 +26,8 @@ def exploded_broadcasts(df) -> list[str]:
 @pytest.mark.parametrize("name", ["c1_tile_boxes", "c7_covered_share", "c8_fully_inside", "c2_without_rejected", "i7_tile_to_scene", "d17_parent_box"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     assert exploded_broadcasts(QUERIES[name](spark, SF)) == []
+
+
+def test_nearest_boxes_meet_by_shuffle_and_far_pairs_are_dropped_first(spark):
+    plan = QUERIES["c16_nearest_box"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "level" in line for line in plan.split("\n"))
