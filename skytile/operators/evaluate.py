@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skytile.operators.spatial import BOX, overlap_pairs
-from skytile.session import stored
+from skytile.session import release, stored
 
 PRESENT = 1e-16
 
@@ -34,7 +34,8 @@ def confusion(dets: DataFrame, truth: DataFrame, classes: int, conf: float = 0.2
     """(row_cls, col_cls, n). Matched cells are (truth, detection), unmatched truth (background, truth), unmatched detections
     (detection, background), the last only in images with a match. Classes from 0; background is ``classes``."""
     d, t = dets.where(F.col("score") > conf), truth.withColumn("label", F.col("label") - 1)
-    m = greedy_matches(d, t, iou)
+    m = stored(greedy_matches(d, t, iou), "matches")  # read four times
+    release(dets.sparkSession)  # the pairs' shuffles would keep their disk
     dl, tl = d.select("image_id", "det_id", F.col("label").alias("dl")), t.select("image_id", "box_id", F.col("label").alias("tl"))
     matched = m.join(dl, ["image_id", "det_id"]).join(tl, ["image_id", "box_id"]).select(F.col("tl").alias("row_cls"), F.col("dl").alias("col_cls"))
     lost = tl.join(m, ["image_id", "box_id"], "left_anti").select(F.lit(classes).alias("row_cls"), F.col("tl").alias("col_cls"))

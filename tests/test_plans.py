@@ -28,6 +28,17 @@ def test_exploded_tables_are_not_broadcast(spark, name):
     assert exploded_broadcasts(QUERIES[name](spark, SF)) == []
 
 
-def test_nearest_boxes_meet_by_shuffle_and_far_pairs_are_dropped_first(spark):
+def test_nearest_boxes_meet_by_shuffle(spark):
     plan = QUERIES["c16_nearest_box"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert any("SortMergeJoin" in line and "level" in line for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize("name", ["d6_confusion", "d7_confusion_shares"])
+def test_matches_are_made_once(spark, monkeypatch, name):
+    """Four tables read them; the pairs' join is not planned for each."""
+    from skytile.operators import evaluate
+
+    stores = []
+    monkeypatch.setattr(evaluate, "stored", lambda df, name="t", own=evaluate.stored: stores.append(name) or own(df, name))
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert stores == ["matches"] and "Generate explode" not in plan
