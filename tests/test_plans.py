@@ -23,7 +23,7 @@ def exploded_broadcasts(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["c1_tile_boxes", "c7_covered_share", "c8_fully_inside", "c2_without_rejected", "i7_tile_to_scene", "d17_parent_box"])
+@pytest.mark.parametrize("name", ["c1_tile_boxes", "c7_covered_share", "c8_fully_inside", "c2_without_rejected", "i7_tile_to_scene", "d17_parent_box", "c3_not_inside_rejected"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     assert exploded_broadcasts(QUERIES[name](spark, SF)) == []
 
